@@ -10,6 +10,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from maskwright.shipping import ship
+
 #: What counts as white space between words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_CACHE = 1 << 19
@@ -17,6 +19,7 @@ WORD_CACHE = 1 << 19
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="maskwright-")
@@ -33,6 +36,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import exact, mixing, near, pii, secret_scan, sharding, toxicity, url_filter, warc
+from maskwright.llm import decontaminate, exact, mixing, near, pii, secret_scan, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_exact_dedup": exact.op8_exact_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
