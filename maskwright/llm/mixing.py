@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import table
+from maskwright.llm.common import staged, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -62,7 +62,7 @@ def _drawn(docs: DataFrame, weights: tuple, cap: int, seed: str, ranges: int, qu
 
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, ranges: int = RANGES, quality=length_quality) -> DataFrame:
     """Words to take of each document. The document in which the rest of the budget ends gives its first words only, so a source's words equal its rounded target."""
-    docs = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))  # texts are read once
     drawn = _drawn(docs, weights, cap, seed, ranges, quality)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return drawn.select("doc_id", "size", F.col("s").alias("source_size"), "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source", F.col("epochs"), F.col("key").alias("draw_key"))
@@ -70,7 +70,8 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: st
 
 def resample(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, ranges: int = RANGES, quality=length_quality) -> DataFrame:
     """The mixed corpus itself: whole documents, as often as the mix takes them. The document in which the rest of the budget ends is taken if over half of it fits."""
-    docs = documents.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    # exploded from one element, so that the optimiser doesn't copy the count into all that uses it
+    docs = documents.select(F.struct("*").alias("row"), "doc_id", "source", F.explode(F.array(word_count(F.col("text")))).alias("size"))
     drawn = _drawn(docs, weights, cap, seed, ranges, quality)
     copies = F.col("epochs") + F.when(F.col("before") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
     return drawn.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
