@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import SPACE, table
+from maskwright.llm.common import SPACE, staged, table
 
 MASK_BITS = 11
 MIN_CHUNK = 512
@@ -97,12 +97,15 @@ def chunk_dictionary(recipe_rows: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256. Groups: equal ordered lists of identifiers (with their proofs) and equal whole digests."""
-    rows = recipes(documents).select("doc_id", "n", "text_sha256", F.sha2(F.array_join(F.transform("chunks", F.hex), ","), 256).alias("list"))
+    rows = staged(recipes(documents).select("doc_id", "n", "text_sha256", F.sha2(F.array_join(F.transform("chunks", F.hex), ","), 256).alias("list")))
     best = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"))
-    groups = rows.groupBy("list", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best")).select(F.col("list").alias("l"), F.col("text_sha256").alias("t"), "group_size", F.col("best.n").alias("most"), (-F.col("best.neg")).alias("keep_id"))
-    joined = rows.join(groups, (F.col("list") == F.col("l")) & (F.col("text_sha256") == F.col("t")))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most"))
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    groups = rows.groupBy("list", "text_sha256").agg(F.count(F.lit(1)).alias("size"), F.max(best).alias("best")).filter("size > 1")
+    # written, so that the join below deals out both its sides itself, and a large group's rows can be split
+    groups = staged(groups.select(F.col("list").alias("l"), F.col("text_sha256").alias("t"), "size", F.col("best.n").alias("most"), (-F.col("best.neg")).alias("best_id")))
+    joined = rows.join(groups, (F.col("list") == F.col("l")) & (F.col("text_sha256") == F.col("t")), "left")
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
+    kept = F.col("size").isNull() | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n") == F.col("most")))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
