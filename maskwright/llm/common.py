@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.shipping import ship
 
 #: What counts as white space between words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-WORD_CACHE = 1 << 19
+STRETCH = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,28 +36,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, after making sure that Python workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept for words seen; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def word_hashes(words: Sequence[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift and multiply), in place."""
     h ^= h >> np.uint64(32)
@@ -65,6 +55,68 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            p = np.full(max(n, STRETCH), base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _stretches(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes that cut no word: whole rows together, or parts of a long row."""
+    lo, end = int(offsets[0]), int(offsets[-1])
+    while lo < end:
+        hi = int(offsets[np.searchsorted(offsets, lo + STRETCH, side="right") - 1])
+        if hi <= lo:  # a row longer than a stretch
+            stop = int(offsets[np.searchsorted(offsets, lo, side="right")])
+            hi = min(lo + STRETCH, stop)
+            while hi < stop and is_word[data[hi - 1]] and is_word[data[hi]]:
+                part = np.flatnonzero(~is_word[data[hi : hi + STRETCH]])
+                hi = min(stop, hi + (int(part[0]) if len(part) else STRETCH))
+        yield lo, hi
+        lo = hi
+
+
+def word_table(separators: str) -> np.ndarray:
+    """Which UTF-8 bytes belong to words, given the ASCII characters that don't."""
+    t = np.ones(256, bool)
+    t[list(separators.encode("ascii"))] = False
+    return t
+
+
+def hashed_words(texts: pa.Array, is_word: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text in order; a null has none. A word is a longest run of word bytes, in lower case.
+
+    A whole column is hashed at once: a word's polynomial is the difference of two running sums over the bytes, shifted to the word's start."""
+    col = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    _, off, raw = col.buffers()
+    offsets = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(col), np.int64)
+    for lo, hi in _stretches(offsets, data, is_word):
+        d = data[lo:hi]
+        w = is_word[d]
+        first, last = w.copy(), w.copy()
+        first[1:] &= ~w[:-1]
+        last[:-1] &= ~w[1:]
+        inner = offsets[np.searchsorted(offsets, lo, side="right") : np.searchsorted(offsets, hi, side="left")] - lo
+        first[inner], last[inner - 1] = w[inner], w[inner - 1]  # rows end words
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        power, inverse = _power(len(d) + 1)
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+        out.append(mix64((sums[e] - sums[s]) * inverse[s]))
+        counts += np.bincount(np.searchsorted(offsets, s + lo, side="right") - 1, minlength=len(col))
+    return np.split(np.concatenate(out), np.cumsum(counts)[:-1]) if len(col) else []
+
+
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k neighbours; of the whole where there are fewer than k."""
     k = min(k, len(h))
@@ -88,14 +140,3 @@ def occurrence_labels(h: np.ndarray) -> np.ndarray:
     out = np.empty(len(s), np.int64)
     out[order] = rank
     return out
-
-
-def batches_of(it: Iterable, size: int) -> Iterator[list]:
-    out: list = []
-    for x in it:
-        out.append(x)
-        if len(out) >= size:
-            yield out
-            out = []
-    if out:
-        yield out

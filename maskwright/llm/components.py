@@ -14,6 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     A round takes the smallest label among a node and its neighbours, then the label of that label's node, so a
     chain's length about halves at least each round. Minima are combined before the shuffle; each round is a written
     table. Rounds end when no label changes. No edges give no rows; an edge from a node to itself is a node."""
+    edges = staged(edges.select("a", "b"))
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     state = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:

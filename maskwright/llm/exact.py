@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import SPACE, staged, table
+from maskwright.llm.common import SPACE, mapped, staged, table
 
 MASK_BITS = 11
 MIN_CHUNK = 512
@@ -85,7 +85,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recipes(documents: DataFrame) -> DataFrame:
     """doc_id, n (code points of the original text), text_sha256, chunks (ordered identifiers)."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_recipes, "doc_id long, n long, text_sha256 string, chunks array<binary>")
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _recipes, "doc_id long, n long, text_sha256 string, chunks array<binary>")
 
 
 def chunk_dictionary(recipe_rows: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ labelled k-mers the best alignment is the longest increasing run of matched plac
 most (1 - t) / t of the shorter's k-mers unmatched, so matches further off the diagonal lie outside the band and are
 left out. The threshold is 0.8; at it, a pair misses all tables about 5 times in a million.
 
-Equal texts are collapsed first, with their count. A key's texts are compared with its smallest text; then, where a
-key still holds texts under different labels, all pairs across labels are compared. Pairs within a label are not
-needed: classes are the connected components of the verified links. So a large group of copies costs a number of
-comparisons in proportion to it. Large keys are joined by joins whose partitions Spark splits.
+Equal texts are collapsed first, with their count. A key's texts are compared with the one among them that shares
+most keys with others, which stands in the middle of a group of copies; components of the links found so far give
+labels. Where a key still holds texts under different labels, pairs across labels are compared if SKETCH minima of
+their k-mers put their similarity no more than three standard errors below the threshold (a pair at the threshold
+passes 999 times in 1000, one at 0.85 always but for a few in ten million). Pairs within a label are not needed: classes are the connected components of the verified links. So a large group of copies costs comparisons in
+proportion to it. Large keys are joined by joins whose partitions Spark splits, and searched for pairs in blocks of
+BLOCK texts against BLOCK, each a task's group of its own.
 
 Null and empty texts have no k-mers and link to nothing but texts equal to them (null counts as empty). A class's id
 is the smallest id of its documents, null if all are null. Repeated rows are members like any other. Empty tables give
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import mix64, occurrence_labels, rolled, staged, table, word_hashes
+from maskwright.llm.common import SPACE, hashed_words, mapped, mix64, occurrence_labels, rolled, staged, table, word_table
 from maskwright.llm.components import components
 
 WORDS = 5
@@ -39,23 +42,33 @@ THRESHOLD = 0.8
 TABLES = 40
 SAMPLE = 6
 SMALL = 30
+SKETCH = 256
+BLOCK = 1024
 _CHUNK = 8192
 _SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (2, TABLES), dtype=np.uint64) | np.uint64(1)
 
 
+_IS_WORD = word_table(SPACE)
+
+
+def column_kmers(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the hashes of its k-mers in text order, plain and labelled with their occurrence."""
+    for words in hashed_words(texts, _IS_WORD):
+        plain = rolled(words, WORDS)
+        occ = occurrence_labels(plain)
+        labelled = plain.copy()
+        again = occ > 0
+        if again.any():
+            labelled[again] = mix64(plain[again] + occ[again].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        yield plain, labelled
+
+
 def kmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-mers in text order, plain and labelled with their occurrence."""
-    plain = rolled(word_hashes((text or "").lower().split()), WORDS)
-    occ = occurrence_labels(plain)
-    labelled = plain.copy()
-    again = occ > 0
-    if again.any():
-        labelled[again] = mix64(plain[again] + occ[again].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return plain, labelled
+    return next(column_kmers(pa.array([text], pa.string())))
 
 
 def keys(plain: np.ndarray, labelled: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The text's keys: one a table, and those of a small text's prefix."""
+    """The text's keys: one a table in the tables' order, then those of a small text's prefix."""
     n = len(plain)
     if not n:
         return np.zeros(0, np.int64)
@@ -77,7 +90,22 @@ def keys(plain: np.ndarray, labelled: np.ndarray, threshold: float = THRESHOLD)
     if n <= SMALL:
         prefix = np.sort(mix64(labelled.copy()))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
         out = np.concatenate([out, prefix])
-    return np.unique(out).view(np.int64)
+    return out.view(np.int64)
+
+
+_SKETCH_SALTS = np.random.Generator(np.random.PCG64(6)).integers(0, 2**32, (2, SKETCH), dtype=np.uint32) | np.uint32(1)
+
+
+def sketch(labelled: np.ndarray) -> np.ndarray:
+    """Low 16 bits of the least k-mer under each of SKETCH hashes; two texts agree in a share of these that estimates their Jaccard similarity."""
+    out = np.full(SKETCH, 2**32 - 1, np.uint32)
+    h = (labelled >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, len(h), 1024):
+        x = h[None, lo : lo + 1024] * _SKETCH_SALTS[0][:, None] + _SKETCH_SALTS[1][:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        out = np.minimum(out, x.min(1))
+    return (out & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -114,14 +142,13 @@ def signatures(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, out = [], []
-            for t in b.column("text"):
-                plain, labelled = kmers(t.as_py())
+            for plain, labelled in column_kmers(b.column("text")):
                 n.append(len(plain))
                 out.append(keys(plain, labelled))
             yield pa.record_batch([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "rid", "n", "keys"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("rid"), "text")
-    return rows.mapInArrow(run, "doc_id long, rid binary, n long, keys array<long>")
+    return mapped(rows, run, "doc_id long, rid binary, n long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -143,32 +170,105 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
     full = left.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return mapped(full.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def links(documents: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between different texts, enough of them that components equal those of all links found.
 
     rows: written signatures()."""
-    distinct = rows.groupBy("rid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    dealt = distinct.select("rid", "n", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("first")).filter("c > 1").select("key", "first")
-    met = staged(dealt.join(shared, "key").select("key", "rid", "n", "first"))
-    wanted = met.select("rid").distinct()
-    texts = documents.select(text_id(F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
+    # sets of ids grow with the data, so they are joined by merging and never broadcast
+    distinct = staged(rows.groupBy("rid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
+    dealt = distinct.select("rid", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = staged(dealt.join(shared.hint("merge"), "key").select("key", "rid", "c"))
+    score = staged(met.groupBy("rid").agg(F.sum("c").alias("score")))
+    texts = documents.select(text_id(F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).groupBy("rid").agg(F.first("text").alias("text"))
+    texts = texts.join(score.select("rid").hint("merge"), "rid", "left_semi")
     texts = staged(texts)
-    star = staged(met.filter("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct())
+    middle = staged(met.join(score, "rid").groupBy("key").agg(F.max_by("rid", F.struct("score", "rid")).alias("b")))
+    star = met.select("key", F.col("rid").alias("a")).join(middle, "key").filter("a <> b").select("a", "b").distinct()
     found = staged(_verified(star, texts, threshold))
-    label = found.groupBy(F.col("a").alias("rid")).agg(F.min("b").alias("l"))
-    jumped = staged(label.join(label.select(F.col("rid").alias("l"), F.col("l").alias("ll")), "l", "left").select("rid", F.coalesce("ll", "l").alias("label")))
-    labelled = met.join(jumped, "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = staged(labelled.join(mixed, "key", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") > F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & fits).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-    rest = staged(across.join(star, ["a", "b"], "left_anti"))
-    return found.union(_verified(rest, texts, threshold))
+    label = components(found).select(F.col("node").alias("rid"), "label")
+    labelled = staged(met.join(label, "rid", "left").select("key", "rid", "c", F.coalesce("label", "rid").alias("label")))
+    mixed = staged(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
+    open_ = labelled.join(mixed, "key", "left_semi")
+    sketches = _sketches(texts.join(open_.select("rid").distinct(), "rid", "left_semi"))
+    open_ = staged(open_.join(distinct.hint("merge"), "rid").join(sketches.hint("merge"), "rid"))
+    rest = staged(_across(open_, threshold).distinct())
+    return found.union(staged(_verified(rest, texts, threshold)))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("rid"), pa.array([sketch(x).tobytes() for _, x in column_kmers(b.column("text"))], pa.binary())], names=["rid", "sketch"])
+
+    return mapped(texts.select("rid", "text"), run, "rid binary, sketch binary")
+
+
+def _across(open_: DataFrame, threshold: float) -> DataFrame:
+    """open_: key, rid, c (texts under the key), label, n, keys, sketch. Pairs (a, b) under different labels whose sketches come near the threshold; each pair that shares a table once, under the first they share."""
+    least = threshold - 3 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+    def of(g: pa.Table) -> list[tuple[bytes, bytes]]:
+        key, same = g.column("key")[0].as_py(), g.column("same")[0].as_py()
+        side, n, rid = g.column("side").to_numpy(), g.column("n").to_numpy(), g.column("rid").to_pylist()
+        tables = np.array([k[:TABLES] for k in g.column("keys").to_pylist()], np.int64)
+        minima = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        _, label = np.unique(np.array([x.hex() for x in g.column("label").to_pylist()]), return_inverse=True)
+        here = tables == key
+        at = int(here.any(0).argmax()) if here.any() else TABLES  # the table of this key; beyond them: a small text's
+        common = np.bincount(label).argmax()
+        out: list[tuple[bytes, bytes]] = []
+        for x in range(len(rid)):
+            if same:  # a pair across labels has a side outside the most common label; two such sides come once, by place
+                if label[x] == common:
+                    continue
+                y = np.flatnonzero((label != label[x]) & ((label == common) | (np.arange(len(rid)) > x)))
+            else:
+                if side[x]:
+                    continue
+                y = np.flatnonzero((label != label[x]) & (side == 1))
+            y = y[(n[y] >= threshold * n[x]) & (n[x] >= threshold * n[y])]
+            if at < TABLES and len(y):
+                y = y[(tables[y] == tables[x]).argmax(1) == at]
+            if len(y):
+                y = y[(minima[y] == minima[x]).mean(1) >= least]
+            out += [(rid[x], rid[z]) for z in y.tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        held: pa.Table | None = None
+        names = ("key", "i", "j")
+
+        def groups(t: pa.Table) -> np.ndarray:
+            c = [t.column(x).to_numpy() for x in names]
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in c], axis=0)
+            return np.flatnonzero(new)
+
+        def found(t: pa.Table, starts: np.ndarray, stop: int) -> pa.RecordBatch:
+            out = [p for lo, hi in zip(starts, [*starts[1:], stop], strict=True) if hi - lo > 1 for p in of(t.slice(lo, hi - lo))]
+            return pa.record_batch([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            starts = groups(held)
+            if len(starts) > 1:
+                yield found(held, starts[:-1], int(starts[-1]))
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield found(held, groups(held), held.num_rows)
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "rid", "label", "n", "keys", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
+    pairs = mapped(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

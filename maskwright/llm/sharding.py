@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import staged, table
+from maskwright.shipping import ship
 
 SHARDS = 8
 TOLERANCE = 0.0005
@@ -58,6 +59,7 @@ def _between(lo: int, hi: int, m: int) -> np.ndarray:
 
 def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, bin_rows: int = BIN_ROWS) -> tuple[np.ndarray, np.ndarray, int]:
     """Boundaries of the bins (a row lies in the bin numbered by the boundaries at or below its key), rows below each, and bins in a shard."""
+    ship(keyed.sparkSession)
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     bins = max(LEAST_BINS, -(-rows // (bin_rows * shards)))
     n = bins * shards
@@ -84,6 +86,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, bin_r
 
 def _placed(keyed: DataFrame, cut: np.ndarray, below: np.ndarray, bins: int) -> DataFrame:
     """Adds shard and slot to rows with k; one exchange, by bin."""
+    ship(keyed.sparkSession)
     starts = np.concatenate([[0], below])
     first = starts[np.arange(len(starts)) // bins * bins]
 

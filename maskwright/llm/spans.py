@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import mapped
+
 #: kind, start, end (code points, end exclusive), score, base (found by a base pattern)
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())])))])
@@ -26,7 +28,7 @@ def scanned(documents: DataFrame, scan: Callable[[str], list[tuple]]) -> DataFra
             spans = [[dict(zip(("kind", "start", "end", "score", "base"), x, strict=True)) for x in scan(t.as_py() or "")] for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), pa.array(spans, _ARROW.field("spans").type)], schema=_ARROW)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, spans {SPAN_TYPE}")
 
 
 def digests(spans: DataFrame, base_kinds: tuple[str, ...], all_kinds: tuple[str, ...]) -> DataFrame:
@@ -46,4 +48,4 @@ def digests(spans: DataFrame, base_kinds: tuple[str, ...], all_kinds: tuple[str,
                 texts.append(joined(spans, order))
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["doc_id", *(f"n_{k}" for k in base_kinds), "base_sha256", "spans"])
 
-    return spans.select("doc_id", "spans").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in base_kinds) + ", base_sha256 string, spans string")
+    return mapped(spans.select("doc_id", "spans"), run, "doc_id long, " + ", ".join(f"n_{k} long" for k in base_kinds) + ", base_sha256 string, spans string")

@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import table
+from maskwright.llm.common import mapped, table
+from maskwright.shipping import ship
 
 BUCKETS = 1 << 15
 DIMS = 12
@@ -259,6 +260,7 @@ def _kept(name: str, model: Model) -> Words:
 
 def _scorer(documents: DataFrame, model: Model | None):
     """A function from texts to (score, language) for use on executors; the model is sent once to each."""
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
 
@@ -279,7 +281,7 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
             out = score(t.as_py() for t in b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.string())], names=["doc_id", "score", "language"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, language string")
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, language string")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import scratch_dir, table
+from maskwright.shipping import ship
 
 LEAST = 100
 LEVEL = 4
@@ -198,6 +199,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back; the frame of all records read."""
     spark = pages.sparkSession
+    ship(spark)
     root = scratch_dir(spark)
     files = f"{root}/files"
     write_archives(pages, f"{root}/monolithic").write.parquet(files)
