@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Every document becomes its words' 16-bit hashes (lower case, without marks around them), written once.
+1. Every document becomes its words' 16-bit hashes, written once. Words are runs of letters, digits and bytes beyond ASCII,
+   in lower case.
 2. Statistics: over all passages of PASSAGE words, the benchmark's among them, document frequencies of FEATURES hashed
    terms; then one pass of a randomised SVD of their TF-IDF matrix A: the partitions' shares of A'(A R), R random, are
    summed, and the Nystroem form of that sketch gives the right singular vectors V and values s of the best RANK.
@@ -27,15 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import WORD_CACHE, staged, table
+from maskwright.llm.common import hashed_words, mapped, staged, table, word_table
 
 FEATURES = 1 << 12
-RANK = 64
-EXTRA = 8
+RANK = 48
+EXTRA = 4
 STEP = 8
 PASSAGE = 48
 CLASSES = (8, 16, 32, 64)
@@ -44,27 +44,20 @@ FULL, PARA, ANSWER = 0.8, 0.6, 0.6
 SHARED = 0.45
 LEAST = 6
 BLOCK = 20_000
-MARKS = ".,;:!?\"'()[]{}<>*%$&#|/\\-_=+~`@^"
 _SEED = 10
 _AT_ONCE = 1 << 17
 
 
-class _Ids(dict):
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        w = raw.strip(MARKS)
-        i = self[raw] = 1 + xxhash.xxh32_intdigest(w) % 65535 if w else 0
-        return i
+_IS_WORD = word_table("".join(chr(i) for i in range(128) if not chr(i).isalnum()))
 
 
-_ids = _Ids()
+def column_ids(texts: pa.Array) -> list[np.ndarray]:
+    """16-bit hashes, from 1 on, of the words of each text."""
+    return [np.maximum(h >> np.uint64(48), 1).astype(np.uint16) for h in hashed_words(texts, _IS_WORD)]
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    words = (text or "").lower().split()
-    ids = np.fromiter(map(_ids.__getitem__, words), np.uint16, len(words))
-    return ids[ids > 0]
+    return column_ids(pa.array([text], pa.string()))[0]
 
 
 def encoded(rows: DataFrame, key: str) -> DataFrame:
@@ -72,9 +65,9 @@ def encoded(rows: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("k"), pa.array([word_ids(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["k", "w"])
+            yield pa.record_batch([b.column("k"), pa.array([w.tobytes() for w in column_ids(b.column("text"))], pa.binary())], names=["k", "w"])
 
-    return rows.select(F.col(key).cast("long").alias("k"), "text").mapInArrow(run, "k long, w binary")
+    return mapped(rows.select(F.col(key).cast("long").alias("k"), "text"), run, "k long, w binary")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -119,7 +112,8 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
                 continue
             f = _feature(w)
             p = _passages(f, starts)
-            once = np.unique(p.astype(np.int64) * (FEATURES + 1) + f) % (FEATURES + 1)
+            pairs = np.sort((p * (FEATURES + 1) + f).astype(np.int32))
+            once = pairs[np.append(True, pairs[1:] != pairs[:-1])] % (FEATURES + 1)
             df += np.bincount(once, minlength=FEATURES + 1)
             n += int(p[-1]) + 1
         df[FEATURES] = n  # in the place of no term
@@ -127,7 +121,7 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.record_batch([pa.array(at), pa.array(df[at])], names=["f", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in words.mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row for each term
+    for r in mapped(words, run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row for each term
         out[r["f"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
 
@@ -153,14 +147,14 @@ def latent_space(words: DataFrame, rank: int = RANK) -> np.ndarray:
             sums = weighted[f].reshape(len(blocks), STEP, r).sum(1)  # passages start where blocks do
             z = np.add.reduceat(sums, first // STEP, axis=0)  # A R, a row a passage
             z /= np.maximum(np.add.reduceat(idf[f] ** 2, first), 1e-6)[:, None]  # passages have unit length on either side
-            order = np.argsort(f, kind="stable")
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
             fs = f[order]
             at = np.flatnonzero(np.append(True, fs[1:] != fs[:-1]))
             total[fs[at]] += np.add.reduceat(z[p[order]], at, axis=0) * idf[fs[at]][:, None]
         rows = np.flatnonzero(np.abs(total[:FEATURES]).sum(1))
         yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, j]) for j in range(r))], names=["f", *(f"x{j}" for j in range(r))])
 
-    parts = words.mapInArrow(run, "f long, " + ", ".join(f"x{j} double" for j in range(r)))
+    parts = mapped(words, run, "f long, " + ", ".join(f"x{j} double" for j in range(r)))
     y = np.zeros((FEATURES, r))
     for row in parts.groupBy("f").agg(*(F.sum(f"x{j}").alias(f"x{j}") for j in range(r))).collect():  # FEATURES rows at most
         y[row["f"]] = row[1:]
@@ -257,7 +251,7 @@ class _Items:
             window = sums[first]
             window = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
             near = window @ vectors.T >= COSINE
-            which, items = np.nonzero(near)
+            which, items = np.divmod(np.flatnonzero(near), near.shape[1])
             ok = self._plausible(w, first[which] * STEP, at[items], c)
             which, items = which[ok], items[ok]
             docs = np.searchsorted(starts, first[which] * STEP, side="right") - 1
@@ -297,7 +291,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 own = [found.get(d, {}) for d in range(len(rows))]
                 yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([sorted({held.value.rows[i][0] for i in x if held.value.rows[i][0] is not None}) for x in own], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in own], pa.float64())], names=["doc_id", "item_ids", "share"])
 
-        frames.append(words.mapInArrow(run, "doc_id long, item_ids array<long>, share double"))
+        frames.append(mapped(words, run, "doc_id long, item_ids array<long>, share double"))
     if len(frames) == 1:
         out = frames[0]
     else:  # a document's rows from all blocks; w keeps repeated ids apart only by count, so they share their finds
