@@ -16,6 +16,7 @@ from maskwright.shipping import ship
 #: What counts as white space between words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 STRETCH = 1 << 19
+BATCH_ROWS = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,7 +39,10 @@ def staged(df: DataFrame) -> DataFrame:
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow, after making sure that Python workers can import this package."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless it was chosen: texts are long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

@@ -40,7 +40,7 @@ SUFFIX = 4
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 ROWS = 3000
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 16
 EPOCHS = 4
 RATE = 0.08
 CUT = 0.3
@@ -60,8 +60,8 @@ def features(word: str) -> list[int]:
 class Words(dict):
     """Raw word -> number of its row in `rows`, which holds what `of` gives for the features of a word; emptied between texts when full."""
 
-    def __init__(self, of) -> None:
-        self.of, self.rows, self.kinds, self.n = of, None, np.zeros(1024, np.int8), 0
+    def __init__(self, of, limit: int | None = VOCABULARY) -> None:
+        self.of, self.limit, self.rows, self.kinds, self.n = of, limit, None, np.zeros(1024, np.int8), 0
 
     def __missing__(self, raw: str) -> int:
         w = raw.strip(MARKS)
@@ -82,7 +82,7 @@ class Words(dict):
         return self.n - 1
 
     def ids(self, text: str | None) -> np.ndarray:
-        if self.n >= VOCABULARY or len(self) >= 4 * VOCABULARY:
+        if self.limit and (self.n >= self.limit or len(self) >= 4 * self.limit):
             self.clear()
             self.n = 0
         words = (text or "").lower().split()
@@ -163,12 +163,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    vocabulary = Words(lambda f: np.array(f, np.int32))
-    docs = []
-    for t in texts:
-        if len(vocabulary) > 3 * VOCABULARY:
-            raise ValueError("the training rows hold too many words; lower the number of rows")
-        docs.append(vocabulary.ids(t))
+    vocabulary = Words(lambda f: np.array(f, np.int32), None)  # of the training rows, which are bounded
+    docs = [vocabulary.ids(t) for t in texts]
     feats = vocabulary.rows if vocabulary.rows is not None else np.zeros((1, 2 + len(PREFIXES)), np.int32)
     back = np.arange(len(docs)) % 5 == 4 if min((y == 0).sum(), (y == 1).sum()) >= 10 else np.zeros(len(docs), bool)
     fit = np.flatnonzero(~back)
