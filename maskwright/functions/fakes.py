@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright import vocabulary as v
+from maskwright.functions.companies import company_column
 
 
 class Fakes:
@@ -77,6 +80,65 @@ class Fakes:
         fits = F.filter(forms, lambda x: x.isNotNull() & (F.length(x) <= F.length(flat)))
         return F.when(F.size(fits) > 0, F.get(fits, F.lit(0))).otherwise(F.regexp_replace(F.substring(city, F.lit(1), F.length(flat)), "[ ,–-]+$", ""))
 
+    def company(self, key: Column, original: Column) -> Column:
+        prefix = self.prefix
+
+        def number(tag: str, k: str) -> int:
+            return int.from_bytes(hashlib.sha256(f"{prefix}{tag}\u001f{k}".encode()).digest()[:8], "big")
+
+        return company_column(number, key, original)
+
+    def url(self, original: Column) -> Column:
+        """A reserved host no longer than the original's; of the path the words are replaced, width and other characters stay."""
+        scheme = F.lower(F.regexp_extract(original, "(?i)^https?://", 0))
+        rest = F.substring(original, F.length(scheme) + 1, F.length(original))
+        host = F.split_part(rest, F.lit("/"), F.lit(1))
+        path = F.substring(rest, F.length(host) + 2, F.length(rest))
+        tld = F.lower(F.split_part(host, F.lit("."), F.lit(-1)))
+        tld = F.when(host.contains(".") & tld.isin("com", "net", "org"), tld).otherwise("com")
+        hosts = F.array(F.concat(F.lit("www.example."), tld), F.concat(F.lit("example."), tld), F.lit("example.net"), F.lit("example.org"), F.lit("test.invalid"), F.lit("test"))
+        fake_host = F.coalesce(F.get(F.filter(hosts, lambda h: F.length(h) <= F.length(host)), F.lit(0)), F.lit("test"))
+        pool = F.array(*[F.lit(w) for w in v.URL_PATH_WORDS])
+
+        def word(w: Column) -> Column:
+            same = F.filter(pool, lambda p: F.substring(p, 1, 1) == F.lower(F.substring(w, 1, 1)))
+            among = F.when(F.size(same) > 0, same).otherwise(pool)
+            best = F.array_min(F.transform(among, lambda p: F.struct(F.abs(F.length(p) - F.length(w)).alias("far"), p.alias("w"))))["w"]
+            return F.substring(F.concat(best, F.repeat(F.get(among, F.lit(0)), F.length(w))), F.lit(1), F.length(w))
+
+        runs = F.regexp_extract_all(path, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+        tail = F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z]"), word(r)).otherwise(r)), "")
+        room = F.greatest(F.lit(0), F.length(original) - F.length(scheme) - F.length(fake_host) - 1)
+        return F.concat(scheme, fake_host, F.when(rest.contains("/"), F.concat(F.lit("/"), F.substring(tail, F.lit(1), room))).otherwise(""))
+
+    def subscriber(self, original: Column) -> Column:
+        """The substitute digits of a phone number, drawn from its digits behind the country or area code."""
+        own = _national(original)
+        return F.substring(F.reverse(F.lpad(self.number("phone", own).cast("string"), 40, "0")), F.lit(1), F.length(own))
+
+    def phone(self, digits: Column, printed: Column) -> Column:
+        """The digits in the layout of one printed number; missing ones are drawn from its spelling."""
+        more = F.conv(F.substring(F.sha2(F.concat(F.lit("phone-pad\u001f"), printed), 256), 1, 16), 16, 10)
+        filled = F.concat(digits, F.reverse(F.lpad(more, 40, "0")))
+        skip = F.length(F.regexp_replace(printed, "[^0-9]", "")) - F.length(_national(printed))
+        start = F.struct(F.lit(0).alias("seen"), F.lit("").alias("out"))
+
+        def step(acc: Column, c: Column) -> Column:
+            seen = acc["seen"] + c.rlike("^[0-9]$").cast("int")
+            new = F.when(c.rlike("^[0-9]$") & (seen > skip), F.substring(filled, seen - skip, F.lit(1))).otherwise(c)
+            return F.struct(seen.alias("seen"), F.concat(acc["out"], new).alias("out"))
+
+        out = F.aggregate(F.split(printed, ""), start, step, lambda acc: acc["out"])
+        return F.when(printed.rlike("[0-9]"), out).otherwise("+91 00000 00000")
+
+
+def _national(printed: Column) -> Column:
+    """The digits behind +91 or an area code; all of them if nothing is left."""
+    digits = F.regexp_replace(printed, "[^0-9]", "")
+    code = F.when(printed.rlike(r"^\s*\+\s*91"), 2).otherwise(F.length(F.regexp_extract(printed, r"^\s*(0\d{2,4})(?=[\s\-])", 1)))
+    rest = F.substring(digits, code + 1, F.length(digits))
+    return F.when(rest == "", digits).otherwise(rest)
+
 
 def match_case(fake: Column, original: Column) -> Column:
     """Copy capitals, or a leading capital, of what stands before the at sign."""

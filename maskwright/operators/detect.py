@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from maskwright import vocabulary as v
 from maskwright.functions.regex import find_all
 from maskwright.functions.text import looks_like_name, looks_like_organisation, url_host
+from maskwright.operators import walkers
+from maskwright.operators.resolve import resolve
 
 
 def _spans(units: DataFrame, hits: Column, ptype: str, source: str = "regex") -> DataFrame:
@@ -129,3 +131,19 @@ PATTERN_DETECTORS = (emails, urls, phones_international, phones_std, dins, ssns,
 def detect(units: DataFrame, detectors: tuple = PATTERN_DETECTORS) -> DataFrame:
     """All candidates of all detectors, with det_ord, the place of theirs."""
     return reduce(DataFrame.unionByName, [d(units).withColumn("det_ord", F.lit(i)) for i, d in enumerate(detectors)])
+
+
+def scan(units: DataFrame, people: list[str] = (), organisations: list[str] = (), within: str | None = None) -> DataFrame:
+    """The accepted spans of all detectors: candidates are resolved, addresses are sought with the accepted ones as their
+    bounds, and candidates and addresses are resolved again. within: the column of the sequence the units stand in."""
+    found = [d(units) for d in PATTERN_DETECTORS]
+    found += [walkers.contacts(units), walkers.companies(units, [*organisations, *people])]
+    if within is not None:
+        found.append(designation_table(units, within))
+    if people:
+        found.append(walkers.listed_people(units, people, walkers.learned_pairs(units, people)))
+    if organisations:
+        found.append(walkers.listed_companies(units, organisations))
+    first = reduce(DataFrame.unionByName, [f.withColumn("det_ord", F.lit(i)) for i, f in enumerate(found)])
+    more = walkers.addresses(units, resolve(first), within).withColumn("det_ord", F.lit(len(found)))
+    return resolve(first.unionByName(more))

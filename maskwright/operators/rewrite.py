@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.fakes import Fakes, match_case
 from maskwright.functions.text import canonical
+from maskwright.shipping import ship
 
-KEYED = ("EMAIL", "PERSON_NAME", "ADDRESS", "DIN", "SSN", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH")
+KEYED = ("EMAIL", "URL", "PHONE", "COMPANY", "PERSON_NAME", "ADDRESS", "DIN", "SSN", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH")
 
 
 def with_keys(spans: DataFrame) -> DataFrame:
@@ -21,15 +22,29 @@ def with_keys(spans: DataFrame) -> DataFrame:
 def mapping(spans: DataFrame, fakes: Fakes | None = None) -> DataFrame:
     """ptype, key, original (the first spelling by unit and place), fake. Keyed on type and key, so equal keys of two types differ."""
     f = fakes or Fakes()
+    ship(spans.sparkSession)
     first = with_keys(spans).groupBy("ptype", "key").agg(F.min_by("value", F.struct("k", "start")).alias("original"))
-    made = {"EMAIL": match_case(f.email(F.col("key")), F.col("original")), "PERSON_NAME": f.person(F.col("key"), F.col("original")), "ADDRESS": f.address(F.col("key"), F.col("original")), "DIN": f.din(F.col("key")), "SSN": f.ssn(F.col("key")), "CREDIT_CARD": f.card(F.col("key")), "IP_ADDRESS": f.ip(F.col("key")), "DATE_OF_BIRTH": f.birth_date(F.col("key"))}
+    made = {"EMAIL": match_case(f.email(F.col("key")), F.col("original")), "URL": match_case(f.url(F.col("original")), F.col("original")), "PHONE": f.phone(f.subscriber(F.col("original")), F.col("original")), "COMPANY": F.col("company"), "PERSON_NAME": f.person(F.col("key"), F.col("original")), "ADDRESS": f.address(F.col("key"), F.col("original")), "DIN": f.din(F.col("key")), "SSN": f.ssn(F.col("key")), "CREDIT_CARD": f.card(F.col("key")), "IP_ADDRESS": f.ip(F.col("key")), "DATE_OF_BIRTH": f.birth_date(F.col("key"))}
     fake = reduce(lambda rest, t: F.when(F.col("ptype") == t, made[t]).otherwise(rest), KEYED, F.lit("[REDACTED]"))
-    return first.withColumn("fake", fake)
+    company = f.company(F.when(F.col("ptype") == "COMPANY", F.col("key")), F.col("original"))
+    return first.withColumn("company", company).withColumn("fake", fake).drop("company")
 
 
-def redact(units: DataFrame, spans: DataFrame, maps: DataFrame) -> DataFrame:
+def printed(fakes: Fakes, ptype: Column, value: Column, original: Column, fake: Column) -> Column:
+    """A substitute as one occurrence shows it: phones in its layout, e-mails and web addresses in its capitals."""
+    cased = match_case(F.lower(fake), value)
+    return F.when(value == original, fake).when(ptype == "PHONE", fakes.phone(fakes.subscriber(original), value)).when(ptype.isin("EMAIL", "URL"), cased).otherwise(fake)
+
+
+def edits_of(spans: DataFrame, maps: DataFrame, fakes: Fakes | None = None) -> DataFrame:
+    """k, start, end, fake: what to write in place of every span."""
+    both = with_keys(spans).join(maps.select("ptype", "key", "original", "fake"), ["ptype", "key"])
+    return both.select("k", "start", "end", printed(fakes or Fakes(), F.col("ptype"), F.col("value"), F.col("original"), F.col("fake")).alias("fake"))
+
+
+def redact(units: DataFrame, spans: DataFrame, maps: DataFrame, fakes: Fakes | None = None) -> DataFrame:
     """k, text with every span replaced; spans must not overlap. Units without spans pass unchanged."""
-    edits = with_keys(spans).join(maps.select("ptype", "key", "fake"), ["ptype", "key"])
+    edits = edits_of(spans, maps, fakes)
     by_unit = edits.groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", "fake")))).alias("edits"))
     out = units.join(by_unit, "k", "left")
     splice = F.aggregate("edits", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["fake"], F.substring(t, e["end"] + 1, F.length(t))))

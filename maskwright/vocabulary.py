@@ -74,3 +74,104 @@ DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|" + MONTH + r"[a-z]*\.?\s+\d{1,2},?\
 NAME_RUN = r"(?<![A-Za-z])(?:[A-Z]\.|[A-Z][a-z]+)(?:[ \u00a0]*(?:[A-Z]\.|[A-Z][a-z]+)){1,3}"
 FAMILY_TRUST = r"(?<![A-Za-z])(?:[A-Z][a-z]{2,}|[A-Z]{3,})(?:[ ](?:[A-Z][a-z]{2,}|[A-Z]{3,}))?[ ]+(?:Family|FAMILY)[ ]+(?:Trust|TRUST)(?![A-Za-z])"
 PRIORITY = {"ADDRESS": 100, "PERSON_NAME": 90, "EMAIL": 85, "COMPANY": 80, "PHONE": 70, "DIN": 60, "URL": 58, "CREDIT_CARD": 55, "SSN": 54, "IP_ADDRESS": 50, "DATE_OF_BIRTH": 45}
+
+# Pools and forms of company and web address substitutes. Repeated entries count.
+COMPANY_STEMS = (
+    "Meridian", "Northbridge", "Silverline", "Kensington", "Fairmont", "Lakeshore", "Brightwater", "Stonebridge", "Highland", "Cedarpoint", "Westgate",
+    "Ironwood", "Marlowe", "Ashford", "Pinecrest", "Redstone", "Clearwater", "Granville", "Hollowbrook", "Thornbury", "Ravenswood", "Ellington",
+    "Bayfield", "Camden", "Doveridge", "Eastvale", "Foxglove",
+)
+COMPANY_MIDS = (
+    "Industries", "Ventures", "Holdings", "Systems", "Technologies", "Enterprises", "Solutions", "Capital", "Partners", "Trading", "Logistics",
+    "Engineering", "Networks", "Resources", "Analytics",
+)
+COMPANY_SHORT = (
+    "Aria", "Vexa", "Nexo", "Orin", "Luma", "Vale", "Onza", "Rill", "Kite", "Fern", "Iris", "Opal", "Pike", "Reef", "Sable", "Tide", "Umber", "Wren",
+    "Oriel", "Vesta", "Halcyon", "Zephyr", "Cobalt", "Marlow", "Sterling", "Ash", "Bay", "Elm", "Ink", "Oar", "Orb", "Sol", "Zen", "Cob", "Den", "Fen",
+    "Lux", "Wyn",
+)
+COMPANY_LINKERS = ("&", "and", "of", "for", "the", "de", "du", "von", "der", "/", "and,")
+COMPANY_FORMS = (
+    "Private Limited", "Family Trust", "Pvt Ltd", "Partnership", "Foundation", "Incorporated", "Corporation", "Limited", "Society", "Trust", "HUF", "LLP",
+    "Inc.", "Ltd.", "Ltd",
+)
+URL_PATH_WORDS = (
+    "contact", "enquiry", "desk", "portal", "info", "support", "office", "connect", "services", "team", "inquiry", "reach", "connect", "links", "updates",
+    "bulletin", "notices", "resources", "channel", "listing",
+)
+
+# Words and patterns of the company and contact detectors.
+LEGAL_FORM = r"(?:Private[ ]+Limited|Limited|LLP|Inc\.?|Incorporated|Corporation|Ltd\.?|PRIVATE[ ]+LIMITED|LIMITED|INC\.?|INCORPORATED|CORPORATION|LTD\.?)"
+LEGAL_SUFFIX = LEGAL_FORM + r"(?![\s,]+" + LEGAL_FORM + r"(?![A-Za-z]))(?![A-Za-z])"
+KEEP_ORGS = (
+    "sebi", "bse", "nse", "roc", "mca", "nsdl", "cdsl", "securities and exchange board of india", "securities and exchange board", "bse limited",
+    "national stock exchange of india limited", "national stock exchange", "stock exchanges", "national securities depository limited",
+    "central depository services limited", "registrar of companies", "ministry of corporate affairs", "government of india", "central government",
+    "state government", "government of maharashtra", "reserve bank of india", "rbi", "financial express", "jansatta", "loksatta", "economic times",
+    "indian accounting standards", "indian gaap", "us gaap",
+)
+COMPANY_DENY = (
+    "company", "our company", "the company", "certain corp", "corp", "private limited", "limited", "public limited company", "sponsor bank", "refund bank",
+    "escrow collection bank", "bankers to the issue", "bankers to the offer", "banker", "issuing bank", "bank", "bankers", "lead manager", "lead managers",
+    "book running lead manager", "book running lead managers", "share transfer agent", "share transfer agents", "registrar to the offer",
+    "designated stock exchange", "stock exchange", "stock exchanges", "total income", "total inc", "gross national disposable income", "government inc",
+    "production linked income",
+)
+COMPANY_STOP = (
+    "collectively", "however", "therefore", "additionally", "together", "hereby", "therein", "aforesaid", "respectively", "thereafter",
+    "notwithstanding", "whereas", "henceforth", "provided", "also", "statutory", "auditors", "secretarial", "the", "a", "an", "our", "its", "their",
+    "such", "any", "each", "every", "all", "former", "both", "same", "other", "others", "said", "company",
+)
+SUFFIX_WORDS = ("limited", "ltd", "llp", "inc", "incorporated", "private")
+LEGAL_WORDS = ("limited", "ltd", "ltd.", "llp", "inc", "inc.", "incorporated", "private", "corporation", "corp", "corp.", "co", "co.", "company", "pvt", "pvt.")
+NAME_TAIL = r"(?i)(?:Family|HUF|Holdings?|Trusts?)[ ]+Trust\b"
+ROLE = r"(?:book\s*running\s*lead\s*managers?|lead\s*managers?|arrangers?|bankers?|editors?|registrars?|(?:escrow\s*collection|public\s*offer\s*account|refund)\s*banks?|sponsor\s*banks?|collection\s*agents?|clearing\s*banks?|principal\s*accountants?|statutory\s*auditors?|central\s*advisors?|legal\s*advisors?)(?:\s+to\s+the\s+offer)?"
+QUALIFIER = r"(?i)\s*(?:HUF|Family\s+Trust|Family\s+HUF|Trust\b|Holdings?\b|Trustees\b|Foundation\b)"
+CONTACT_LABEL = r"(?i)\bcontact\s*persons?\s*[:.]?\s*([^;|\n]{2,120})"
+CONTACT_ROLE = r"(?i)[,\s]*(?:company secretary(?: and compliance officer)?|compliance officer|chairman(?: and executive director)?|managing director|executive director|independent director|whole-?time director|chief executive officer|chief financial officer|ceo|cfo)\b.*$"
+CONTACT_BREAK = r"(?i)HYPERLINK|SEBI\s+Registration|E-?mail|Website"
+
+# Words and patterns of the address detector.
+ADDRESS_MARKERS = (
+    "road", "marg", "lane", "street", "marg.", "nagar", "colony", "society", "soc", "apartment", "apartments", "bunglow", "bungalow", "villa", "park",
+    "complex", "chambers", "centre", "center", "plaza", "gardens", "estate", "heights", "residency", "mansion", "layout", "cross", "avenue", "place",
+    "terrace", "tower", "building", "wing", "floor", "block", "plot", "gat", "survey", "village", "taluka", "district", "dist", "unit", "flat", "house",
+    "premises", "off", "near", "next", "opposite", "behind", "beside", "above", "co-operative", "housing", "soc.", "no", "nos", "no.", "s", "s.", "s.no",
+    "&", "and", "at", "from", "1st", "2nd", "3rd", "4th", "5th", "6th", "7th", "8th", "9th", "10th", "11th", "12th", "a", "b", "c", "side",
+)
+ADDRESS_STRONG = (
+    "road", "marg", "lane", "street", "nagar", "colony", "society", "soc", "apartment", "apartments", "bunglow", "bungalow", "villa", "layout", "avenue",
+    "terrace", "tower", "building", "wing", "floor", "block", "plot", "village", "taluka", "district", "dist", "flat", "premises", "chambers", "estate",
+    "heights", "residency", "mansion", "complex", "survey", "gat", "s.no", "square", "plaza", "gardens", "centre", "center", "farms", "farm", "township",
+    "paradise", "enclave", "peth", "wadi",
+)
+ADDRESS_PLACES = (
+    "pune", "mumbai", "bhopal", "baner", "bandra", "kanjurmarg", "akurdi", "vikhroli", "churchgate", "parel", "thane", "navi", "delhi", "gurugram",
+    "gurgaon", "bengaluru", "bangalore", "chennai", "hyderabad", "ahmedabad", "surat", "jaipur", "kolkata", "ahilyanagar", "ahmednagar", "chakan", "khed",
+    "birdewadi", "supa", "parner", "palve", "khurd", "mauje", "taloja", "padghe", "panvel", "raigad", "khalumbre", "kothrud", "koregaon", "shivajinagar",
+    "shivaji", "nagar", "deccan", "gymkhana", "erandawane", "pashan", "panchvati", "huzur", "govindpura", "model", "prabhat", "prabhadevi", "bhonde",
+    "railyard", "railway", "station", "monarch", "world", "capital", "sadashiv", "peth", "high", "main", "old", "mahalunge", "balewadi", "sus", "aundh",
+    "bhosari",
+)
+ADDRESS_REGIONS = (
+    "maharashtra", "madhya pradesh", "gujarat", "karnataka", "tamil nadu", "telangana", "west bengal", "uttar pradesh", "delhi", "haryana", "punjab",
+    "rajasthan", "odisha", "assam", "bihar", "jharkhand", "goa", "kerala", "india",
+)
+ADDRESS_BUILDINGS = (
+    "bhavan", "house", "apartments", "apartment", "residency", "villa", "chambers", "complex", "plaza", "centre", "center", "mansion", "estate", "heights",
+    "park", "campus", "tower", "building", "wings", "premises", "annex", "bldg", "bldgs", "square", "place", "court", "lodge", "hall",
+)
+ADDRESS_PROSE = (
+    "counsel", "auditor", "engineer", "bankers to", "as to indian law", "namely", "being", "secretary", "officer", "consent", "certificate",
+    "chartered accountants", "company secretary", "below:", "set forth", "practicing", "practising",
+)
+PIN = r"(?<![0-9A-Za-z])(?:\d{3}[ ]?\d{3}|\d{2}[ ]?[lI][ ]?\d{3})(?![0-9A-Za-z])"
+ADDRESS_NEGATIVE = r"(?i)\b(?:page|regulation|section|schedule|form|rounded|total|share|price band|crore|million|billion|per cent|%)\b"
+ADDRESS_LABEL = r"(?i)\b(?:registered\s+office|corporate\s+office|office|address|located\s+at|situated\s+at|having\s+its|namely,?|namely|is|are|at|bounded\s+on)\b\s*[:.]?\s*"
+ADDRESS_DIRECTION = r"(?i)\b(?:off|near|next\s+to|opposite|behind|beside|above|below)\b\s*[:.]?\s*"
+ADDRESS_CONTACT = r"(?i)\b(?:telephone|tel|mobile|email|e-mail|website|contact\s*person|fax)\b"
+ADDRESS_CLAUSE = r"(?i),\s*(?:which|that|who|whom|whose|our|we|they|as\s+well|and\s+may|and\s+the\s+company|result\s+of|in\s+case|if\s+the)"
+ADDRESS_UNIT = r"(?i)\b(?:unit|village|premises|shed|works|godown)\s*(?:no\.?|number|#)?\s*[\w./-]*"
+ADDRESS_DESK = r"(?i)\b(?:department|division|directorate|office|centre|center|section|desk|team|cell)\b"
+BARE_REGION = r"^[A-Za-z][a-z]+(?: [A-Za-z][a-z]+)?,\s*India\.?$"
+ABBREVIATION = r"(?i)\b(?:no|nos|s|sr|ss|m/s|mr|mrs|ms|dr|shri|smt|st|rd|ln|floor|fl|opp|near|sec|block|bl|dist|pin|c/o|care|of|co|pvt|ltd|inc|llp|extn|approx|village|vill|taluka)\.$"
