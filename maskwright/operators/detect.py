@@ -1,10 +1,11 @@
 """Detectors: from units (k, text) to spans (k, start, end, ptype, value, source).
 
-Each is a lateral expansion of built-in expressions over one unit, without a shuffle; those that look at neighbours are
-windows over the unit sequence. Offsets are code points, half-open."""
+Each is an array of span structs in built-in expressions over one unit, so that all of them make one pass over the texts,
+without a shuffle; those that look at neighbours are windows over the unit sequence. Offsets are code points, half-open."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,135 +16,196 @@ from maskwright import vocabulary as v
 from maskwright.functions.regex import find_all
 from maskwright.functions.text import looks_like_name, looks_like_organisation, url_host
 from maskwright.operators import walkers
-from maskwright.operators.resolve import resolve
+from maskwright.operators.resolve import accepted
+from maskwright.shipping import ship
 
+SPAN = ("start", "end", "ptype", "value", "source")
 
-def _spans(units: DataFrame, hits: Column, ptype: str, source: str = "regex") -> DataFrame:
-    out = units.select("k", F.inline(hits))
-    return out.select("k", "start", "end", F.lit(ptype).alias("ptype"), "value", F.lit(source).alias("source"))
 
+def span(start: Column, end: Column, ptype: str, value: Column, source: str) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(ptype).alias("ptype"), value.alias("value"), F.lit(source).alias("source"))
 
-def shifted(hits: Column, by: Column) -> Column:
-    return F.transform(hits, lambda h: F.struct((h["start"] + by).cast("int").alias("start"), (h["end"] + by).cast("int").alias("end"), h["value"].alias("value")))
 
+def spans(hits: Column, ptype: str, source: str = "regex") -> Column:
+    return F.transform(hits, lambda h: span(h["start"], h["end"], ptype, h["value"], source))
 
-def emails(units: DataFrame) -> DataFrame:
-    return _spans(units.filter(F.col("text").contains("@")), find_all(F.col("text"), v.EMAIL), "EMAIL")
 
+def only(condition: Column, hits: Column) -> Column:
+    """The hits of texts that meet a condition."""
+    return F.when(condition, hits).otherwise(F.array().cast(walkers.SPANS))
 
-def urls(units: DataFrame) -> DataFrame:
+
+class Detector:
+    """hits: from a text column to an array of span structs. Called on units it gives their spans as rows."""
+
+    def __init__(self, hits: Callable[[Column], Column]) -> None:
+        self.hits, self.__doc__, self.__name__ = hits, hits.__doc__, hits.__name__
+
+    def __call__(self, units: DataFrame) -> DataFrame:
+        return units.select("k", F.inline(self.hits(F.col("text"))))
+
+
+@Detector
+def emails(text: Column) -> Column:
+    return only(text.contains("@"), spans(find_all(text, v.EMAIL), "EMAIL"))
+
+
+@Detector
+def urls(text: Column) -> Column:
     """Web addresses with a scheme or www, but for hosts of public registers."""
-    return _spans(units, find_all(F.col("text"), v.URL), "URL").filter(~url_host(F.col("value")).isin(*v.KEEP_URL_HOSTS))
+    return F.filter(spans(find_all(text, v.URL), "URL"), lambda h: ~url_host(h["value"]).isin(*v.KEEP_URL_HOSTS))
 
 
-def ssns(units: DataFrame) -> DataFrame:
-    return _spans(units, find_all(F.col("text"), v.SSN), "SSN")
+@Detector
+def ssns(text: Column) -> Column:
+    return spans(find_all(text, v.SSN), "SSN")
 
 
-def cards(units: DataFrame) -> DataFrame:
+@Detector
+def cards(text: Column) -> Column:
     """13 to 19 digits that pass the Luhn check."""
-    return _spans(units, find_all(F.col("text"), v.CARD), "CREDIT_CARD").filter(F.call_function("luhn_check", F.regexp_replace("value", "[^0-9]", "")))
+    return F.filter(spans(find_all(text, v.CARD), "CREDIT_CARD"), lambda h: F.call_function("luhn_check", F.regexp_replace(h["value"], "[^0-9]", "")))
 
 
-def ip_addresses(units: DataFrame) -> DataFrame:
+@Detector
+def ip_addresses(text: Column) -> Column:
     """Four octets, not all of them under ten (section numbers)."""
-    return _spans(units, find_all(F.col("text"), v.IPV4), "IP_ADDRESS").filter(F.exists(F.split("value", r"\."), lambda x: x.cast("int") >= 10))
+    return F.filter(spans(find_all(text, v.IPV4), "IP_ADDRESS"), lambda h: F.exists(F.split(h["value"], r"\."), lambda x: x.cast("int") >= 10))
 
 
-def phones_std(units: DataFrame) -> DataFrame:
-    return _spans(units, find_all(F.col("text"), v.PHONE_STD), "PHONE")
+@Detector
+def phones_std(text: Column) -> Column:
+    return spans(find_all(text, v.PHONE_STD), "PHONE")
 
 
-def phones_international(units: DataFrame) -> DataFrame:
+@Detector
+def phones_international(text: Column) -> Column:
     """+91 and ten digits or more; of more than ten digits the last ten make the span."""
-    hits = units.select("k", F.inline(find_all(F.col("text"), v.PHONE_INTERNATIONAL)))
-    plus = F.length(F.regexp_extract("value", r"^\+\s*91[\s\-.]*", 0))
-    after = F.substring(F.col("value"), plus + 1, F.length("value"))
-    at = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(after))), lambda i: F.when(F.substring(after, i, F.lit(1)).rlike("^[0-9]$"), i)), lambda i: i.isNotNull())
-    hits = hits.withColumn("plus", plus).withColumn("at", at).filter("size(at) >= 10")
-    first = F.when(F.size("at") > 10, F.col("plus") + F.element_at("at", -10) - 1).otherwise(0)
-    last = F.col("plus") + F.element_at("at", -1)
-    return hits.select("k", (F.col("start") + first).cast("int").alias("start"), (F.col("start") + last).cast("int").alias("end"), F.lit("PHONE").alias("ptype"), F.substring(F.col("value"), first + 1, last - first).alias("value"), F.lit("regex").alias("source"))
 
+    def number(h: Column) -> Column:
+        plus = F.length(F.regexp_extract(h["value"], r"^\+\s*91[\s\-.]*", 0))
+        tail = F.regexp_extract(h["value"], r"(?:[0-9][^0-9]*){9}[0-9](?=[^0-9]*$)", 0)
+        behind = F.length(F.regexp_extract(h["value"], r"[^0-9]*$", 0))
+        digits = F.length(F.regexp_replace(F.substring(h["value"], plus + 1, F.length(h["value"])), "[^0-9]", ""))
+        last = F.length(h["value"]) - behind
+        first = F.when(digits > 10, last - F.length(tail)).otherwise(0)
+        return F.when(digits >= 10, span(h["start"] + first, h["start"] + last, "PHONE", F.substring(h["value"], first + 1, last - first), "regex"))
+
+    return only(text.contains("+"), F.filter(F.transform(find_all(text, v.PHONE_INTERNATIONAL), number), lambda h: h.isNotNull()))
+
+
+def _behind(text: Column, label: str, reach: int, pattern: str) -> Column:
+    """Matches of a pattern in the characters behind each match of a label, placed in the text."""
+
+    def after(label: Column) -> Column:
+        hits = find_all(F.substring(text, label["end"] + 1, F.lit(reach)), pattern)
+        return F.transform(hits, lambda h: F.struct((h["start"] + label["end"]).alias("start"), (h["end"] + label["end"]).alias("end"), h["value"].alias("value")))
+
+    return F.flatten(F.transform(find_all(text, label), after))
 
-def birth_dates(units: DataFrame) -> DataFrame:
+
+@Detector
+def birth_dates(text: Column) -> Column:
     """Dates in the 40 characters behind a keyword; a date that two keywords reach comes once."""
-    keys = units.filter(F.col("text").rlike(v.DOB_KEYWORD)).select("k", "text", F.inline(find_all(F.col("text"), v.DOB_KEYWORD)))
-    tail = keys.select("k", F.col("end").alias("by"), F.substring(F.col("text"), F.col("end") + 1, F.lit(40)).alias("tail"))
-    out = tail.select("k", F.inline(shifted(find_all(F.col("tail"), v.DATE), F.col("by"))))
-    return out.distinct().select("k", "start", "end", F.lit("DATE_OF_BIRTH").alias("ptype"), "value", F.lit("regex").alias("source"))
+    return only(text.rlike(v.DOB_KEYWORD), F.array_distinct(spans(_behind(text, v.DOB_KEYWORD, 40, v.DATE), "DATE_OF_BIRTH")))
 
 
-def dins(units: DataFrame) -> DataFrame:
+@Detector
+def dins(text: Column) -> Column:
     """A unit of eight digits alone, or any run of eight digits in a unit that names the number."""
-    bare = _spans(units.filter(F.trim("text").rlike(r"^\d{8}$")), find_all(F.col("text"), r"\d{8}"), "DIN", "bare-8-digit")
-    named = units.filter(F.col("text").rlike(r"(?i)\bDIN\b") & ~F.trim("text").rlike(r"^\d{8}$"))
-    return bare.unionByName(_spans(named, find_all(F.col("text"), r"(?<!\d)\d{8}(?!\d)"), "DIN"))
+    bare = F.trim(text).rlike(r"^\d{8}$")
+    named = text.rlike(r"(?i)\bDIN\b") & ~bare
+    return F.concat(only(bare, spans(find_all(text, r"\d{8}"), "DIN", "bare-8-digit")), only(named, spans(find_all(text, r"(?<!\d)\d{8}(?!\d)"), "DIN")))
 
 
-def label_pairs(units: DataFrame) -> DataFrame:
+@Detector
+def label_pairs(text: Column) -> Column:
     """The left side of "Name Name: Name Name", unless its last word is a label's."""
-    run = v.NAME_RUN
-    left = _spans(units, find_all(F.col("text"), run + r"(?=\s*:\s*(?:[A-Z]\.|[A-Z][a-z]+)(?:[  ]*(?:[A-Z]\.|[A-Z][a-z]+)){1,3})"), "PERSON_NAME", "label-pair")
-    words = F.split("value", r"[\s ]+")
-    return left.filter(F.size(words).between(2, 4) & ~F.lower(F.element_at(words, -1)).isin(*v.LABEL_TAIL))
+    left = spans(find_all(text, v.NAME_RUN + r"(?=\s*:\s*(?:[A-Z]\.|[A-Z][a-z]+)(?:[ \u00a0]*(?:[A-Z]\.|[A-Z][a-z]+)){1,3})"), "PERSON_NAME", "label-pair")
+    words = lambda h: F.split(h["value"], r"[\s\u00a0]+")
+    return only(text.contains(":"), F.filter(left, lambda h: F.size(words(h)).between(2, 4) & ~F.lower(F.element_at(words(h), -1)).isin(*v.LABEL_TAIL)))
 
 
-def role_anchors(units: DataFrame) -> DataFrame:
+@Detector
+def role_anchors(text: Column) -> Column:
     """Names behind "being", "namely", "is our", or before "is our" and a role."""
     token = r"[A-Z][A-Za-z.'’-]*"
-    name = token + r"(?:[  ]*" + token + r"){1,3}"
+    name = token + r"(?:[ \u00a0]*" + token + r"){1,3}"
     role = r"(?i:company\s+secretary|chairman|managing director|executive director|promoter)"
-    hits = F.concat(find_all(F.col("text"), r"(?<=\b(?i:being|namely|namely,|is our|are our)\s{1,4})" + name), find_all(F.col("text"), r"\b" + name + r"(?=\s+(?i:is|are)\s+our\s+" + role + ")"))
-    return _spans(units, hits, "PERSON_NAME", "role-anchor").filter(looks_like_name(F.col("value")))
+    behind = find_all(text, r"(?<=\b(?i:being|namely|namely,|is our|are our)\s{1,4})" + name)
+    before = find_all(text, r"\b" + name + r"(?=\s+(?i:is|are)\s+our\s+" + role + ")")
+    cue = text.rlike(r"(?i)\b(?:being|namely|(?:is|are)\s+our)\b")
+    return only(cue, F.filter(spans(F.concat(behind, before), "PERSON_NAME", "role-anchor"), lambda h: looks_like_name(h["value"])))
 
 
-def all_caps_names(units: DataFrame) -> DataFrame:
+@Detector
+def all_caps_names(text: Column) -> Column:
     """Runs of two to four capitalised words in the 400 characters behind a list label."""
     label = r"(?i)\b(?:our\s+)?(?:promoters?|promoter\s+selling\s+shareholders?|directors?|individual\s+promoters?)\s*:\s*"
-    keys = units.select("k", "text", F.inline(find_all(F.col("text"), label)))
-    tail = keys.select("k", F.col("end").alias("by"), F.substring(F.col("text"), F.col("end") + 1, F.lit(400)).alias("tail"))
-    out = tail.select("k", F.inline(shifted(find_all(F.col("tail"), r"[A-Z]+(?:[  ]+[A-Z]+){1,3}"), F.col("by"))))
-    value = F.regexp_replace("value", r"(?:\s+(?:AND|OR|&))+$", "")
-    out = out.select("k", "start", (F.col("start") + F.length(value)).alias("end"), F.lit("PERSON_NAME").alias("ptype"), value.alias("value"), F.lit("all-caps-list").alias("source"))
-    return out.filter(~looks_like_organisation(F.col("value")) & F.forall(F.split("value", r"[  ]+"), lambda w: F.length(w) <= 14))
+    value = lambda h: F.regexp_replace(h["value"], r"(?:\s+(?:AND|OR|&))+$", "")
+    hits = _behind(text, label, 400, r"[A-Z]+(?:[ \u00a0]+[A-Z]+){1,3}")
+    cut = F.transform(hits, lambda h: span(h["start"], h["start"] + F.length(value(h)), "PERSON_NAME", value(h), "all-caps-list"))
+    short = lambda h: F.forall(F.split(h["value"], r"[ \u00a0]+"), lambda w: F.length(w) <= 14)
+    return only(text.contains(":"), F.filter(cut, lambda h: ~looks_like_organisation(h["value"]) & short(h)))
 
 
-def family_trusts(units: DataFrame) -> DataFrame:
-    return _spans(units, find_all(F.col("text"), v.FAMILY_TRUST), "COMPANY", "family-trust")
+@Detector
+def family_trusts(text: Column) -> Column:
+    return spans(find_all(text, v.FAMILY_TRUST), "COMPANY", "family-trust")
 
 
-def designation_table(units: DataFrame, within: str) -> DataFrame:
-    """Units that are a name, one of whose next two units in the sequence starts with a designation. units: k, text and the column of the sequence."""
+def _designated(within: str) -> Column:
+    """The unit as a name, if one of the next two units in the sequence starts with a designation."""
     w = W.partitionBy(within).orderBy("k")
     titles = "(?i)^(?:" + "|".join(t.replace("-", r"\-") for t in v.DESIGNATIONS) + ")"
     near = reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.lead("text", i).over(w)).rlike(titles), F.lit(False)) for i in (1, 2)])
     flat = F.trim("text")
-    named = units.withColumn("near", near).filter(F.col("near") & (F.length(flat) <= 60) & flat.rlike("^(?:" + v.NAME_RUN + ")$") & looks_like_name(flat))
-    start = (F.length("text") - F.length(F.ltrim("text"))).cast("int")
-    return named.select("k", start.alias("start"), (start + F.length(flat)).cast("int").alias("end"), F.lit("PERSON_NAME").alias("ptype"), flat.alias("value"), F.lit("designation-table").alias("source"))
+    named = near & (F.length(flat) <= 60) & flat.rlike("^(?:" + v.NAME_RUN + ")$") & looks_like_name(flat)
+    start = F.length("text") - F.length(F.ltrim("text"))
+    return only(named, F.array(span(start, start + F.length(flat), "PERSON_NAME", flat, "designation-table")))
+
+
+def designation_table(units: DataFrame, within: str) -> DataFrame:
+    """Units that are a name, one of whose next two units in the sequence starts with a designation. units: k, text and the column of the sequence."""
+    return units.withColumn("_named", _designated(within)).select("k", F.inline("_named"))
 
 
 #: In the order that breaks ties between equal spans.
 PATTERN_DETECTORS = (emails, urls, phones_international, phones_std, dins, ssns, cards, ip_addresses, birth_dates, label_pairs, role_anchors, all_caps_names, family_trusts)
 
 
-def detect(units: DataFrame, detectors: tuple = PATTERN_DETECTORS) -> DataFrame:
-    """All candidates of all detectors, with det_ord, the place of theirs."""
-    return reduce(DataFrame.unionByName, [d(units).withColumn("det_ord", F.lit(i)) for i, d in enumerate(detectors)])
+def _ordered(hits: Column, order: int) -> Column:
+    return F.transform(hits, lambda h: F.struct(*[h[c].alias(c) for c in SPAN], F.lit(order).alias("det_ord")))
+
+
+def _candidates(detectors: tuple[Detector, ...]) -> Column:
+    return F.concat(*[_ordered(d.hits(F.col("text")), i) for i, d in enumerate(detectors)])
+
+
+def detect(units: DataFrame, detectors: tuple[Detector, ...] = PATTERN_DETECTORS) -> DataFrame:
+    """All candidates of all detectors, with det_ord, the place of theirs; one pass over the texts."""
+    return units.select("k", F.inline(_candidates(detectors)))
 
 
 def scan(units: DataFrame, people: list[str] = (), organisations: list[str] = (), within: str | None = None) -> DataFrame:
     """The accepted spans of all detectors: candidates are resolved, addresses are sought with the accepted ones as their
-    bounds, and candidates and addresses are resolved again. within: the column of the sequence the units stand in."""
-    found = [d(units) for d in PATTERN_DETECTORS]
-    found += [walkers.contacts(units), walkers.companies(units, [*organisations, *people])]
+    bounds, and candidates and addresses are resolved again.
+
+    All of it happens in the row of the unit, in one pass that crosses to Python once, so nothing is shuffled; within, the column of the sequence the units stand
+    in, adds what looks at neighbours, at the price of one shuffle by it."""
+    ship(units.sparkSession)
+    pairs = walkers.learned_pairs(units, people) if people else []
+    out = units.select("k", "text", *([within] if within is not None else []))
+    found = _candidates(PATTERN_DETECTORS)
+    if within is not None:
+        out = out.withColumn("_named", _designated(within))
+        found = F.concat(found, _ordered(F.col("_named"), 98))
+    out = out.withColumn("_found", found)
+    out = out.withColumn("_own", walkers.walked(F.col("_found"), people, organisations, pairs))
+    more = F.col("_own")
     if within is not None:
-        found.append(designation_table(units, within))
-    if people:
-        found.append(walkers.listed_people(units, people, walkers.learned_pairs(units, people)))
-    if organisations:
-        found.append(walkers.listed_companies(units, organisations))
-    first = reduce(DataFrame.unionByName, [f.withColumn("det_ord", F.lit(i)) for i, f in enumerate(found)])
-    more = walkers.addresses(units, resolve(first), within).withColumn("det_ord", F.lit(len(found)))
-    return resolve(first.unionByName(more))
+        out = walkers.linked_lines(out, F.col("_own"), within)
+        more = F.concat("_own", "_more")
+    more = F.transform(more, lambda h, i: F.struct(*[h[c].alias(c) for c in SPAN], (i + 100).alias("det_ord")))
+    out = out.withColumn("_all", accepted(F.concat("_found", more)))
+    return out.select("k", F.inline("_all")).select("k", *SPAN)

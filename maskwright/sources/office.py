@@ -1,0 +1,259 @@
+"""Office documents (zip packages of XML parts): paragraphs as units, and packages with rewritten texts.
+
+A file is the unit of work: each is read, indexed and rewritten in one task, so memory is bounded by the largest file, not
+by their number. Files reach Python in batches of a few rows. Markup that no edit touches comes back byte for byte."""
+
+from __future__ import annotations
+
+import io
+import os
+import re
+import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.shipping import ship
+
+TEXT_PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml")
+CORE_PART = "docProps/core.xml"
+#: What the author fields of a package are set to.
+SCRUBBED = {"dc:creator": "Redaction Pipeline", "cp:lastModifiedBy": "Redaction Pipeline", "dc:title": "Redacted Document"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+UNITS = "path string, part string, idx int, cell int, text string"
+
+_TAG = re.compile(r"<(/?)(w:p|w:tc|w:t|w:instrText|w:delText)(?=[\s/>])((?:[^>\"]|\"[^\"]*\")*?)(/?)>")
+_CHAR = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#x([0-9A-Fa-f]+));|.", re.S)
+
+
+@dataclass
+class Node:
+    """A text element of XML: [open, inner) is its start tag, [inner, close) what it holds."""
+
+    open: int
+    inner: int
+    close: int = 0
+    text: str = ""
+    marks: list[int] = field(default_factory=list)  # where each character of the text starts, and the end
+
+
+@dataclass
+class Paragraph:
+    start: int
+    cell: int
+    nodes: list[Node] = field(default_factory=list)
+
+    @property
+    def text(self) -> str:
+        return "".join(n.text for n in self.nodes)
+
+
+def decode(raw: str) -> tuple[str, list[int]]:
+    """Characters with their places in the markup; entities that are not known stay as they are written."""
+    chars, marks, at = [], [], 0
+    while at < len(raw):
+        m = _CHAR.match(raw, at)
+        code = int(m[2]) if m[2] else int(m[3], 16) if m[3] else 0
+        known = m[1] or 0 < code <= 0x10FFFF
+        chars.append(ENTITIES[m[1]] if m[1] else chr(code) if known else raw[at])
+        marks.append(at)
+        at = m.end() if known else at + 1
+    return "".join(chars), [*marks, len(raw)]
+
+
+def paragraphs(xml: str) -> list[Paragraph]:
+    """In order of their start tags. A text belongs to the innermost paragraph around it, a paragraph to the innermost table cell (-1: none)."""
+    out: list[Paragraph] = []
+    open_paragraphs: list[Paragraph] = []
+    cells: list[int] = []
+    seen_cells, node = 0, None
+    for m in _TAG.finditer(xml):
+        closing, name, empty = m[1] == "/", m[2], m[4] == "/"
+        if name == "w:p":
+            if closing:
+                del open_paragraphs[-1:]
+            else:
+                out.append(Paragraph(m.start(), cells[-1] if cells else -1))
+                if not empty:
+                    open_paragraphs.append(out[-1])
+        elif name == "w:tc":
+            if closing:
+                del cells[-1:]
+            elif not empty:
+                cells.append(seen_cells)
+            seen_cells += not closing
+        elif closing:
+            if node and open_paragraphs:
+                node.close = m.start()
+                node.text, node.marks = decode(xml[node.inner : node.close])
+                open_paragraphs[-1].nodes.append(node)
+            node = None
+        elif not empty:
+            node = Node(m.start(), m.end())
+    return out
+
+
+def _escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def shares(lengths: list[int], total: int) -> list[int]:
+    """`total` characters dealt to pieces in proportion to their lengths, rounded half up; the last takes what is left."""
+    whole, left, out = sum(lengths), total, []
+    for n in lengths[:-1]:
+        out.append(min(left, (n * left + whole // 2) // whole))
+        left -= out[-1]
+    return [*out, left]
+
+
+def rewrite(xml: str, edits: list[tuple[int, int, int, str]]) -> tuple[str, int]:
+    """edits: paragraph, start, end, text. The XML with the edits and the number of text elements that changed. A new text
+    is dealt to the elements the old one stood in. Edits that overlap raise an error."""
+    pars = paragraphs(xml)
+    by_node: dict[int, tuple[Node, list[tuple[int, int, str]]]] = {}
+    for idx, start, end, text in sorted(set(edits)):
+        at, touched = 0, []
+        for node in pars[idx].nodes:
+            a, b = max(start, at), min(end, at + len(node.text))
+            if a < b:
+                touched.append((node, a - at, b - at))
+            at += len(node.text)
+        for (node, a, b), n in zip(touched, shares([b - a for _, a, b in touched], len(text)) if touched else []):
+            by_node.setdefault(node.open, (node, []))[1].append((a, b, text[:n]))
+            text = text[n:]
+    changed = 0
+    for _, (node, parts) in sorted(by_node.items(), reverse=True):
+        raw = inner = xml[node.inner : node.close]
+        last = len(node.text)
+        for a, b, text in sorted(parts, reverse=True):
+            if b > last:
+                raise ValueError("edits overlap")
+            inner, last = inner[: node.marks[a]] + _escape(text) + inner[node.marks[b] :], a
+        if inner == raw:
+            continue
+        tag = xml[node.open : node.inner]
+        if "xml:space" not in tag and (inner.startswith(" ") or inner.endswith(" ")):
+            tag = tag[:-1].rstrip() + ' xml:space="preserve">'
+        xml = xml[: node.open] + tag + inner + xml[node.close :]
+        changed += 1
+    return xml, changed
+
+
+def scrub(core: str) -> str:
+    """Author, last editor and title replaced; the first of each."""
+    for tag, text in SCRUBBED.items():
+        core = re.sub(rf"(<{tag}\b[^>]*>)(.*?)(</{tag}>)", lambda m: m[1] + text + m[3], core, count=1, flags=re.S)
+    return core
+
+
+def rewrite_package(content: bytes, edits: dict[str, list[tuple[int, int, int, str]]]) -> tuple[bytes, int]:
+    """The package with every part's edits, its entries in the same order with the same dates and compression."""
+    out, changed = io.BytesIO(), 0
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
+        for info in old.infolist():
+            data = old.read(info)
+            if info.filename == CORE_PART:
+                data = scrub(data.decode()).encode()
+            elif edits.get(info.filename):
+                xml, n = rewrite(data.decode(), edits[info.filename])
+                data, changed = xml.encode(), changed + n
+            copy = zipfile.ZipInfo(info.filename, info.date_time)
+            copy.compress_type, copy.create_system = info.compress_type, info.create_system
+            copy.external_attr, copy.internal_attr = info.external_attr, info.internal_attr
+            new.writestr(copy, data)
+    return out.getvalue(), changed
+
+
+# Frames
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of every document under a path or glob."""
+    ship(spark)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def read_units(files: DataFrame) -> DataFrame:
+    """k (path, part, idx), text, cell and sequence (path, part) of every paragraph that is not blank. A file that is no package raises an error with its path."""
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        parts = {n: z.read(n).decode() for n in z.namelist() if TEXT_PART.fullmatch(n)}
+                except zipfile.BadZipFile as e:
+                    raise ValueError(f"no office document: {path}") from e
+                for part, xml in sorted(parts.items()):
+                    rows = [(path, part, i, p.cell, p.text) for i, p in enumerate(paragraphs(xml)) if p.text.strip()]
+                    yield pd.DataFrame(rows, columns=["path", "part", "idx", "cell", "text"])
+
+    found = files.select("path", "content").mapInPandas(index, UNITS)
+    return found.select(F.struct("path", "part", "idx").alias("k"), F.struct("path", "part").alias("sequence"), "cell", "text")
+
+
+def write_packages(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content, changed: every file with its edits (k, start, end, fake). The edits of a file meet it in one join by path."""
+    ship(files.sparkSession)
+    one = F.struct(F.col("k.part").alias("part"), F.col("k.idx").alias("idx"), "start", "end", "fake")
+    by_file = edits.groupBy(F.col("k.path").alias("path")).agg(F.collect_list(one).alias("edits"))
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content, todo in zip(batch["path"], batch["content"], batch["edits"]):
+                parts: dict[str, list] = {}
+                for e in todo if todo is not None else []:
+                    parts.setdefault(e["part"], []).append((int(e["idx"]), int(e["start"]), int(e["end"]), e["fake"]))
+                new, changed = rewrite_package(content, parts)
+                yield pd.DataFrame([(path, new, changed)], columns=["path", "content", "changed"])
+
+    return files.join(by_file, "path", "left").select("path", "content", "edits").mapInPandas(apply, "path string, content binary, changed int")
+
+
+def save(packages: DataFrame, out: str) -> DataFrame:
+    """Write each package as out/<file name>, a folder every worker reaches, in the tasks themselves; path, target, changed. A retried task writes the same bytes over its file: written aside, then renamed."""
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(out, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for path, content, changed in zip(batch["path"], batch["content"], batch["changed"]):
+                target = os.path.join(out, os.path.basename(path))
+                aside = f"{target}.{os.getpid()}.part"
+                with open(aside, "wb") as f:
+                    f.write(content)
+                os.replace(aside, target)
+                rows.append((path, target, changed))
+            yield pd.DataFrame(rows, columns=["path", "target", "changed"])
+
+    return packages.mapInPandas(store, "path string, target string, changed int")
+
+
+def pieces_intact(files: DataFrame) -> DataFrame:
+    """path, is_zip, entries_ok, xml_ok: whether each file is a package whose entries can be read and whose XML parses."""
+    ship(files.sparkSession)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                is_zip = content[:2] == b"PK" and zipfile.is_zipfile(io.BytesIO(content))
+                entries = xml = False
+                if is_zip:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        entries = xml = z.testzip() is None
+                        for n in z.namelist() if entries else []:
+                            if n.endswith((".xml", ".rels")):
+                                try:
+                                    ElementTree.fromstring(z.read(n))
+                                except ElementTree.ParseError:
+                                    xml = False
+                rows.append((path, is_zip, entries, xml))
+            yield pd.DataFrame(rows, columns=["path", "is_zip", "entries_ok", "xml_ok"])
+
+    return files.select("path", "content").mapInPandas(check, "path string, is_zip boolean, entries_ok boolean, xml_ok boolean")
