@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.shipping import ship
+
 
 def similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.9 if one holds the other, else twice the common characters over all characters."""
@@ -31,3 +36,39 @@ def score(gold: DataFrame, found: DataFrame) -> DataFrame:
     out = out.withColumn("type", F.coalesce("type", F.lit("ALL"))).withColumn("fp", F.col("found") - F.col("tp")).withColumn("fn", F.col("gold") - F.col("tp"))
     m = metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0))
     return out.select("type", "gold", "found", "tp", "fp", "fn", "exact", *[F.round(m[c], 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def likeness(a: str, b: str) -> float:
+    """similarity() of two strings."""
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return 0.9
+    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
+def match(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """gold, found: type, part, n, text. One to one, in the order of n: each gold span takes the most similar span of its
+    type and part that is still free, the first of equal ones. Columns type, part, n, found_n (null: none), similarity.
+
+    A group is the spans of one type in one part of one document, so its size is bounded by a document. Null texts match
+    nothing."""
+    ship(gold.sparkSession)
+
+    def greedy(key: tuple, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        free = {int(r.n): r.text for r in have.sort_values("n").itertuples() if r.text is not None}
+        rows = []
+        for r in want.sort_values("n").itertuples():
+            close = [(likeness(r.text, t), -n) for n, t in free.items()] if r.text is not None else []
+            best = max(close, default=(0.0, 0))
+            hit = best[0] >= least
+            if hit:
+                del free[-best[1]]
+            rows.append((*key, r.n, -best[1] if hit else None, best[0] if hit else None))
+        out = pd.DataFrame(rows, columns=["type", "part", "n", "found_n", "similarity"])
+        return out.astype({"found_n": "Int64"})
+
+    cols = ("type", "part", "n", "text")
+    groups = gold.select(*cols).groupBy("type", "part").cogroup(found.select(*cols).groupBy("type", "part"))
+    part = gold.schema["part"].dataType.simpleString()
+    return groups.applyInPandas(greedy, f"type string, part {part}, n long, found_n long, similarity double")

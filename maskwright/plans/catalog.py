@@ -12,7 +12,8 @@ from maskwright import vocabulary as v
 from maskwright.functions.fakes import Fakes
 from maskwright.functions.text import canonical, looks_like_name, looks_like_organisation, norm_key, url_host
 from maskwright.operators import detect as d
-from maskwright.operators.quality import metrics, score, similarity
+from maskwright.operators import walkers
+from maskwright.operators.quality import match, metrics, score, similarity
 from maskwright.operators.resolve import resolve
 from maskwright.operators.rewrite import collisions, mapping, redact, with_keys
 from maskwright.plans.corpora import units, units_sql
@@ -129,6 +130,21 @@ _derived("role_anchor_names", "role", d.role_anchors, "CASE WHEN k % 3 = 2 THEN
 _derived("allcaps_names", "caps", d.all_caps_names, "CASE WHEN starts_with(text, 'RISKS') THEN '' ELSE split_part(text, ': ', 2) END")
 _derived("family_trust_spans", "org", d.family_trusts, "regexp_extract(text, '[A-Z][a-z]+ Freight Family Trust')")
 
+_derived("company_spans", "org", walkers.companies, "regexp_extract(text, '[A-Z][a-z]+ Freight Private Limited')")
+_derived("contact_names", "contact", walkers.contacts, "CASE WHEN ends_with(text, 'E-mail') THEN '' ELSE regexp_extract(text, '(Asha Rao|Ravi Nair)') END")
+_derived("address_spans", "addr", walkers.addresses, "text")
+_derived("gazetteer_companies", "org", lambda u: walkers.listed_companies(u, ["Alder Freight", "Alder", "Sebi"]), "regexp_extract(text, 'Alder Freight')")
+
+
+@query("gazetteer_people", f"SELECT k, unnest(regexp_extract_all(text, 'Asha Rao|John Doe')) AS value FROM {units_sql('pair')}")
+def _(s, sf):
+    return walkers.listed_people(units(s, sf, "pair"), ["Asha Rao", "John Doe", "Doe Rao"]).select("k", "value")
+
+
+@query("scan_documents")
+def _(s, sf):
+    return d.scan(_documents(s, sf))
+
 
 @query("designation_names", f"SELECT k, trim(text) AS value FROM (SELECT k, text, k // 100 AS part, lead(text, 1) OVER w AS a, lead(text, 2) OVER w AS b FROM {units_sql('seq')} WINDOW w AS (PARTITION BY k // 100 ORDER BY k)) WHERE text = 'Asha Rao' AND (starts_with(coalesce(a, ''), 'Managing Director') OR starts_with(coalesce(b, ''), 'Managing Director'))")
 def _(s, sf):
@@ -246,6 +262,40 @@ def _(s, sf):
     return d.emails(_documents(s, sf)).select("k", Fakes().email(F.col("value")).alias("fake"))
 
 
+_NATIONAL = "substr(cast(9000000000 + c_custkey * 7919 as varchar), 1, 10)"
+_NEW_DIGITS = f"left(reverse(lpad({_n('phone')}::VARCHAR, 40, '0')), 10)"
+
+
+@query("fake_phone", f"SELECT k, '+91 ' || left({_NEW_DIGITS}, 5) || ' ' || right({_NEW_DIGITS}, 5) AS fake FROM (SELECT c_custkey AS k, {_NATIONAL} AS key FROM customer)")
+def _(s, sf):
+    f = Fakes()
+    found = d.phones_international(units(s, sf, "phone"))
+    return found.select("k", f.phone(f.subscriber(F.col("value")), F.col("value")).alias("fake"))
+
+
+_WORDS = "[" + ", ".join(f"'{w}'" for w in v.URL_PATH_WORDS) + "]"
+_AMONG = f"CASE WHEN len(list_filter({_WORDS}, lambda p: left(p, 1) = lower(left(r, 1)))) > 0 THEN list_filter({_WORDS}, lambda p: left(p, 1) = lower(left(r, 1))) ELSE {_WORDS} END"
+_TAIL = f"array_to_string(list_transform(regexp_extract_all(path, '[A-Za-z]+|[^A-Za-z]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN left(list_sort(list_transform({_AMONG}, lambda p: {{'far': abs(length(p) - length(r)), 'w': p}}))[1].w || repeat(({_AMONG})[1], length(r)), length(r)::INT) ELSE r END), '')"
+
+
+@query("fake_url", f"""
+WITH a AS (SELECT page_id AS k, url, lower(regexp_extract(url, '^(?i)https?://')) AS scheme FROM pages WHERE url IS NOT NULL
+), b AS (SELECT *, substr(url, length(scheme) + 1) AS rest FROM a
+), c AS (SELECT *, split_part(rest, '/', 1) AS host FROM b
+), e AS (SELECT *, substr(rest, length(host) + 2) AS path, CASE WHEN contains(host, '.') AND lower(split_part(host, '.', -1)) IN ('com', 'net', 'org') THEN lower(split_part(host, '.', -1)) ELSE 'com' END AS tld FROM c
+), g AS (SELECT *, coalesce(list_filter(['www.example.' || tld, 'example.' || tld, 'example.net', 'example.org', 'test.invalid', 'test'], lambda h: length(h) <= length(host))[1], 'test') AS fake_host FROM e)
+SELECT k, scheme || fake_host || CASE WHEN contains(rest, '/') THEN '/' || left({_TAIL}, greatest(0, length(url) - length(scheme) - length(fake_host) - 1)::INT) ELSE '' END AS fake FROM g
+""")
+def _(s, sf):
+    pages = _table(s, sf, "pages").filter("url IS NOT NULL")
+    return pages.select(F.col("page_id").alias("k"), Fakes().url(F.col("url")).alias("fake"))
+
+
+@query("fake_company")
+def _(s, sf):
+    return mapping(walkers.companies(units(s, sf, "org"))).select("key", "original", "fake")
+
+
 _CITY, _PIN = _pick(v.CITIES, "addr-city"), _digits(6, "addr-pin")
 _LONG = f"({_n('addr-house')} % 900 + 1)::VARCHAR || ', ' || {_pick(v.BUILDING_WORDS, 'addr-building')} || ' Apartments, ' || {_pick(v.STREET_NAMES, 'addr-street')} || ' ' || {_pick(v.STREET_TYPES, 'addr-type')} || ', ' || {_CITY} || ' – ' || {_PIN}"
 
@@ -390,6 +440,13 @@ def _(s, sf):
     return score(_gold(s, sf), _found(s, sf))
 
 
+@query("greedy_match")
+def _(s, sf):
+    gold = _gold(s, sf).select(F.col("ptype").alias("type"), F.floor(F.col("k") / 10).alias("part"), F.col("k").alias("n"), F.col("value").alias("text"))
+    found = _found(s, sf).select(F.col("ptype").alias("type"), F.floor(F.col("k") / 10).alias("part"), F.col("k").alias("n"), F.col("value").alias("text"))
+    return match(gold, found)
+
+
 @query("coverage", f"SELECT ptype, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM ({_FOUND_SQL}) f WHERE f.k = g.k AND f.ptype = g.ptype AND contains(f.value, g.value))) AS covered FROM ({_GOLD_SQL}) g GROUP BY ptype")
 def _(s, sf):
     g, f = _gold(s, sf), _found(s, sf).select("k", "ptype", F.col("value").alias("hit"))
