@@ -12,7 +12,8 @@ def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches (code points, end exclusive). The pattern must not match the empty string.
 
     Matches are fenced by two control characters, which are blanked out of the text first, and the text is split at them: every second piece is a match."""
-    plain = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    whole = F.coalesce(text, F.lit(""))
+    plain = F.when(whole.contains(OPEN) | whole.contains(CLOSE), F.translate(whole, OPEN + CLOSE, "  ")).otherwise(whole)
     pieces = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
