@@ -167,6 +167,60 @@ def test_similarity_is_sensitive_to_order():
     assert near.similarity(near.kmers(a)[1], near.kmers(b)[1]) < 0.8
 
 
+def plain_similarity(s, t):
+    """By the textbook's table over 5-word tuples."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (s.split(), t.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def repeated_lines(rng):
+    lines = [" ".join(f"w{rng.integers(400)}" for _ in range(int(rng.integers(5, 12)))) for _ in range(6)]
+    a = [lines[rng.integers(6)] for _ in range(int(rng.integers(10, 30)))]
+    b = list(a)
+    for _ in range(int(rng.integers(1, 4))):
+        at = int(rng.integers(0, len(b) // 2))
+        b[at : at + 1] = [[], [lines[rng.integers(6)]], ["changed " + b[at]], [b[at], b[at]]][rng.integers(4)]
+    return " ".join(a), " ".join(b)
+
+
+def test_similarity_of_repeated_lines_equals_brute_force():
+    rng = np.random.default_rng(8)
+    pairs = [repeated_lines(rng) for _ in range(150)]
+    want = [plain_similarity(*p) for p in pairs]
+    got = [near.similarity(near.kmers(s)[0], near.kmers(t)[0]) for s, t in pairs]
+    assert got == pytest.approx([w if w >= 0.8 - 1e-9 else 0 for w in want]) and 30 < sum(w >= 0.8 for w in want) < 145
+    for (s, t), w in zip(pairs, want, strict=True):
+        (a, la), (b, lb) = near.kmers(s), near.kmers(t)
+        if w >= 0.8:
+            assert set(near.keys(a, la).tolist()) & set(near.keys(b, lb).tolist())
+
+
+def test_banded_lcs_over_stretches():
+    rng = np.random.default_rng(9)
+    for n in (300, 900, 2500):
+        a = rng.integers(0, 60, n).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, n, n // 12))
+        b[rng.integers(0, len(b), n // 30)] = 99
+        full = decontaminate.lcs(a, b)
+        for need in (full, full - n // 20, n // 2, 0):
+            assert near.banded_lcs(a, b, need) == near.banded_lcs(b, a, need) == full
+        assert near.banded_lcs(a, b, full + 1) <= full
+
+
+def test_near_links_texts_of_repeated_lines(spark):
+    lines = [" ".join(f"l{j}w{i}" for i in range(8)) for j in range(5)]
+    a = [lines[j % 5] for j in range(40)]
+    b = [*a[:1], "an edit near the start of it", *a[2:]]
+    got = near.near_classes(docs(spark, [(1, " ".join(a), "s"), (2, " ".join(b), "s")])).collect()
+    assert plain_similarity(" ".join(a), " ".join(b)) > 0.9 and {r["class_id"] for r in got} == {1}
+
+
 def test_near_awkward(spark):
     d = awkward(spark)
     rows = near.near_classes(d).collect()
