@@ -17,9 +17,9 @@ all tables about 5 times in a million, with repeated k-mers or without.
 Equal texts are collapsed first, with their count. A key's texts are compared with the one among them that shares
 most keys with others, which stands in the middle of a group of copies; components of the links found so far give
 labels. Where a key still holds texts under different labels, pairs across labels are compared if SKETCH minima of
-their k-mers put their similarity no more than three standard errors below the threshold (a pair at the threshold
-passes 999 times in 1000, one at 0.85 always but for a few in ten million). Pairs within a label are not needed: classes are the connected components of the verified links. So a large group of copies costs comparisons in
-proportion to it. Large keys are joined by joins whose partitions Spark splits, and searched for pairs in blocks of
+their k-mers put their similarity no more than ERRORS standard errors below the threshold (a pair at the threshold fails
+about once in a hundred million). Pairs within a label are not needed: classes are the connected components of the
+verified links. So a large group of copies costs comparisons in proportion to it. Large keys are joined by joins whose partitions Spark splits, and searched for pairs in blocks of
 BLOCK texts against BLOCK, each a task's group of its own.
 
 Null and empty texts have no k-mers and link to nothing but texts equal to them (null counts as empty). A class's id
@@ -46,6 +46,7 @@ TABLES = 40
 SAMPLE = 6
 SMALL = 30
 SKETCH = 256
+ERRORS = 6
 BLOCK = 1024
 _CHUNK = 8192
 _SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (2, TABLES), dtype=np.uint64) | np.uint64(1)
@@ -115,6 +116,11 @@ def sketch(labelled: np.ndarray) -> np.ndarray:
     return (out & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+def least_agreement(threshold: float) -> float:
+    """Share of equal minima below which two texts are taken not to reach the threshold."""
+    return threshold - ERRORS * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+
 def banded_lcs(a: np.ndarray, b: np.ndarray, need: int) -> int:
     """Length of the longest common subsequence if it is `need` or more, else a number below that. Bit-parallel over a, a
     stretch of b at a time; only the places of a that an alignment of that length can match are held, a bit each."""
@@ -261,7 +267,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 def _across(open_: DataFrame, threshold: float) -> DataFrame:
     """open_: key, rid, c (texts under the key), label, n, keys, sketch. Pairs (a, b) under different labels whose sketches come near the threshold; each pair that shares a table once, under the first they share."""
-    least = threshold - 3 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+    least = least_agreement(threshold)
 
     def of(g: pa.Table) -> list[tuple[bytes, bytes]]:
         key, same = g.column("key")[0].as_py(), g.column("same")[0].as_py()

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -221,6 +222,11 @@ def test_near_links_texts_of_repeated_lines(spark):
     assert plain_similarity(" ".join(a), " ".join(b)) > 0.9 and {r["class_id"] for r in got} == {1}
 
 
+def test_sketch_bound_loses_less_than_the_tables():
+    least = math.ceil(256 * near.least_agreement(0.8))
+    assert sum(math.comb(256, k) * 0.8**k * 0.2 ** (256 - k) for k in range(least)) < 1e-7
+
+
 def test_near_awkward(spark):
     d = awkward(spark)
     rows = near.near_classes(d).collect()
