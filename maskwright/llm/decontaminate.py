@@ -8,7 +8,7 @@
 3. Search: windows of each size class slide over every document at half their length; windows and benchmark items meet
    in the whitened latent space (rows of V scaled by 1/s), and pairs with a cosine of COSINE or more are candidates. An
    item is sought by windows of the largest class that isn't longer than it (the smallest class for shorter items).
-   A candidate window that has under SHARED of its words in common with the item is no part of a leak, and goes.
+   A candidate goes if the stretch that step 4 reads around it holds under PARA of the item's words: it can't leak.
 4. Check: the longest common subsequence of the item and the document around the window, over the item's length. A
    candidate leaks if that is FULL or more, or if it is PARA or more and the answer, the item's last words (a fifth,
    three at least), is found too: ANSWER of them in order.
@@ -39,9 +39,8 @@ EXTRA = 4
 STEP = 8
 PASSAGE = 48
 CLASSES = (8, 16, 32, 64)
-COSINE = 0.42
+COSINE = 0.25
 FULL, PARA, ANSWER = 0.8, 0.6, 0.6
-SHARED = 0.45
 LEAST = 6
 BLOCK = 20_000
 _SEED = 10
@@ -195,13 +194,13 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 def leak(item: np.ndarray, around: np.ndarray) -> float | None:
     """Share of the item that the text around a window holds in order; None if it is no leak."""
     m = len(item)
-    if np.isin(around, item).sum() < PARA * m:
-        return None
     share = lcs(item, around) / m
+    if share < PARA:
+        return None
     if share >= FULL:
         return share
     answer = item[-max(3, m // 5) :]
-    return share if share >= PARA and lcs(answer, around) >= ANSWER * len(answer) else None
+    return share if lcs(answer, around) >= ANSWER * len(answer) else None
 
 
 class _Items:
@@ -209,30 +208,12 @@ class _Items:
 
     def __init__(self, rows: list[tuple[int | None, np.ndarray]], space: np.ndarray) -> None:
         self.rows, self.space, self.by = rows, space, {}
-        self.words = np.zeros(1 << 24, bool)  # of hashed (item, word): which words an item has
-        for i, (_, w) in enumerate(rows):
-            self.words[self._at(np.full(len(w), i), w)] = True
-        self.size = np.array([len(w) for _, w in rows])
         size = np.array([max([c for c in CLASSES if c <= len(w)], default=CLASSES[0]) for _, w in rows])
         for c in CLASSES:
             if len(at := np.flatnonzero(size == c)):
                 v = np.stack([space[_feature(rows[i][1])].sum(0) for i in at])
                 self.by[c] = ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32), at)
 
-    @staticmethod
-    def _at(item: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return ((item.astype(np.uint64) * np.uint64(65536) + w) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-
-    def _plausible(self, w: np.ndarray, start: np.ndarray, item: np.ndarray, c: int) -> np.ndarray:
-        """Which windows have SHARED or more of their words (or of the item's, if it is shorter) in common with the item: a leak has such a window."""
-        need = SHARED * np.minimum(c, self.size[item])
-        out = np.zeros(len(start), bool)
-        for lo in range(0, len(start), 1 << 15):
-            part = w[np.minimum(start[lo : lo + (1 << 15), None] + np.arange(c), len(w) - 1)]
-            n = (self.words[self._at(item[lo : lo + (1 << 15), None], part)] & (part > 0)).sum(1)
-            out[lo : lo + (1 << 15)] = n >= need[lo : lo + (1 << 15)]
-        return out
-
     def found(self, rows: list, w: np.ndarray, starts: np.ndarray) -> dict[int, dict[int, float]]:
         """Of the documents in the array: row -> item -> share."""
         out: dict[int, dict[int, float]] = {}
@@ -250,24 +231,36 @@ class _Items:
                 sums, width = sums[:-width] + sums[width:], 2 * width
             window = sums[first]
             window = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            near = window @ vectors.T >= COSINE
-            which, items = np.divmod(np.flatnonzero(near), near.shape[1])
-            ok = self._plausible(w, first[which] * STEP, at[items], c)
-            which, items = which[ok], items[ok]
-            docs = np.searchsorted(starts, first[which] * STEP, side="right") - 1
-            # a window over a document's end is sought in the next one as well
-            last = np.searchsorted(starts, np.minimum(first[which] + k, len(blocks)) * STEP - 1, side="right") - 1
-            for b, i, d0, d1 in zip(first[which].tolist(), at[items].tolist(), docs.tolist(), last.tolist(), strict=True):
-                item = self.rows[i][1]
-                for d in range(d0, d1 + 1):
-                    if i in out.get(d, ()) and out[d][i] >= 1:
-                        continue
-                    lo, hi = max(int(starts[d]), b * STEP - len(item)), min(int(ends[d]), (b + k) * STEP + len(item))
-                    around = w[lo:hi]
-                    share = leak(item, around[around > 0])
-                    if share is not None:
-                        own = out.setdefault(d, {})
-                        own[i] = max(share, own.get(i, 0.0))
+            near = (window @ vectors.T >= COSINE).T
+            docs = np.searchsorted(starts, first * STEP, side="right") - 1
+            # a window over a document's end is sought in the next ones as well
+            more = np.searchsorted(starts, np.minimum(first + k, len(blocks)) * STEP - 1, side="right") - docs
+            win = np.repeat(np.arange(len(first)), more)
+            doc = docs[win] + np.arange(len(win)) - np.repeat(np.cumsum(more) - more, more)
+            for i, hits in zip(at.tolist(), near, strict=True):
+                x = np.flatnonzero(hits[win])
+                if not len(x):
+                    continue
+                item, m = self.rows[i][1], len(self.rows[i][1])
+                words, times = np.unique(item, return_counts=True)
+                place = np.full(1 << 16, -1, np.int32)
+                place[words] = np.arange(len(words))
+                place = place[w]
+                counts = np.append(0, np.cumsum(place >= 0, dtype=np.int32))
+                d, b = doc[x], first[win[x]] * STEP
+                lo, hi = np.maximum(starts[d], b - m), np.maximum(starts[d], np.minimum(ends[d], b + c + m))
+                # leak() reads that stretch, and wants PARA of the item's words there: nothing is lost
+                ok = counts[hi] - counts[lo] >= PARA * m
+                for d, lo, hi in zip(d[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True):
+                    if out.get(d, {}).get(i, 0) < 1:
+                        part = place[lo:hi]
+                        held = part >= 0
+                        if np.minimum(np.bincount(part[held], minlength=len(words)), times).sum() < PARA * m:
+                            continue
+                        share = leak(item, w[lo:hi][held])
+                        if share is not None:
+                            had = out.setdefault(d, {})
+                            had[i] = max(share, had.get(i, 0.0))
         return out
 
 

@@ -389,3 +389,29 @@ def test_leaks_equal_brute_force(spark):
 def test_lcs():
     a, b = np.array([1, 2, 3, 4, 5, 3]), np.array([2, 9, 3, 5, 3, 1])
     assert decontaminate.lcs(a, b) == 4 and decontaminate.lcs(a, b[:0]) == 0
+
+
+def planted(rng, m, at, changed):
+    """An item of m words, and a document that holds it from word `at` on, with so many words changed but for the answer."""
+    item = rng.integers(1, 60_000, m).astype(np.uint16)
+    copy = item.copy()
+    copy[rng.permutation(m - max(3, m // 5))[:changed]] = rng.integers(60_000, 65_000, changed)
+    text = rng.integers(1, 60_000, 80).astype(np.uint16)
+    return item, np.concatenate([text[:at], copy, text[at:]])
+
+
+def missed(cases):
+    """Planted items that leak() accepts and the search doesn't find, in a latent space of random projections."""
+    space = np.random.default_rng(0).normal(size=(decontaminate.FEATURES + 1, decontaminate.RANK)).astype(np.float32)
+    space[-1] = 0
+    seek = decontaminate._Items([(i, item) for i, (item, _) in enumerate(cases)], space)
+    texts = [np.append(t, np.zeros(-len(t) % decontaminate.STEP, np.uint16)) for _, t in cases]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    found = seek.found([(i, len(t)) for i, (_, t) in enumerate(cases)], np.concatenate(texts), starts)
+    return sum(decontaminate.leak(item, t) is not None and i not in found.get(i, {}) for i, (item, t) in enumerate(cases))
+
+
+def test_paraphrases_are_found():
+    rng = np.random.default_rng(5)
+    for m in (20, 24, 31, 48):
+        assert missed([planted(rng, m, int(rng.integers(80)), int(0.35 * m)) for _ in range(200)]) <= 4
