@@ -36,7 +36,7 @@ from maskwright.llm.common import hashed_words, mapped, staged, table, word_tabl
 FEATURES = 1 << 12
 RANK = 48
 EXTRA = 4
-STEP = 8
+STEP = 4
 PASSAGE = 48
 CLASSES = (8, 16, 32, 64)
 COSINE = 0.25

@@ -415,3 +415,10 @@ def test_paraphrases_are_found():
     rng = np.random.default_rng(5)
     for m in (20, 24, 31, 48):
         assert missed([planted(rng, m, int(rng.integers(80)), int(0.35 * m)) for _ in range(200)]) <= 4
+
+
+def test_short_items_are_found_at_every_offset(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COSINE", 0.42)  # so high that windows must overlap by half
+    rng = np.random.default_rng(6)
+    for m in (8, 10, 12, 15):
+        assert missed([planted(rng, m, at, 0) for at in range(16) for _ in range(25)]) <= 2
