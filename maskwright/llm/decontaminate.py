@@ -297,11 +297,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item was found, with all their columns. Rows that share an id go together."""
-    bad = leaks(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    """The documents in which no item was found, with all their columns. Rows are told apart by id and text together."""
+    row_id = F.xxhash64(F.col("doc_id").cast("long"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    bad = leaks(documents.select(row_id.alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     bad = staged(bad)
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("_bad")), "left_anti").select("row.*")
+    rows = documents.select(F.struct("*").alias("row"), row_id.alias("id"))
+    return rows.join(bad, F.col("id") == F.col("_bad"), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

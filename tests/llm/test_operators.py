@@ -422,3 +422,11 @@ def test_short_items_are_found_at_every_offset(monkeypatch):
     rng = np.random.default_rng(6)
     for m in (8, 10, 12, 15):
         assert missed([planted(rng, m, at, 0) for at in range(16) for _ in range(25)]) <= 2
+
+
+def test_clean_rows_stay_beside_leaking_rows_of_their_id(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    clean = " ".join(f"c{i}" for i in range(40))
+    d = docs(spark, [(None, item + " and more", "s"), (None, clean, "s"), (1, "then " + item, "s"), (1, clean, "s"), (1, None, "s")])
+    kept = decontaminate.without_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, clean), (1, ""), (1, clean)]
