@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Each kind is scanned from the left without overlaps; a proposal that fails its check is dropped and not retried in
-a shorter form. Base kinds: e-mail, IPv4, card (14 to 19 digits, Luhn), phone (10 to 15 digits after a plus). The
+a shorter form, but for IBANs, which words in capitals may follow. Base kinds: e-mail, IPv4, card (14 to 19 digits, Luhn), phone (10 to 15 digits after a plus). The
 method adds IBANs (mod 97) and national phone numbers, card numbers of 13 digits (Luhn), the last two only where a
 word nearby speaks for them. A span's score starts from its kind and check, and rises or falls with context words
 in the CONTEXT characters before it and AFTER behind it; it is clipped to 0..1. Base spans are reported at any score.
@@ -74,6 +74,19 @@ def _octets(s: str) -> bool:
     return all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in s.split("."))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches that hold mod 97, cut at a space before what follows them where the whole doesn't."""
+    at = 0
+    while m := IBAN.search(text, at):
+        part = m[0]
+        while len(part.replace(" ", "")) >= 15 and not mod97(part):
+            part = part.rpartition(" ")[0]
+        if len(part.replace(" ", "")) >= 15:
+            yield m.start(), (at := m.start() + len(part))
+        else:
+            at = m.start() + 1
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for s, e in _emails(text):
         yield "email", s, e
@@ -87,9 +100,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= len(_DIGITS.sub("", m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     for m in NATIONAL.finditer(text):
         yield "national", *m.span()
 

@@ -277,6 +277,11 @@ def test_iban_and_context():
     assert not pii.scan("order 415-555-2671 now")
 
 
+def test_iban_before_capitals_and_numbers():
+    for after in (" BIC", " BIC 12", " 77"):
+        assert ("iban", 8, 35) in [x[:3] for x in pii.scan(f"account GB82 WEST 1234 5698 7654 32{after}")]
+
+
 def test_novelty_tells_random_from_plain():
     assert any(x[0] == "novel" for x in secret_scan.scan("aws credentials qZ8xT2vLm9KpR4sWd7Yb"))
     assert not secret_scan.scan("aws credentials session_token_refresh_token1")
