@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,31 +20,49 @@ STRETCH = 1 << 19
 BATCH_ROWS = 2000
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a folder of our own on a local master, and an error on any other."""
     ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+        root = _own[app]
     return f"{root.rstrip('/')}/maskwright-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared scratch folder and read it back: cuts lineage and outlives any executor."""
+    """Write a frame to the shared scratch folder and read it back: cuts lineage and outlives any executor. dropped() deletes it."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow, after making sure that Python workers can import this package."""
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless it was chosen: texts are long
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """mapInArrow in slices of BATCH_ROWS rows, after making sure that Python workers can import this package."""
+    ship(df.sparkSession)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text without its white space is cut where a rolling hash of the last bytes has zero low bits, so that equal
-stretches give equal chunks wherever they stand. A chunk's identifier is a SHA-256 prefix, verified by a second
-hash and the length: the chunk dictionary holds one row for each identifier and tells if all its occurrences agree.
-Two texts are equal if their ordered lists of identifiers are. Only identifiers move between executors, each long
-text is read once where it lies.
-
-A null text counts as empty; empty texts equal each other. Ties in length go to the smallest id, null ids come
-last. Repeated rows are members like any other (the row that stays is unique by id; rows repeating that id share
-its flag). Empty tables give empty results, columns other than doc_id and text are ignored.
+stretches give equal chunks wherever they stand. Chunks are deduplicated into a dictionary of identifiers: a chunk is
+looked up by a SHA-256 prefix and verified by a second hash and its length, so two chunks that agree in the prefix
+alone get identifiers of their own. Only chunks that occur twice are in it, for a text with any other chunk has no
+equal. Two texts are equal if their ordered lists of identifiers are: nothing else groups them, and text_sha256 is an
+output. Long texts are read once where they lie; what moves is 28 bytes a chunk, then 8.
+
+A null text counts as empty; empty texts equal each other (empty lists). Ties in length go to the smallest id, null
+ids come last. Repeated rows are members like any other (the row that stays is unique by id; rows repeating that id
+share its flag). Empty tables give empty results, columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ MASK_BITS = 11
 MIN_CHUNK = 512
 MAX_CHUNK = 16384
 ID_BYTES = 16
+PROOF_BYTES = 12
 _DROP = dict.fromkeys(map(ord, SPACE))
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -88,26 +90,46 @@ def recipes(documents: DataFrame) -> DataFrame:
     return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _recipes, "doc_id long, n long, text_sha256 string, chunks array<binary>")
 
 
-def chunk_dictionary(recipe_rows: DataFrame) -> DataFrame:
-    """One row for each SHA-256 prefix: occurrences, and verified, which is true if the second hash and the length agree in all of them."""
-    c = recipe_rows.select(F.explode("chunks").alias("c"))
-    proof = F.substring("c", ID_BYTES + 1, 12)
-    return c.select(F.substring("c", 1, ID_BYTES).alias("chunk"), F.hex(proof).alias("proof")).groupBy("chunk").agg(F.count(F.lit(1)).alias("occurrences"), (F.min("proof") == F.max("proof")).alias("verified"))
+def chunk_dictionary(occurrences: DataFrame) -> DataFrame:
+    """occurrences: chunk (SHA-256 prefix), proof (second hash and length). An identifier for each pair of them that occurs more than once: chunk, proof, id."""
+    repeated = occurrences.groupBy("chunk", "proof").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return staged(repeated.select("chunk", "proof", F.monotonically_increasing_id().alias("id")))
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256. Groups: equal ordered lists of identifiers (with their proofs) and equal whole digests."""
-    rows = staged(recipes(documents).select("doc_id", "n", "text_sha256", F.sha2(F.array_join(F.transform("chunks", F.hex), ","), 256).alias("list")))
+def identified(rows: DataFrame) -> DataFrame:
+    """rows: row, doc_id, n, chunks. The rows all of whose chunks have an identifier, with their ordered list; rows without chunks have an empty one."""
+    places = rows.select("row", "doc_id", "n", F.size("chunks").alias("size"), F.posexplode("chunks").alias("at", "c"))
+    places = places.select("row", "doc_id", "n", "size", "at", F.substring("c", 1, ID_BYTES).alias("chunk"), F.substring("c", ID_BYTES + 1, PROOF_BYTES).alias("proof"))
+    # a row's own chunks come from one row, so only they meet in a group; a chunk that many rows share is a join key, which Spark splits
+    found = places.join(chunk_dictionary(places), ["chunk", "proof"])
+    lists = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "id"))).alias("ids"))
+    whole = lists.filter(F.size("ids") == F.col("size")).select("row", "doc_id", "n", F.col("ids.id").alias("list"))
+    return whole.union(rows.filter(F.size("chunks") == 0).select("row", "doc_id", "n", F.array().cast("array<long>")))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """rows: written recipes with a row number. row, keep_id, group_size and most (code points of the text that stays) of each row whose list occurs more than once."""
+    listed = staged(identified(rows))
     best = F.struct(F.col("n").alias("n"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"))
-    groups = rows.groupBy("list", "text_sha256").agg(F.count(F.lit(1)).alias("size"), F.max(best).alias("best")).filter("size > 1")
+    groups = listed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.max(best).alias("best")).filter("size > 1")
     # written, so that the join below deals out both its sides itself, and a large group's rows can be split
-    groups = staged(groups.select(F.col("list").alias("l"), F.col("text_sha256").alias("t"), "size", F.col("best.n").alias("most"), (-F.col("best.neg")).alias("best_id")))
-    joined = rows.join(groups, (F.col("list") == F.col("l")) & (F.col("text_sha256") == F.col("t")), "left")
+    groups = staged(groups.select(F.col("list").alias("l"), "size", F.col("best.n").alias("most"), (-F.col("best.neg")).alias("best_id")))
+    return listed.join(groups, F.col("list") == F.col("l")).select(F.col("row").alias("r"), "size", "most", "best_id")
+
+
+def deduplicate_recipes(rows: DataFrame) -> DataFrame:
+    """rows: written recipes with a row number. doc_id, keep_id, group_size, kept, text_sha256."""
+    joined = rows.join(classes(rows), F.col("row") == F.col("r"), "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     kept = F.col("size").isNull() | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n") == F.col("most")))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256. Groups: equal ordered lists of verified chunk identifiers."""
+    return deduplicate_recipes(staged(recipes(documents).withColumn("row", F.monotonically_increasing_id())))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 

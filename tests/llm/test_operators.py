@@ -89,8 +89,18 @@ def test_chunks_follow_content():
     assert max(np.diff([0, *exact.cuts(b"a" * 100_000)])) <= exact.MAX_CHUNK
 
 
-def test_chunk_dictionary_verifies(small):
-    assert exact.chunk_dictionary(exact.recipes(small)).filter("not verified").count() == 0
+def test_forged_chunks_get_identifiers_of_their_own(spark):
+    one, two, other = b"k" * 16 + b"p" * 12, b"k" * 16 + b"q" * 12, b"z" * 28  # one and two agree in the key alone
+    rows = [(0, 1, 5, "a", [one, other]), (1, 2, 5, "a", [two, other]), (2, 3, 5, "a", [one, other]), (3, 4, 5, "a", [other, one]), (4, 5, 5, "a", [one]), (5, 6, 0, "a", [])]
+    got = exact.deduplicate_recipes(spark.createDataFrame(rows, "row long, doc_id long, n long, text_sha256 string, chunks array<binary>"))
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got.collect()) == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1), (5, 5, 1), (6, 6, 1)]
+
+
+def test_long_texts_are_told_apart_by_one_word(spark):
+    long = " ".join(f"w{i % 977}" for i in range(80_000))
+    rows = [(1, long, "a"), (2, long.replace(" ", "\n"), "a"), (3, long + "x", "a"), (4, "x" + long, "a"), (5, long[:-1], "a")]
+    got = {r["doc_id"]: r["keep_id"] for r in exact.deduplicate(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 # sharding
