@@ -2,8 +2,9 @@
 
 write_archives() deals pages by id to files, each of them one gzip stream over all its records, as some crawlers
 leave them. normalise() inflates each such file once, as a stream, finds the records by their headers, writes each
-as a gzip member of its own and returns the index: file, offset, length, record id. read_records() seeks to each
-member by the index, inflates it alone and checks its digest. Files lie in the shared folder and are reached through
+as a gzip member of its own and writes the index beside it: file, offset, length, record id. read_records() cuts the
+files into ranges of RANGE bytes by their indexes, seeks to each member of a range, inflates it alone and checks its
+digest, so a large file is read by many tasks. Files lie in the shared folder and are reached through
 its file system, under names that depend on the part alone; each is written beside its place and then renamed, so a
 task that runs again on another executor replaces its own file.
 
@@ -17,7 +18,6 @@ html are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +33,7 @@ from maskwright.shipping import ship
 LEAST = 100
 LEVEL = 4
 BLOCK = 1 << 18
+RANGE = 1 << 22
 MISSING = "-"
 INDEX = "file string, offset long, length long, record_id string, record_type string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
@@ -134,80 +135,91 @@ def _inflated(source) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, folder: str, target: str) -> DataFrame:
-    """Rewrite each file, a record a member; returns the sidecar index, which is also written beside each file."""
+    """Rewrite each file, a record a member, with a sidecar index beside it; returns file and number of records."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name in pdf["file"]:
                 system, path = fs.FileSystem.from_uri(folder)
                 _, tmp, final = _put(target, name)
-                rows, at = [], 0
-                with system.open_input_stream(f"{path}/{name}", compression=None) as source, system.open_output_stream(tmp) as out:
+                n, at = 0, 0
+                with system.open_input_stream(f"{path}/{name}", compression=None) as source, system.open_output_stream(tmp) as out, system.open_output_stream(f"{tmp}.idx") as side:
                     for data in split_records(_inflated(source)):
                         z = _gzip()
                         member = z.compress(data) + z.flush()
                         out.write(member)
                         head = data[: data.index(b"\r\n\r\n")].decode("utf-8", "surrogatepass").split("\r\n")
                         fields = dict(x.split(": ", 1) for x in head[1:])
-                        rows.append((name, at, len(member), fields["WARC-Record-ID"], fields["WARC-Type"]))
+                        side.write(f"{at}\t{len(member)}\t{fields['WARC-Record-ID']}\t{fields['WARC-Type']}\n".encode())
                         at += len(member)
+                        n += 1
                 system.move(tmp, final)
-                index = pd.DataFrame(rows, columns=["file", "offset", "length", "record_id", "record_type"])
-                side = io.StringIO()
-                index.to_csv(side, sep="\t", index=False)
-                with system.open_output_stream(f"{tmp}.idx") as out:
-                    out.write(side.getvalue().encode())
                 system.move(f"{tmp}.idx", f"{final}.idx")
-                yield index
+                yield pd.DataFrame({"file": [name], "records": [n]})
 
-    return files.mapInPandas(rewrite, INDEX)
+    return files.mapInPandas(rewrite, "file string, records long")
 
 
-def read_records(files: DataFrame, target: str) -> DataFrame:
-    """Every record of the normalised files, through their sidecar indexes; a response whose digest or length is wrong raises an error."""
+def read_index(files: DataFrame, target: str) -> DataFrame:
+    """The sidecar indexes of the files: file, offset, length, record_id, record_type."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda s: None if s is None or (x := s[len("<urn:page:") : -1]) == MISSING else int(x)
         for pdf in batches:
             for name in pdf["file"]:
                 system, path = fs.FileSystem.from_uri(target)
                 with system.open_input_stream(f"{path}/{name}.idx") as f:
-                    index = pd.read_csv(io.BytesIO(f.read()), sep="\t")
+                    for part in pd.read_csv(f, sep="\t", names=["offset", "length", "record_id", "record_type"], chunksize=20_000):
+                        yield part.assign(file=name)[["file", "offset", "length", "record_id", "record_type"]]
+
+    return files.mapInPandas(read, INDEX)
+
+
+def read_records(index: DataFrame, target: str) -> DataFrame:
+    """Every record of the index, read by ranges of its file; a response whose digest or length is wrong raises an error.
+
+    A range lists its members' lengths from its first offset on: members lie side by side, and a record takes more than 200 bytes."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = lambda s: None if s is None or (x := s[len("<urn:page:") : -1]) == MISSING else int(x)
+        system, path = fs.FileSystem.from_uri(target)
+        for pdf in batches:
+            for name, members in zip(pdf["file"], pdf["members"]):
                 rows: list[dict] = []
                 with system.open_input_file(f"{path}/{name}") as f:
-                    for offset, length in zip(index["offset"].tolist(), index["length"].tolist(), strict=True):
-                        f.seek(offset)
-                        fields, body = parsed(zlib.decompress(f.read(length), 31))
+                    for m in members:
+                        f.seek(m["offset"])
+                        fields, body = parsed(zlib.decompress(f.read(m["length"]), 31))
                         size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
                         if fields["WARC-Type"] == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
-                            raise ValueError(f"{name}: the record at {offset} doesn't match its digest")
+                            raise ValueError(f"{name}: the record at {m['offset']} doesn't match its digest")
                         url = fields["WARC-Target-URI"]
-                        rows.append({"page_id": number(fields["WARC-Record-ID"]), "url": None if url == MISSING else url, "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "file": name, "offset": offset})
-                        if len(rows) >= 5000:
-                            yield _frame(rows)
-                            rows = []
-                if rows:
-                    yield _frame(rows)
+                        rows.append({"page_id": number(fields["WARC-Record-ID"]), "url": None if url == MISSING else url, "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "file": name, "offset": m["offset"]})
+                yield _frame(rows)
 
-    return files.mapInPandas(read, RECORDS)
+    ranges = index.groupBy("file", F.floor(F.col("offset") / RANGE).alias("range")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("members"))
+    return ranges.repartition(_tasks(index.sparkSession), "file", "range").mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Partitions for work that small rows stand for: as many as a shuffle has, never joined together for the rows' few bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back; the frame of all records read."""
     spark = pages.sparkSession
     ship(spark)
     root = scratch_dir(spark)
-    files = f"{root}/files"
-    write_archives(pages, f"{root}/monolithic").write.parquet(files)
-    names = spark.read.schema("file string, records long").parquet(files).select("file")
-    n = spark.sparkContext.defaultParallelism
-    normalise(names.repartition(max(n, 32)), f"{root}/monolithic", f"{root}/members").write.parquet(f"{root}/index")
-    done = spark.read.schema(INDEX).parquet(f"{root}/index").select("file").distinct()
-    return read_records(done, f"{root}/members")
+    files = "file string, records long"
+    write_archives(pages, f"{root}/monolithic").write.parquet(f"{root}/files")
+    names = spark.read.schema(files).parquet(f"{root}/files").select("file")
+    normalise(names.repartition(_tasks(spark), "file"), f"{root}/monolithic", f"{root}/members").write.parquet(f"{root}/done")
+    done = spark.read.schema(files).parquet(f"{root}/done").select("file")
+    return read_records(read_index(done.repartition(_tasks(spark), "file"), f"{root}/members"), f"{root}/members")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

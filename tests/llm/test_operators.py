@@ -345,6 +345,14 @@ def test_warc_awkward(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_reads_large_files_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 1000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} page " * (40_000 if i == 7 else 30)) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    rows = warc.round_trip(pages).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(300)) and {r["payload_bytes"] for r in rows if r["page_id"] == 7} == {40_000 * len("7 page ")}
+    assert len({(r["file"], r["offset"] // 1000) for r in rows}) > 10
+
+
 def test_split_records_at_any_block():
     data = b"".join(warc.record(str(i), "u", "x" * i, "d", i, None, False) for i in range(20))
     for n in (1, 7, 1000):
