@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-Each kind is scanned from the left without overlaps; a proposal that fails its check is dropped and not retried in
-a shorter form, but for IBANs, which words in capitals may follow. Base kinds: e-mail, IPv4, card (14 to 19 digits, Luhn), phone (10 to 15 digits after a plus). The
-method adds IBANs (mod 97) and national phone numbers, card numbers of 13 digits (Luhn), the last two only where a
+Each kind is scanned from the left without overlaps; a proposal that fails its check is dropped and not retried. Base
+kinds: e-mail, IPv4, card (14 to 19 digits, Luhn), phone (10 to 15 digits after a plus). The
+method adds IBANs (as long as their country's are, mod 97) and national phone numbers, card numbers of 13 digits (Luhn), the last two only where a
 word nearby speaks for them. A span's score starts from its kind and check, and rises or falls with context words
 in the CONTEXT characters before it and AFTER behind it; it is clipped to 0..1. Base spans are reported at any score.
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.common import table
-from maskwright.llm.spans import digests, scanned
+from maskwright.llm.spans import digests, overlaps, scanned
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "card13", "national")
@@ -31,7 +31,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+#: Characters of an IBAN by country, as registered under ISO 13616.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24,
+    FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32,
+    LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22,
+    SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+IBAN_BODY = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
 FOR = {
     "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write to|reach|correo|courriel|kontakt)"),
@@ -75,16 +83,12 @@ def _octets(s: str) -> bool:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Matches that hold mod 97, cut at a space before what follows them where the whole doesn't."""
-    at = 0
-    while m := IBAN.search(text, at):
-        part = m[0]
-        while len(part.replace(" ", "")) >= 15 and not mod97(part):
-            part = part.rpartition(" ")[0]
-        if len(part.replace(" ", "")) >= 15:
-            yield m.start(), (at := m.start() + len(part))
-        else:
-            at = m.start() + 1
+    """A country's code, two digits and as many more characters as its IBANs have, a blank before any of them, that hold mod 97."""
+    end = 0
+    for head in IBAN_HEAD.finditer(text):
+        n = IBAN_LENGTHS.get(head[1])
+        if n and head.start() >= end and (body := IBAN_BODY[n].match(text, head.end())) and mod97(head[0] + body[0]):
+            yield head.start(), (end := body.end())
 
 
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
@@ -114,7 +118,8 @@ def scan(text: str) -> list[tuple[str, int, int, float, bool]]:
         score = PRIOR[kind] + 0.25 * bool(FOR[kind].search(near)) - 0.2 * bool(AGAINST.search(near))
         found.append((kind, s, e, round(min(1.0, max(0.0, score)), 3), kind in BASE))
     base = [x for x in found if x[4]]
-    return base + [x for x in found if not x[4] and x[3] >= REPORT and not any(y[1] < x[2] and x[1] < y[2] for y in base)]
+    taken = overlaps(base)
+    return base + [x for x in found if not x[4] and x[3] >= REPORT and not taken(x[1], x[2])]
 
 
 def find_pii(documents: DataFrame) -> DataFrame:

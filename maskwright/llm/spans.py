@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,13 @@ def joined(spans: list[tuple], order: dict[str, int]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in sorted(spans, key=lambda x: (x[1], order[x[0]], x[2])))
 
 
+def overlaps(spans: list[tuple]) -> Callable[[int, int], bool]:
+    """Whether a stretch meets any of the spans (kind, start, end, ...): those that start before its end, and the furthest of their ends."""
+    ordered = sorted((x[1], x[2]) for x in spans)
+    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+    return lambda s, e: (n := bisect.bisect_left(starts, e)) > 0 and reach[n - 1] > s
+
+
 def scanned(documents: DataFrame, scan: Callable[[str], list[tuple]]) -> DataFrame:
     """doc_id and the spans of each text; scan gets a whole text and returns (kind, start, end, score, base) tuples."""
 
