@@ -7,8 +7,8 @@ LEAST and MOST pseudo-counts). A host no rule decides is blocked if the lower bo
 pages (mean less Z standard deviations) exceeds THRESHOLD, and allowed otherwise, so little evidence blocks nothing.
 
 Host: what follows the first "://" up to "/", "?", "#" or the end, A-Z in lower case; path: then up to "?", "#" or
-the end; null urls and urls without "://" have both empty. Suffix: the last label; registered domain: the last two
-(a host of one label or none is its own). Of the rules that fit the longest wins. Null and repeated ids give a row
+the end; null urls and urls without "://" have both empty. Suffix: the last label, or the last two where a two-letter
+one stands behind one of SECOND (co.uk); registered domain: one label more (a host that has none is its own). Of the rules that fit the longest wins. Null and repeated ids give a row
 each; empty tables give empty results; columns other than page_id and url are ignored.
 
 Counts are summed by host before anything moves; levels above have a row for each host, domain or suffix. Pages meet
@@ -26,6 +26,8 @@ from maskwright.llm.common import table
 
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Labels under which countries register domains.
+SECOND = ("ac", "co", "com", "edu", "gov", "go", "ne", "net", "or", "org")
 LEAST, MOST = 2.0, 200.0
 Z = 1.645
 THRESHOLD = 0.5
@@ -67,7 +69,11 @@ def _strength(units: DataFrame, up: str) -> DataFrame:
 def reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host, bad, n (a row for each host; n may be 0). Adds mean, variance and bound of the posterior rate of bad pages."""
     labels = F.split("host", r"\.")
-    hosts = outcomes.select("host", F.element_at(labels, -1).alias("suffix"), F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, F.when(F.size(labels) > 1, -2).otherwise(-1)), F.element_at(labels, -1))).otherwise(F.col("host")).alias("domain"), F.col("bad").cast("double").alias("bad"), F.col("n").cast("double").alias("n"))
+    label = lambda i: F.try_element_at(labels, F.lit(-i))
+    joined = lambda n: F.when(F.size(labels) > n, F.concat_ws(".", *(label(i) for i in range(n + 1, 0, -1)))).otherwise(F.col("host"))
+    paired = F.coalesce((F.size(labels) > 2) & (F.length(label(1)) == 2) & label(2).isin(*SECOND), F.lit(False))
+    suffix = F.when(paired, F.concat_ws(".", label(2), label(1))).otherwise(label(1))
+    hosts = outcomes.select("host", suffix.alias("suffix"), F.when(paired, joined(2)).otherwise(joined(1)).alias("domain"), F.col("bad").cast("double").alias("bad"), F.col("n").cast("double").alias("n"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     everything = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("prior")).withColumn("strength", F.lit(LEAST))
@@ -120,8 +126,9 @@ WITH u AS (
 ), v AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS known FROM k
 ), hosts AS (
-  SELECT host, split_part(host, '.', -1) AS suffix, CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-    count(*) FILTER (known = 'block')::DOUBLE AS bad, count(known)::DOUBLE AS n FROM v GROUP BY host
+  SELECT host, CASE WHEN paired THEN two ELSE split_part(host, '.', -1) END AS suffix, CASE WHEN paired THEN split_part(host, '.', -3) || '.' || two WHEN contains(host, '.') THEN two ELSE host END AS domain, bad, n FROM (
+    SELECT host, split_part(host, '.', -2) || '.' || split_part(host, '.', -1) AS two, len(string_split(host, '.')) > 2 AND length(split_part(host, '.', -1)) = 2 AND split_part(host, '.', -2) IN {SECOND} AS paired,
+      count(*) FILTER (known = 'block')::DOUBLE AS bad, count(known)::DOUBLE AS n FROM v GROUP BY host)
 ), domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY ALL
 ), g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS prior FROM suffixes
