@@ -1,12 +1,12 @@
 """Mix sources to target weights: weighted sampling without replacement by exponential keys, in DataFrame operations only.
 
 Every document draws a key -ln(u) / w, where u is a hash of the row and w its quality weight; a source is read in
-the order of these keys. A source whose target is e times its size and a rest gives e complete epochs first; the
+the order of these keys. The weight is lower for short texts, for texts of digits and marks, and for texts that repeat their words. A source whose target is e times its size and a rest gives e complete epochs first; the
 rest is the fractional selection, the documents at the front of that order up to the rest of the budget.
 
 The order inside a source is never sorted in one task. A histogram of words by (source, key range) gives the words
 before each range; only rows of one range are sorted together. Ranges of one source lie in different tasks, so a
-source that holds most rows is dealt out like the others.
+source that holds most rows is dealt out like the others; there is a range for every RANGE_ROWS rows, LEAST_RANGES at least.
 
 Null texts have size 0; a null source is a source of its own, last in rank; null and repeated ids are rows like any
 other (rows equal in id and size draw equal keys and are interchangeable). Empty tables give empty results. Columns
@@ -24,22 +24,32 @@ from maskwright.llm.common import staged, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-RANGES = 1024
+RANGE_ROWS = 50_000
+LEAST_RANGES = 1024
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def length_quality(size: Column) -> Column:
-    """A weight from 0.2 to 1: documents of under 50 words are drawn later."""
-    return F.greatest(F.lit(0.2), F.least(F.lit(1.0), (size + 1) / F.lit(50.0)))
+def text_quality(text: Column) -> Column:
+    """A weight from 0.01 to 1: texts of under 50 words, of digits and marks, or of repeated words are drawn later."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    size = F.size(words)
+    marks = F.regexp_count(text, F.lit(r"[!-@\[-`{-~]")) / F.length(text)
+    long = F.least(F.lit(1.0), (size + 1) / F.lit(50.0))
+    varied = F.least(F.lit(1.0), F.size(F.array_distinct(words)) * 4.0 / size)
+    return F.when(size > 0, F.greatest(F.lit(0.01), long * varied * (F.lit(1.0) - marks))).otherwise(F.lit(0.01))
 
 
-def _drawn(docs: DataFrame, weights: tuple, cap: int, seed: str, ranges: int, quality) -> DataFrame:
-    """docs: row struct, doc_id, source, size. Adds target, epochs, rest (words of the fractional selection) and before (words of its source ahead of it)."""
+def _ranges(rows: int) -> int:
+    return max(LEAST_RANGES, rows // RANGE_ROWS)
+
+
+def _drawn(docs: DataFrame, weights: tuple, cap: int, seed: str, ranges: int) -> DataFrame:
+    """docs: doc_id, source, size, quality and what else there is. Adds target, epochs, rest (words of the fractional selection) and before (words of its source ahead of it)."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    docs = docs.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("key", -F.log(u) / quality(F.col("size")))
+    docs = docs.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("key", -F.log(u) / F.col("quality"))
     docs = docs.withColumn("rng", F.floor(F.col("key") / (F.col("key") + 1) * ranges).cast("int"))
     hist = docs.groupBy("skey", "rng").agg(F.sum("size").alias("words"))
     sources = hist.groupBy("skey").agg(F.sum("words").alias("s"))
@@ -60,19 +70,20 @@ def _drawn(docs: DataFrame, weights: tuple, cap: int, seed: str, ranges: int, qu
     return docs.join(starts, ["skey", "rng"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(own), F.lit(0)))
 
 
-def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, ranges: int = RANGES, quality=length_quality) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, quality=text_quality) -> DataFrame:
     """Words to take of each document. The document in which the rest of the budget ends gives its first words only, so a source's words equal its rounded target."""
-    docs = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))  # texts are read once
-    drawn = _drawn(docs, weights, cap, seed, ranges, quality)
+    docs = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality")))  # texts are read once
+    drawn = _drawn(docs, weights, cap, seed, _ranges(docs.count()))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return drawn.select("doc_id", "size", F.col("s").alias("source_size"), "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source", F.col("epochs"), F.col("key").alias("draw_key"))
 
 
-def resample(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, ranges: int = RANGES, quality=length_quality) -> DataFrame:
+def resample(documents: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str = SEED, quality=text_quality) -> DataFrame:
     """The mixed corpus itself: whole documents, as often as the mix takes them. The document in which the rest of the budget ends is taken if over half of it fits."""
-    # exploded from one element, so that the optimiser doesn't copy the count into all that uses it
-    docs = documents.select(F.struct("*").alias("row"), "doc_id", "source", F.explode(F.array(word_count(F.col("text")))).alias("size"))
-    drawn = _drawn(docs, weights, cap, seed, ranges, quality)
+    # taken out of an array of one element, so that the optimiser doesn't copy the counts into all that uses them
+    counts = F.array(F.struct(word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("quality")))
+    docs = documents.select(F.struct("*").alias("row"), "doc_id", "source", F.inline(counts))
+    drawn = _drawn(docs, weights, cap, seed, _ranges(documents.count()))
     copies = F.col("epochs") + F.when(F.col("before") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
     return drawn.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
 
@@ -83,11 +94,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), q AS (
+  SELECT doc_id, source, len(words)::BIGINT AS size, CASE WHEN len(words) > 0 THEN greatest(0.01::DOUBLE,
+    least(1.0::DOUBLE, (len(words) + 1) / 50.0::DOUBLE) * least(1.0::DOUBLE, len(list_distinct(words)) * 4.0::DOUBLE / len(words))
+    * (1.0::DOUBLE - len(regexp_extract_all(text, '[!-@\[-`{{-~]')) / length(text)::DOUBLE)) ELSE 0.01::DOUBLE END AS quality FROM d
 ), k AS (
   SELECT *, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-    / greatest(0.2, least(1.0, (size + 1) / 50.0::DOUBLE)) AS key FROM d
-), s AS (SELECT source, sum(size)::DOUBLE AS s FROM d GROUP BY source
+    / quality AS key FROM q
+), s AS (SELECT source, sum(size)::DOUBLE AS s FROM q GROUP BY source
 ), r AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 3 * s AS cap FROM s
 ), l AS (
   SELECT *, cap / w AS c, (sum(s) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS lvl FROM r
