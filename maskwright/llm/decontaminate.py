@@ -1,25 +1,28 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Every document becomes its words' 16-bit hashes, written once. Words are runs of letters, digits and bytes beyond ASCII,
-   in lower case.
+   in lower case. Items of fewer than LEAST words are too short for a passage's meaning: they leak where a text holds
+   all their words in a row, by 64-bit hashes of word runs. A bitmap of fixed size picks the runs that may be an
+   item's, and a join on the whole hash decides.
 2. Statistics: over all passages of PASSAGE words, the benchmark's among them, document frequencies of FEATURES hashed
    terms; then one pass of a randomised SVD of their TF-IDF matrix A: the partitions' shares of A'(A R), R random, are
    summed, and the Nystroem form of that sketch gives the right singular vectors V and values s of the best RANK.
-3. Search: windows of each size class slide over every document at half their length; windows and benchmark items meet
-   in the whitened latent space (rows of V scaled by 1/s), and pairs with a cosine of COSINE or more are candidates. An
-   item is sought by windows of the largest class that isn't longer than it (the smallest class for shorter items).
+3. Search: windows of each size class slide over every document, each by a third of its length; windows and benchmark
+   items meet in the whitened latent space (rows of V scaled by 1/s), tile by tile, and pairs with a cosine of COSINE or
+   more are candidates. An item is sought by windows of the largest class that isn't longer than it (the smallest class
+   for shorter items).
    A candidate goes if the stretch that step 4 reads around it holds under PARA of the item's words: it can't leak.
 4. Check: the longest common subsequence of the item and the document around the window, over the item's length. A
    candidate leaks if that is FULL or more, or if it is PARA or more and the answer, the item's last words (a fifth,
    three at least), is found too: ANSWER of them in order.
 
-Items are read in blocks of BLOCK, each of which is broadcast: a bound on what executors hold, whatever the size of
-the benchmark. What reaches the driver: FEATURES counts, and a FEATURES x RANK matrix. Items of fewer than LEAST words
-are too short to tell and are never found.
+Items are sought in blocks of BLOCK, one after the other, each of which is broadcast and then given up: a bound on what
+executors hold, whatever the size of the benchmark. Documents are searched in pieces of AT_ONCE words that overlap by
+more than any stretch. What reaches the driver: FEATURES counts, a FEATURES x RANK matrix and a block of items.
 
-Null and empty texts are clean. Repeated rows and null ids give a row each; items with equal texts are found alike.
-An empty benchmark finds nothing; an empty table of documents gives an empty result. Columns other than doc_id, text
-and item_id are ignored by leaks(), carried along by without_leaks().
+Null and empty texts are clean. Repeated rows and null ids give a row each; items with equal texts are found alike,
+items without words never. An empty benchmark finds nothing; an empty table of documents gives an empty result. Columns
+other than doc_id, text and item_id are ignored by leaks(), carried along by without_leaks().
 """
 
 from __future__ import annotations
@@ -31,59 +34,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import hashed_words, mapped, staged, table, word_table
+from maskwright.llm.common import hashed_words, mapped, rolled, staged, table, word_table
 
 FEATURES = 1 << 12
-RANK = 48
-EXTRA = 4
+RANK = 64
+EXTRA = 8
 STEP = 4
 PASSAGE = 48
-CLASSES = (8, 16, 32, 64)
+CLASSES = (8, 12, 16, 24, 32, 48, 64)
 COSINE = 0.25
 FULL, PARA, ANSWER = 0.8, 0.6, 0.6
 LEAST = 6
 BLOCK = 20_000
+AT_ONCE = 1 << 17
+BITMAP_BITS = 24
 _SEED = 10
-_AT_ONCE = 1 << 17
+_COARSE = 8
+_TILE_WINDOWS, _TILE_ITEMS = 8192, 128
 
 
 _IS_WORD = word_table("".join(chr(i) for i in range(128) if not chr(i).isalnum()))
 
 
-def column_ids(texts: pa.Array) -> list[np.ndarray]:
+def short_ids(words: list[np.ndarray]) -> list[np.ndarray]:
     """16-bit hashes, from 1 on, of the words of each text."""
-    return [np.maximum(h >> np.uint64(48), 1).astype(np.uint16) for h in hashed_words(texts, _IS_WORD)]
+    return [np.maximum(h >> np.uint64(48), 1).astype(np.uint16) for h in words]
+
+
+def column_ids(texts: pa.Array) -> list[np.ndarray]:
+    return short_ids(hashed_words(texts, _IS_WORD))
 
 
 def word_ids(text: str | None) -> np.ndarray:
     return column_ids(pa.array([text], pa.string()))[0]
 
 
-def encoded(rows: DataFrame, key: str) -> DataFrame:
-    """key, w (word ids as bytes)."""
+def run_codes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words of a text."""
+    return rolled(h, n) + np.uint64(n) if len(h) >= n else h[:0]
+
+
+class Bitmap:
+    """Which runs may be those of short items: their number of words, and a bit for the low bits of each hash."""
+
+    def __init__(self, codes: Iterator[tuple[int, int]]) -> None:
+        self.bits, self.lengths = np.zeros(1 << (BITMAP_BITS - 3), np.uint8), set()
+        for n, code in codes:
+            self.lengths.add(n)
+            low = code & ((1 << BITMAP_BITS) - 1)
+            self.bits[low >> 3] |= 1 << (low & 7)
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        codes = np.unique(np.concatenate([h[:0], *(run_codes(h, n) for n in self.lengths)]))
+        low = codes & np.uint64((1 << BITMAP_BITS) - 1)
+        return codes[(self.bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+
+
+def encoded(rows: DataFrame, key: str, bitmap: Bitmap | None = None) -> DataFrame:
+    """row (a number), k, w (word ids as bytes), n (words), runs: with a bitmap, the hashes of the runs it finds; without one, the hash of a whole text of under LEAST words."""
+
+    def runs(h: np.ndarray) -> np.ndarray:
+        if bitmap is not None:
+            return bitmap.found(h) if bitmap.lengths else h[:0]
+        return run_codes(h, len(h)) if 0 < len(h) < LEAST else h[:0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("k"), pa.array([w.tobytes() for w in column_ids(b.column("text"))], pa.binary())], names=["k", "w"])
+            words = hashed_words(b.column("text"), _IS_WORD)
+            yield pa.record_batch([b.column("row"), b.column("k"), pa.array([w.tobytes() for w in short_ids(words)], pa.binary()), pa.array([len(w) for w in words], pa.int64()), pa.array([runs(w).view(np.int64) for w in words], pa.list_(pa.int64()))], names=["row", "k", "w", "n", "runs"])
 
-    return mapped(rows.select(F.col(key).cast("long").alias("k"), "text"), run, "k long, w binary")
+    return mapped(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("k"), "text"), run, "row long, k long, w binary, n long, runs array<long>")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Word ids of many rows in one array, each row filled up with 0 to a multiple of STEP; rows' numbers, and where each starts."""
+def _joined(batches: Iterator[pa.RecordBatch], overlap: int = 0) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Word ids of many rows in one array, each row filled up with 0 to a multiple of STEP; rows' numbers, and where each
+    starts. A row of more than AT_ONCE words comes in pieces, each under the row's number and overlapping the next."""
     rows, parts, starts, n = [], [], [], 0
+    size = max(AT_ONCE, 4 * overlap) // PASSAGE * PASSAGE
+    step = (size - overlap) // PASSAGE * PASSAGE
     for b in batches:
-        keys, words = b.column("k"), b.column("w")
+        keys, words = b.column("row"), b.column("w")
         for i in range(b.num_rows):
-            w = np.frombuffer(words[i].as_py(), np.uint16)
-            fill = -len(w) % STEP
-            rows.append((keys[i].as_py(), len(w)))
-            starts.append(n)
-            parts += [w, np.zeros(fill, np.uint16)]
-            n += len(w) + fill
-            if n >= _AT_ONCE:
-                yield rows, np.concatenate(parts), np.array(starts)
-                rows, parts, starts, n = [], [], [], 0
+            whole = np.frombuffer(words[i].as_py(), np.uint16)
+            for at in range(0, max(1, len(whole) - overlap), step):
+                w = whole[at : at + size]
+                fill = -len(w) % STEP
+                rows.append(keys[i].as_py())
+                starts.append(n)
+                parts += [w, np.zeros(fill, np.uint16)]
+                n += len(w) + fill
+                if n >= size:
+                    yield rows, np.concatenate(parts), np.array(starts)
+                    rows, parts, starts, n = [], [], [], 0
     if rows:
         yield rows, np.concatenate(parts), np.array(starts)
 
@@ -93,6 +135,17 @@ def _feature(w: np.ndarray) -> np.ndarray:
     return np.where(w > 0, w % np.uint16(FEATURES), FEATURES).astype(np.int32)
 
 
+def _block_sums(rows: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each STEP terms."""
+    out = np.empty((len(f) // STEP, rows.shape[1]), rows.dtype)
+    for lo in range(0, len(out), 1024):
+        part = f[lo * STEP : (lo + 1024) * STEP]
+        np.take(rows, part[::STEP], axis=0, out=(o := out[lo : lo + 1024]))
+        for i in range(1, STEP):
+            o += rows[part[i::STEP]]
+    return out
+
+
 def _passages(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Number of each word's passage: PASSAGE words from its document's start on."""
     doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
@@ -142,8 +195,7 @@ def latent_space(words: DataFrame, rank: int = RANK) -> np.ndarray:
             f = _feature(w)
             p = _passages(f, starts)
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            blocks = np.flatnonzero(np.arange(len(f)) % STEP == 0)
-            sums = weighted[f].reshape(len(blocks), STEP, r).sum(1)  # passages start where blocks do
+            sums = _block_sums(weighted, f)  # passages start where blocks do
             z = np.add.reduceat(sums, first // STEP, axis=0)  # A R, a row a passage
             z /= np.maximum(np.add.reduceat(idf[f] ** 2, first), 1e-6)[:, None]  # passages have unit length on either side
             order = np.argsort(f.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
@@ -203,97 +255,140 @@ def leak(item: np.ndarray, around: np.ndarray) -> float | None:
     return share if lcs(answer, around) >= ANSWER * len(answer) else None
 
 
+class _Sought:
+    """Where in an array of word ids a stretch may hold PARA of an item's words."""
+
+    def __init__(self, w: np.ndarray) -> None:
+        self.columns = np.append(w, np.zeros(-len(w) % _COARSE, np.uint16)).reshape(-1, _COARSE).T.astype(np.intp, order="C")
+        self.table = np.zeros(1 << 16, np.uint64)
+
+    def may_leak(self, item: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+        """For stretches of `reach` words from each place on: whether they hold enough of the item's different words, by coarse blocks around them. Each block has a bit for each word; repeated words count as held."""
+        words = np.unique(item)
+        size = -(-reach // _COARSE) + 1
+        power = size.bit_length() - 1
+        held = np.full(len(at), len(item) - len(words), np.int64)
+        lo = np.maximum(at, 0) // _COARSE
+        for i in range(0, len(words), 64):
+            part = words[i : i + 64]
+            self.table[part] = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
+            bits = np.zeros(self.columns.shape[1] + size, np.uint64)
+            for column in self.columns:
+                bits[:-size] |= self.table[column]
+            self.table[part] = 0
+            for p in range(power):
+                bits[: len(bits) - (1 << p)] |= bits[1 << p :]
+            held += np.bitwise_count(bits[lo] | bits[lo + size - (1 << power)])
+        return held >= PARA * len(item)
+
+
 class _Items:
     """A block of the benchmark, ready to be sought: by class, unit vectors and numbers of items."""
 
     def __init__(self, rows: list[tuple[int | None, np.ndarray]], space: np.ndarray) -> None:
         self.rows, self.space, self.by = rows, space, {}
+        self.longest = max((len(w) for _, w in rows), default=0)
         size = np.array([max([c for c in CLASSES if c <= len(w)], default=CLASSES[0]) for _, w in rows])
         for c in CLASSES:
             if len(at := np.flatnonzero(size == c)):
                 v = np.stack([space[_feature(rows[i][1])].sum(0) for i in at])
                 self.by[c] = ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32), at)
 
-    def found(self, rows: list, w: np.ndarray, starts: np.ndarray) -> dict[int, dict[int, float]]:
-        """Of the documents in the array: row -> item -> share."""
+    def _near(self, blocks: np.ndarray, c: int, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each item of a class: its number there and the first blocks of the windows whose cosine reaches COSINE. A tile of windows and items is compared at a time."""
+        k = c // STEP
+        first = np.arange(0, len(blocks), max(1, k // 3))
+        for lo in range(0, len(vectors), _TILE_ITEMS):
+            some, wins, nums = vectors[lo : lo + _TILE_ITEMS], [], []
+            for at in range(0, len(first), _TILE_WINDOWS):
+                start = first[at : at + _TILE_WINDOWS]
+                sums = blocks[start].copy()
+                for i in range(1, k):
+                    inside = start + i < len(blocks)
+                    sums[inside] += blocks[start[inside] + i]
+                near = some @ sums.T >= COSINE * np.sqrt(np.einsum("ij,ij->i", sums, sums))
+                n, x = np.nonzero(near)
+                nums.append(n.astype(np.int32))
+                wins.append(start[x].astype(np.int32))
+            n, x = np.concatenate(nums), np.concatenate(wins)
+            order = np.argsort(n, kind="stable")
+            cut = np.searchsorted(n[order], np.arange(len(some) + 1))
+            for i in range(len(some)):
+                if cut[i] < cut[i + 1]:
+                    yield lo + i, x[order[cut[i] : cut[i + 1]]]
+
+    def found(self, w: np.ndarray, starts: np.ndarray) -> dict[int, dict[int, float]]:
+        """Of the rows in the array: row's place -> item -> share."""
         out: dict[int, dict[int, float]] = {}
         if not len(w):
             return out
-        f = _feature(w)
-        blocks = np.concatenate([self.space[f[i : i + 8192]].reshape(-1, STEP, self.space.shape[1]).sum(1) for i in range(0, len(f), 8192)])
-        sums, width = np.concatenate([blocks, np.zeros((CLASSES[-1] // STEP, blocks.shape[1]), np.float32)]), 1  # of `width` blocks from each block on
-        ends = np.append(starts[1:], len(w))
+        blocks = _block_sums(self.space, _feature(w))
+        sought, ends = _Sought(w), np.append(starts[1:], len(w))
         for c, (vectors, at) in self.by.items():
-            k, hop = c // STEP, max(1, c // STEP // 2)
-            # from every document's start at each hop, so that its last words are covered by a window too
-            first = np.arange(0, len(blocks), hop)
-            while width < k:
-                sums, width = sums[:-width] + sums[width:], 2 * width
-            window = sums[first]
-            window = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            near = (window @ vectors.T >= COSINE).T
-            docs = np.searchsorted(starts, first * STEP, side="right") - 1
-            # a window over a document's end is sought in the next ones as well
-            more = np.searchsorted(starts, np.minimum(first + k, len(blocks)) * STEP - 1, side="right") - docs
-            win = np.repeat(np.arange(len(first)), more)
-            doc = docs[win] + np.arange(len(win)) - np.repeat(np.cumsum(more) - more, more)
-            for i, hits in zip(at.tolist(), near, strict=True):
-                x = np.flatnonzero(hits[win])
-                if not len(x):
-                    continue
+            for j, first in self._near(blocks, c, vectors):
+                i = int(at[j])
                 item, m = self.rows[i][1], len(self.rows[i][1])
-                words, times = np.unique(item, return_counts=True)
-                place = np.full(1 << 16, -1, np.int32)
-                place[words] = np.arange(len(words))
-                place = place[w]
-                counts = np.append(0, np.cumsum(place >= 0, dtype=np.int32))
-                d, b = doc[x], first[win[x]] * STEP
-                lo, hi = np.maximum(starts[d], b - m), np.maximum(starts[d], np.minimum(ends[d], b + c + m))
-                # leak() reads that stretch, and wants PARA of the item's words there: nothing is lost
-                ok = counts[hi] - counts[lo] >= PARA * m
-                for d, lo, hi in zip(d[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True):
-                    if out.get(d, {}).get(i, 0) < 1:
-                        part = place[lo:hi]
-                        held = part >= 0
-                        if np.minimum(np.bincount(part[held], minlength=len(words)), times).sum() < PARA * m:
-                            continue
-                        share = leak(item, w[lo:hi][held])
-                        if share is not None:
-                            had = out.setdefault(d, {})
-                            had[i] = max(share, had.get(i, 0.0))
+                b = first * STEP
+                b = b[sought.may_leak(item, c + 2 * m, b - m)]
+                if len(b):
+                    self._check(i, item, c, b, w, starts, ends, out)
         return out
 
+    def _check(self, i: int, item: np.ndarray, c: int, b: np.ndarray, w: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: dict) -> None:
+        """Read the stretches around windows of c words from each place of b on, in each row they reach into."""
+        words, times = np.unique(item, return_counts=True)
+        m = len(item)
+        place = np.full(1 << 16, -1, np.int32)
+        place[words] = np.arange(len(words))
+        low = np.searchsorted(starts, b, side="right") - 1
+        high = np.searchsorted(starts, np.minimum(b + c, len(w)) - 1, side="right") - 1
+        for x, d0, d1 in zip(b.tolist(), low.tolist(), high.tolist(), strict=True):
+            for d in range(d0, d1 + 1):
+                had = out.get(d, {}).get(i, 0.0)
+                lo, hi = max(starts[d], x - m), min(ends[d], x + c + m)
+                if had >= 1 or lo >= hi:
+                    continue
+                part = place[w[lo:hi]]
+                part = part[part >= 0]
+                if np.minimum(np.bincount(part, minlength=len(words)), times).sum() < PARA * m:
+                    continue  # leak() wants as many in order
+                share = leak(item, words[part])
+                if share is not None:
+                    out.setdefault(d, {})[i] = max(share, had)
+
+
+def _sought_in(words: DataFrame, rows: list[tuple[int | None, np.ndarray]], space: np.ndarray) -> DataFrame:
+    """row, item_ids, share of the rows in which items of a block are found; a long row may come more than once. Written."""
+    held = words.sparkSession.sparkContext.broadcast(_Items(rows, space))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = held.value
+        for numbers, w, starts in _joined(batches, 2 * (CLASSES[-1] + 2 * items.longest)):
+            found = sorted(items.found(w, starts).items())
+            ids = [sorted({items.rows[i][0] for i in x if items.rows[i][0] is not None}) for _, x in found]
+            yield pa.record_batch([pa.array([numbers[d] for d, _ in found], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([max(x.values()) for _, x in found], pa.float64())], names=["row", "item_ids", "share"])
+
+    out = staged(mapped(words.select("row", "w"), run, "row long, item_ids array<long>, share double"))
+    held.destroy()
+    return out
+
 
-def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """A row for each document: doc_id, contaminated, item_ids (ordered), share (the greatest found; 0 if clean)."""
-    spark = documents.sparkSession
-    words = staged(encoded(documents, "doc_id"))
     items = staged(encoded(benchmark, "item_id"))
-    space = latent_space(words.union(items))
-    total = items.count()
-    parts = max(1, -(-total // BLOCK))
-    dealt = items.select("*", F.pmod(F.xxhash64("k", "w"), F.lit(parts)).alias("part"))
-    frames = []
+    short = items.filter(F.size("runs") > 0).select("n", F.get("runs", F.lit(0)).alias("code"), F.col("k").alias("item"))
+    words = staged(encoded(documents, "doc_id", Bitmap((r["n"], r["code"]) for r in short.toLocalIterator())))
+    long = items.filter(F.col("n") >= LEAST)
+    parts = -(-long.count() // BLOCK)
+    space = latent_space(words.select("row", "w").union(items.select("row", "w")), rank) if parts else None
+    dealt = long.select("k", "w", F.pmod(F.xxhash64("k", "w"), F.lit(max(1, parts))).alias("part"))
+    finds = short.join(words.select("row", F.explode("runs").alias("code")), "code").select("row", F.array_compact(F.array("item")).alias("item_ids"), F.lit(1.0).alias("share"))
     for part in range(parts):
-        rows = [(r["k"], np.frombuffer(r["w"], np.uint16)) for r in dealt.filter(F.col("part") == part).collect()]  # about BLOCK items
-        held = spark.sparkContext.broadcast(_Items([x for x in rows if len(x[1]) >= LEAST], space))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for rows, w, starts in _joined(batches):
-                found = held.value.found(rows, w, starts)
-                own = [found.get(d, {}) for d in range(len(rows))]
-                yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([sorted({held.value.rows[i][0] for i in x if held.value.rows[i][0] is not None}) for x in own], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in own], pa.float64())], names=["doc_id", "item_ids", "share"])
-
-        frames.append(mapped(words, run, "doc_id long, item_ids array<long>, share double"))
-    if len(frames) == 1:
-        out = frames[0]
-    else:  # a document's rows from all blocks; w keeps repeated ids apart only by count, so they share their finds
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.union(f)
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"), (F.count(F.lit(1)) / len(frames)).cast("long").alias("c"))
-        out = out.select("doc_id", "item_ids", "share", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("_")).drop("_")
-    return out.select("doc_id", (F.col("share") > 0).alias("contaminated"), "item_ids", "share")
+        block = [(r["k"], np.frombuffer(r["w"], np.uint16)) for r in dealt.filter(F.col("part") == part).collect()]  # about BLOCK items
+        finds = finds.union(_sought_in(words, block, space))
+    hits = finds.groupBy(F.col("row").alias("r")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
+    out = words.select("row", "k").join(hits, F.col("row") == F.col("r"), "left")
+    return out.select(F.col("k").alias("doc_id"), F.col("share").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

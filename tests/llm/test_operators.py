@@ -500,10 +500,78 @@ def missed(cases):
     seek = decontaminate._Items([(i, item) for i, (item, _) in enumerate(cases)], space)
     texts = [np.append(t, np.zeros(-len(t) % decontaminate.STEP, np.uint16)) for _, t in cases]
     starts = np.cumsum([0, *map(len, texts)])[:-1]
-    found = seek.found([(i, len(t)) for i, (_, t) in enumerate(cases)], np.concatenate(texts), starts)
+    found = seek.found(np.concatenate(texts), starts)
     return sum(decontaminate.leak(item, t) is not None and i not in found.get(i, {}) for i, (item, t) in enumerate(cases))
 
 
+def exhaustive_leaks(texts, items):
+    """Pairs of text and item for which leak() holds around a window at any word of the text."""
+    out = set()
+    for j, item in items:
+        m, c = len(item), max([x for x in decontaminate.CLASSES if x <= len(item)], default=decontaminate.CLASSES[0])
+        member = np.isin(np.arange(1 << 16), item)
+        for i, t in texts:
+            held = np.append(0, np.cumsum(member[t]))
+            b = np.arange(len(t))
+            lo, hi = np.maximum(0, b - m), np.minimum(len(t), b + c + m)
+            for x in np.flatnonzero(held[hi] - held[lo] >= decontaminate.PARA * m).tolist():
+                part = t[lo[x] : hi[x]]
+                if sum((Counter(part.tolist()) & Counter(item.tolist())).values()) >= decontaminate.PARA * m and decontaminate.leak(item, part) is not None:
+                    out.add((i, j))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("rank", [64, 48])
+def test_recall_against_exhaustive_windows(spark, small, rank):
+    """Real texts and items, the items planted with a third of their words changed; a latent space of the texts themselves."""
+    rng = np.random.default_rng(12)
+    bench = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    bench += [(1000 + k, " ".join(t.split()[: int(rng.integers(8, 20))])) for k, (_, t) in enumerate(list(bench))]
+    words = [t.split() for _, t in bench]
+    rows = []
+    for r in small.select("doc_id", "text").collect():
+        t, item = r["text"].split()[:3000], list(words[int(rng.integers(len(words)))])
+        for x in rng.permutation(len(item) - max(3, len(item) // 5))[: int(rng.choice([0, 0.15, 0.35]) * len(item))]:
+            item[x] = f"changed{rng.integers(1000)}"
+        at = int(rng.integers(len(t) + 1))
+        rows.append((r["doc_id"], " ".join(t[:at] + item + t[at:]), "s"))
+    got = decontaminate.leaks(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), rank)
+    found = {(r["doc_id"], i) for r in got.collect() for i in r["item_ids"]}
+    want = exhaustive_leaks([(i, decontaminate.word_ids(t)) for i, t, _ in rows], [(i, decontaminate.word_ids(t)) for i, t in bench])
+    print(rank, len(want), len(want - found))
+    assert found <= want and len(want) > 150 and len(want - found) <= 0.03 * len(want)
+
+
+def test_short_items_are_found_exactly(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta"), (2, "zeta"), (3, "one two three four five"), (4, ""), (5, None), (6, "beta alpha"), (7, "one two three four five six seven eight")], "item_id long, text string")
+    d = docs(spark, [(1, "so alpha, BETA!", "s"), (2, "alpha gamma beta", "s"), (3, "zetas", "s"), (4, "x one two three four five", "s"), (5, "a zeta", "s"), (6, None, "s"), (None, "zeta", "s"), (5, "nothing", "s")])
+    got = sorted(((r["doc_id"] or 0, r["item_ids"], r["contaminated"]) for r in decontaminate.leaks(d, bench).collect()), key=repr)
+    assert got == sorted([(0, [2], True), (1, [1], True), (2, [], False), (3, [], False), (4, [3], True), (5, [2], True), (5, [], False), (6, [], False)], key=repr)
+
+
+def test_blocks_of_items_and_pieces_of_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [" ".join(f"w{rng.integers(5000)}" for _ in range(20)) for _ in range(12)]
+    fill = lambda n: " ".join(f"v{rng.integers(5000)}" for _ in range(n))
+    d = docs(spark, [(1, fill(4000) + " " + items[3] + " " + fill(3000) + " " + items[7], "s"), (1, fill(100), "s"), (2, items[0], "s"), (2, items[1] + " " + fill(9), "s")])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    run = lambda: sorted((r["doc_id"], r["item_ids"]) for r in decontaminate.leaks(d, bench).collect())
+    want = run()
+    assert want == [(1, []), (1, [3, 7]), (2, [0]), (2, [1])]
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    assert run() == want
+    texts = [np.arange(1, 5000, dtype=np.uint16), np.zeros(0, np.uint16), np.arange(1, 40, dtype=np.uint16)]
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 480)
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array([t.tobytes() for t in texts], pa.binary())], names=["row", "w"])
+    seen = {0: set(), 1: set(), 2: set()}
+    for rows, w, starts in decontaminate._joined([batch], 60):
+        assert len(w) <= 1500 and len(w) % decontaminate.STEP == 0
+        for r, lo, hi in zip(rows, starts, [*starts[1:], len(w)], strict=True):
+            seen[r] |= {tuple(w[x : x + 60].tolist()) for x in range(lo, hi - 59)}
+    assert all(tuple(texts[0][x : x + 60].tolist()) in seen[0] for x in range(len(texts[0]) - 59))
+
+
 def test_paraphrases_are_found():
     rng = np.random.default_rng(5)
     for m in (20, 24, 31, 48):
