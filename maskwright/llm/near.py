@@ -16,11 +16,13 @@ all tables about 5 times in a million, with repeated k-mers or without.
 
 Equal texts are collapsed first, with their count. A key's texts are compared with the one among them that shares
 most keys with others, which stands in the middle of a group of copies; components of the links found so far give
-labels. Where a key still holds texts under different labels, pairs across labels are compared if SKETCH minima of
-their k-mers put their similarity no more than ERRORS standard errors below the threshold (a pair at the threshold fails
-about once in a hundred million). Pairs within a label are not needed: classes are the connected components of the
-verified links. So a large group of copies costs comparisons in proportion to it. Large keys are joined by joins whose partitions Spark splits, and searched for pairs in blocks of
-BLOCK texts against BLOCK, each a task's group of its own.
+labels. Where a key still holds texts under different labels, the texts outside its most frequent label are compared
+with all others across labels if SKETCH minima of their k-mers put their similarity no more than ERRORS standard errors
+below the threshold (a pair at the threshold fails about once in a hundred million). Pairs within a label are not needed:
+classes are the connected components of the verified links. So a large group of copies costs comparisons in proportion to
+it, with a few strange texts under its keys too. Large keys are joined by joins whose partitions Spark splits, and
+searched for pairs in blocks of BLOCK texts against BLOCK, each a task's group of its own: a text outside the most
+frequent label is copied once for each block of all texts, one of that label once for each block of those outside.
 
 Null and empty texts have no k-mers and link to nothing but texts equal to them (null counts as empty). A class's id
 is the smallest id of its documents, null if all are null. Repeated rows are members like any other. Empty tables give
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import SPACE, hashed_words, mapped, mix64, occurrence_labels, rolled, staged, table, word_table
+from maskwright.llm.common import SPACE, dropped, hashed_words, mapped, mix64, occurrence_labels, rolled, staged, table, word_table
 from maskwright.llm.components import components
 
 WORDS = 5
@@ -48,6 +50,8 @@ SMALL = 30
 SKETCH = 256
 ERRORS = 6
 BLOCK = 1024
+#: Ids of texts are broadcast up to this number (16 bytes each), and joined by merging beyond it.
+FEW_IDS = 1 << 20
 _CHUNK = 8192
 _SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (2, TABLES), dtype=np.uint64) | np.uint64(1)
 
@@ -241,20 +245,24 @@ def links(documents: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = staged(dealt.join(shared.hint("merge"), "key").select("key", "rid", "c"))
     score = staged(met.groupBy("rid").agg(F.sum("c").alias("score")))
-    texts = documents.select(text_id(F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).groupBy("rid").agg(F.first("text").alias("text"))
-    texts = texts.join(score.select("rid").hint("merge"), "rid", "left_semi")
-    texts = staged(texts)
+    rids = score.select("rid")
+    rids = F.broadcast(rids) if rids.count() <= FEW_IDS else rids.hint("merge")
+    texts = documents.select(text_id(F.col("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).join(rids, "rid", "left_semi")
+    texts = staged(texts.groupBy("rid").agg(F.first("text").alias("text")))
     middle = staged(met.join(score, "rid").groupBy("key").agg(F.max_by("rid", F.struct("score", "rid")).alias("b")))
     star = met.select("key", F.col("rid").alias("a")).join(middle, "key").filter("a <> b").select("a", "b").distinct()
     found = staged(_verified(star, texts, threshold))
     label = components(found).select(F.col("node").alias("rid"), "label")
-    labelled = staged(met.join(label, "rid", "left").select("key", "rid", "c", F.coalesce("label", "rid").alias("label")))
-    mixed = staged(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
-    open_ = labelled.join(mixed, "key", "left_semi")
+    labelled = staged(met.join(label, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label")))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    mixed = staged(sizes.filter("most < all").select("key", "major", "most", (F.col("all") - F.col("most")).alias("others")))
+    open_ = labelled.join(mixed, "key")
     sketches = _sketches(texts.join(open_.select("rid").distinct(), "rid", "left_semi"))
     open_ = staged(open_.join(distinct.hint("merge"), "rid").join(sketches.hint("merge"), "rid"))
     rest = staged(_across(open_, threshold).distinct())
-    return found.union(staged(_verified(rest, texts, threshold)))
+    more = staged(_verified(rest, texts, threshold))
+    dropped(distinct, met, score, texts, middle, labelled, mixed, open_, rest)
+    return found.union(more)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -266,7 +274,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 
 def _across(open_: DataFrame, threshold: float) -> DataFrame:
-    """open_: key, rid, c (texts under the key), label, n, keys, sketch. Pairs (a, b) under different labels whose sketches come near the threshold; each pair that shares a table once, under the first they share."""
+    """open_: key, rid, label, n, keys, sketch, and of the key: major (its most frequent label), most (texts under that) and others. Pairs (a, b) under different labels whose sketches come near the threshold; each pair that shares a table once, under the first they share."""
     least = least_agreement(threshold)
 
     def of(g: pa.Table) -> list[tuple[bytes, bytes]]:
@@ -277,16 +285,13 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
         _, label = np.unique(np.array([x.hex() for x in g.column("label").to_pylist()]), return_inverse=True)
         here = tables == key
         at = int(here.any(0).argmax()) if here.any() else TABLES  # the table of this key; beyond them: a small text's
-        common = np.bincount(label).argmax()
         out: list[tuple[bytes, bytes]] = []
         for x in range(len(rid)):
-            if same:  # a pair across labels has a side outside the most common label; two such sides come once, by place
-                if label[x] == common:
-                    continue
-                y = np.flatnonzero((label != label[x]) & ((label == common) | (np.arange(len(rid)) > x)))
+            if same:
+                y = np.flatnonzero((label != label[x]) & (np.arange(len(rid)) > x))
+            elif side[x]:
+                continue
             else:
-                if side[x]:
-                    continue
                 y = np.flatnonzero((label != label[x]) & (side == 1))
             y = y[(n[y] >= threshold * n[x]) & (n[x] >= threshold * n[y])]
             if at < TABLES and len(y):
@@ -299,7 +304,7 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may go on in the next batch."""
         held: pa.Table | None = None
-        names = ("key", "i", "j")
+        names = ("key", "kind", "i", "j")
 
         def groups(t: pa.Table) -> np.ndarray:
             c = [t.column(x).to_numpy() for x in names]
@@ -321,11 +326,18 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield found(held, groups(held), held.num_rows)
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "rid", "label", "n", "keys", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    pairs = mapped(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a binary, b binary")
+    # kind 0: a block i of texts outside the most frequent label (side 0) against a block j of those under it; kind 1: two blocks of the former
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    one = lambda kind, i, j, side, same: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"), same.alias("same"))
+    outside, own = F.col("label") != F.col("major"), F.col("own")
+    every = lambda c: F.sequence(F.lit(0), count(c) - 1)
+    no = F.lit(False)
+    to_major = F.transform(every("most"), lambda j: one(0, own, j, 0, no))
+    to_others = F.transform(every("others"), lambda o: one(1, F.least(own, o), F.greatest(own, o), own > o, own == o))
+    from_major = F.transform(every("others"), lambda i: one(0, i, own, 1, no))
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("rid"), F.when(outside, count("others")).otherwise(count("most"))).cast("int"))
+    dealt = dealt.select("key", "rid", "label", "n", "keys", "sketch", F.inline(F.when(outside, F.concat(to_major, to_others)).otherwise(from_major)))
+    pairs = mapped(dealt.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j"), run, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
