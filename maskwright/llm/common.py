@@ -114,30 +114,61 @@ def word_table(separators: str) -> np.ndarray:
     return t
 
 
-def hashed_words(texts: pa.Array, is_word: np.ndarray) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text in order; a null has none. A word is a longest run of word bytes, in lower case.
-
-    A whole column is hashed at once: a word's polynomial is the difference of two running sums over the bytes, shifted to the word's start."""
+def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column's texts in lower case, and where each text starts and the last ends; a null has none."""
     col = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     _, off, raw = col.buffers()
     offsets = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(col), np.int64)
-    for lo, hi in _stretches(offsets, data, is_word):
-        d = data[lo:hi]
-        w = is_word[d]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
+
+
+class Spelt:
+    """A stretch of a column's bytes and the words in it. A word is a longest run of word bytes; rows end words, and no word is cut.
+
+    The hash of any bytes is the difference of two running sums over the stretch, shifted to their start."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lo: int, hi: int) -> None:
+        self.d, self.offsets, self.lo = data[lo:hi], offsets, lo
+        w = is_word[self.d]
         first, last = w.copy(), w.copy()
         first[1:] &= ~w[:-1]
         last[:-1] &= ~w[1:]
         inner = offsets[np.searchsorted(offsets, lo, side="right") : np.searchsorted(offsets, hi, side="left")] - lo
-        first[inner], last[inner - 1] = w[inner], w[inner - 1]  # rows end words
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _power(len(d) + 1)
-        sums = np.zeros(len(d) + 1, np.uint64)
-        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        out.append(mix64((sums[e] - sums[s]) * inverse[s]))
-        counts += np.bincount(np.searchsorted(offsets, s + lo, side="right") - 1, minlength=len(col))
-    return np.split(np.concatenate(out), np.cumsum(counts)[:-1]) if len(col) else []
+        first[inner], last[inner - 1] = w[inner], w[inner - 1]
+        self.s, self.e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        power, self.inverse = _power(len(self.d) + 1)
+        self.sums = np.zeros(len(self.d) + 1, np.uint64)
+        np.cumsum((self.d.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
+
+    @classmethod
+    def stretches(cls, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Iterator["Spelt"]:
+        return (cls(data, offsets, is_word, lo, hi) for lo, hi in _stretches(offsets, data, is_word))
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[e] - self.sums[s]) * self.inverse[s])
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """Words of each text, given where they start."""
+        return np.bincount(np.searchsorted(self.offsets, s + self.lo, side="right") - 1, minlength=len(self.offsets) - 1)
+
+    def trimmed(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words without marks at either end, those of marks alone left out."""
+        at = np.arange(len(self.d))
+        keep = ~marks[self.d]
+        after = np.minimum.accumulate(np.where(keep, at, len(at))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(keep, at, -1)) + 1
+        s, e = after[self.s], before[self.e - 1]
+        return s[s < e], e[s < e]
+
+
+def hashed_words(texts: pa.Array, is_word: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text in order, in lower case; a null has none."""
+    data, offsets = column_bytes(texts)
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for part in Spelt.stretches(data, offsets, is_word):
+        out.append(part.hashes(part.s, part.e))
+        counts += part.counts(part.s)
+    return np.split(np.concatenate(out), np.cumsum(counts)[:-1]) if len(texts) else []
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,11 +1,14 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words (lower case, without marks around them) get the sum of hashed embeddings, of the word itself and of its PREFIXES
-and SUFFIX, so that forms not seen before share what their stems have; there are BUCKETS embeddings of DIMS numbers.
-FILTERS filters of each width slide over the words of a whole text, the greatest response of each is kept, and a logistic layer joins
-them. Training: at most ROWS labelled rows of each label, drawn by hash of the id (this bound is a parameter), from
-those outside the held-out remainder; embeddings start at a word's smoothed log odds in the first coordinate, and all
-layers are trained by gradient steps through the maxima.
+Words (lower case, without marks at their ends) get the sum of hashed embeddings, of the word itself and of its PREFIXES
+and SUFFIX in bytes, so that forms not seen before share what their stems have; there are BUCKETS embeddings of DIMS numbers.
+FILTERS filters of each width slide over the words of a whole text, the greatest response of each is kept, and a logistic
+layer joins them. All of it works on whole columns: hashes of words and their ends are differences of running sums over
+the bytes, and filters run over a stretch of many texts' words at a time.
+
+Training: at most ROWS labelled rows of each label and at most TRAIN_BYTES of their texts, drawn by hash of the id from
+those outside the held-out remainder (both bounds are parameters); embeddings start at a word's smoothed log odds in the
+first coordinate, and all layers are trained by gradient steps through the maxima.
 
 Thresholds are calibrated by language: a text's language is guessed from its function words, and each language's
 threshold is the cut of best F1 among validation rows that training didn't see (languages with few positive rows use
@@ -19,18 +22,17 @@ Repeated rows and null ids give a row each; empty tables give empty results; oth
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import mapped, table
+from maskwright.llm.common import BATCH_ROWS, SPACE, Spelt, column_bytes, mapped, mix64, table, word_table
 from maskwright.shipping import ship
 
 BUCKETS = 1 << 15
@@ -40,64 +42,66 @@ SUFFIX = 4
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 ROWS = 3000
-VOCABULARY = 1 << 16
+TRAIN_BYTES = 64 << 20
 EPOCHS = 4
 RATE = 0.08
 CUT = 0.3
 MARKS = ".,;:!?\"'()[]{}<>*%$&#|/\\-_=+~`@^0123456789"
-STRETCH = 1 << 14
+STRETCH = 1 << 15
 #: Frequent function words by language.
 FUNCTION_WORDS = {"en": "the of and to in that is for with as on by are be this was", "de": "der die und den das von mit ist im dem nicht ein eine zu auf", "fr": "le la les des et du une que pour dans qui sur au est par", "es": "el los las una que del con por para es se y en lo como"}
 LANGUAGES = ("other", *FUNCTION_WORDS)
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word, its prefixes and its suffix; 0 stands for one it is too short to have."""
-    parts = [word, *(f"<{word[:k]}" if len(word) >= k else "" for k in PREFIXES), f"{word[-SUFFIX:]}>" if len(word) > SUFFIX else ""]
-    return [1 + xxhash.xxh32_intdigest(x) % (BUCKETS - 1) if x else 0 for x in parts]
+FEATURES = 2 + len(PREFIXES)
+_IS_WORD, _IS_MARK = word_table(SPACE), ~word_table(MARKS)
+
 
+def _buckets(h: np.ndarray, kind: int) -> np.ndarray:
+    return (1 + mix64(h + np.uint64(kind)) % np.uint64(BUCKETS - 1)).astype(np.uint16)
 
-class Words(dict):
-    """Raw word -> number of its row in `rows`, which holds what `of` gives for the features of a word; emptied between texts when full."""
 
-    def __init__(self, of, limit: int | None = VOCABULARY) -> None:
-        self.of, self.limit, self.rows, self.kinds, self.n = of, limit, None, np.zeros(1024, np.int8), 0
+def column_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column's words in order: which of the different words each is, where each text's words end, and of the different words the buckets (of the word, its prefixes and its suffix; 0 for one it is too short to have) and the number of the language whose function word it is, or 0."""
+    data, offsets = column_bytes(texts)
+    hashes, feats, counts = [], [], np.zeros(len(texts), np.int64)
+    for part in Spelt.stretches(data, offsets, _IS_WORD):
+        s, e = part.trimmed(_IS_MARK)
+        h = part.hashes(s, e)
+        n = e - s
+        ends = [_buckets(h, 0)]
+        for k, size in enumerate(PREFIXES, 1):
+            ends.append(np.where(n >= size, _buckets(part.hashes(s, np.minimum(s + size, e)), k), 0).astype(np.uint16))
+        ends.append(np.where(n > SUFFIX, _buckets(part.hashes(np.maximum(s, e - SUFFIX), e), len(PREFIXES) + 1), 0).astype(np.uint16))
+        hashes.append(h)
+        feats.append(np.stack(ends, 1) if len(s) else np.zeros((0, FEATURES), np.uint16))
+        counts += part.counts(s)
+    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    known = h[first]
+    at = np.searchsorted(_FUNCTION[0], known).clip(0, len(_FUNCTION[0]) - 1)
+    kinds = np.where(_FUNCTION[0][at] == known, _FUNCTION[1][at], 0)
+    return which, np.cumsum(counts), np.concatenate([np.zeros((0, FEATURES), np.uint16), *feats])[first], kinds
 
-    def __missing__(self, raw: str) -> int:
-        w = raw.strip(MARKS)
-        if not w:
-            self[raw] = -1
-            return -1
-        if w != raw:
-            self[raw] = i = self[w]
-            return i
-        row = self.of(features(w))
-        if self.rows is None:
-            self.rows = np.zeros((1024, *row.shape), row.dtype)
-        if self.n == len(self.rows):
-            self.rows, self.kinds = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
-        self.rows[self.n], self.kinds[self.n] = row, FUNCTION.get(w, 0)
-        self[raw] = self.n
-        self.n += 1
-        return self.n - 1
 
-    def ids(self, text: str | None) -> np.ndarray:
-        if self.limit and (self.n >= self.limit or len(self) >= 4 * self.limit):
-            self.clear()
-            self.n = 0
-        words = (text or "").lower().split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return ids[ids >= 0]
+def _function_words() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the function words and the numbers of their languages; of a word in several, the last."""
+    number = {w: k for k, words in enumerate(FUNCTION_WORDS.values(), 1) for w in words.split()}
+    data, offsets = column_bytes(pa.array(list(number)))
+    (part,) = Spelt.stretches(data, offsets, _IS_WORD)
+    h = part.hashes(*part.trimmed(_IS_MARK))
+    order = np.argsort(h)
+    return h[order], np.array(list(number.values()))[order]
 
-    def language(self, ids: np.ndarray) -> int:
-        """Number in LANGUAGES of the language most of whose function words occur."""
-        if not len(ids):
-            return 0
-        n = np.bincount(self.kinds[ids], minlength=len(LANGUAGES))[1:]
-        return int(n.argmax()) + 1 if n.any() else 0
 
+_FUNCTION = _function_words()
 
-FUNCTION = {w: k for k, words in enumerate(FUNCTION_WORDS.values(), 1) for w in words.split()}
+
+def languages(which: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """For each text the number in LANGUAGES of the language most of whose function words occur."""
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    n = np.bincount(text * len(LANGUAGES) + kinds[which], minlength=len(ends) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))[:, 1:]
+    return np.where(n.any(1), n.argmax(1) + 1, 0)
 
 
 @dataclass
@@ -110,44 +114,51 @@ class Model:
     bias: float
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
 
-    def words(self) -> Words:
-        """Words with the responses that each gives: at each place of each width, for each filter."""
+    def responses(self, which: np.ndarray, ends: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        """Of each text of a column: the joined filters' response."""
         flat = np.concatenate([self.conv[k][0].reshape(FILTERS * k, DIMS) for k in WIDTHS])
         table = (self.emb @ flat.T).astype(np.float32)  # bucket x (width, filter, place)
-        return Words(lambda f: table[f].sum(0))
-
-    def response(self, words: Words, ids: np.ndarray) -> float:
-        hidden, col = [], 0
-        for k in WIDTHS:
-            best = np.full(FILTERS, -np.inf, np.float32)
-            for lo in range(0, max(0, len(ids) - k + 1), STRETCH):  # the whole text, in stretches
-                part = words.rows[ids[lo : lo + STRETCH + k - 1], col : col + FILTERS * k].reshape(-1, FILTERS, k)
-                n = len(part) - k + 1
-                r = part[:n, :, 0]
-                for p in range(1, k):
-                    r = r + part[p : n + p, :, p]
-                best = np.maximum(best, r.max(0))
-            hidden.append(np.maximum(0, np.where(np.isfinite(best), best + self.conv[k][1], 0)))
-            col += FILTERS * k
-        return float(np.concatenate(hidden) @ self.out + self.bias)
-
-    def score(self, words: Words, text: str | None) -> tuple[float, str]:
-        """Score and the guessed language."""
-        ids = words.ids(text)
-        lang = words.language(ids)
-        x = self.response(words, ids) - self.cuts[lang] + np.log(CUT / (1 - CUT))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), LANGUAGES[lang]
-
-
-def _start(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Model:
+        rows = np.concatenate([table[feats[lo : lo + 8192]].sum(1) for lo in range(0, max(1, len(feats)), 8192)])
+        starts = np.append(0, ends[:-1])
+        best = [np.full((len(ends), FILTERS), -np.inf, np.float32) for _ in WIDTHS]
+        for lo in range(0, len(which), STRETCH):  # all words, in stretches; a filter reaches into the next
+            hi = min(lo + STRETCH, len(which))
+            part = rows[which[lo : min(hi + WIDTHS[-1] - 1, len(which))]]
+            text = np.searchsorted(ends, np.arange(lo, hi), side="right")
+            left = ends[text] - np.arange(lo, hi)  # words of its text from each place on
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            col = 0
+            for q, k in enumerate(WIDTHS):
+                n = min(hi - lo, len(part) - k + 1)
+                if n > 0:
+                    filters = part[:, col : col + FILTERS * k].reshape(-1, FILTERS, k)
+                    r = filters[:n, :, 0].copy()
+                    for p in range(1, k):
+                        r += filters[p : n + p, :, p]
+                    r[left[:n] < k] = -np.inf
+                    some = first[first < n]
+                    np.maximum.at(best[q], text[some], np.maximum.reduceat(r, some, axis=0))
+                col += FILTERS * k
+        hidden = [np.maximum(0, np.where(np.isfinite(x), x + self.conv[k][1], 0)) for k, x in zip(WIDTHS, best, strict=True)]
+        return np.concatenate(hidden, 1) @ self.out + self.bias
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of a column's texts, and the numbers of the guessed languages."""
+        which, ends, feats, kinds = column_words(texts)
+        lang = languages(which, ends, kinds)
+        x = self.responses(which, ends, feats) - self.cuts[lang] + np.log(CUT / (1 - CUT))
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30))), lang
+
+
+def _start(docs: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
     n = np.zeros((2, BUCKETS))
-    for ids, label in zip(docs, y, strict=True):
-        n[int(label), np.unique(feats[np.unique(ids)])] += 1
+    for words, label in zip(docs, y, strict=True):
+        n[int(label), np.unique(words)] += 1
     size = np.bincount(y.astype(int), minlength=2)
     odds = np.log((n[1] + 0.5) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
     odds *= (n.sum(0) / (n.sum(0) + 3)).clip(0, 1)  # what is seen once or twice says little
     emb = rng.normal(0, 0.05, (BUCKETS, DIMS))
-    emb[:, 0] = np.clip(odds, -2, 4) / feats.shape[1]
+    emb[:, 0] = np.clip(odds, -2, 4) / FEATURES
     emb[0] = 0
     conv = {}
     for k in WIDTHS:
@@ -163,27 +174,26 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    vocabulary = Words(lambda f: np.array(f, np.int32), None)  # of the training rows, which are bounded
-    docs = [vocabulary.ids(t) for t in texts]
-    feats = vocabulary.rows if vocabulary.rows is not None else np.zeros((1, 2 + len(PREFIXES)), np.int32)
+    which, ends, feats, kinds = column_words(pa.array(texts, pa.large_string()))  # of the training rows, which are bounded
+    docs = [feats[x].astype(np.int32) for x in np.split(which, ends[:-1])]
     back = np.arange(len(docs)) % 5 == 4 if min((y == 0).sum(), (y == 1).sum()) >= 10 else np.zeros(len(docs), bool)
     fit = np.flatnonzero(~back)
-    m = _start([docs[i] for i in fit], feats, y[fit], rng)
+    m = _start([docs[i] for i in fit], y[fit], rng)
     share = np.clip(y[fit].mean(), 0.01, 0.99)
     weight = {1.0: 0.5 / share, 0.0: 0.5 / (1 - share)}
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(fit):
-            ids = docs[i]
+            words = docs[i]
             hidden, at = [], []
-            e = m.emb[feats[ids]].sum(1)
+            e = m.emb[words].sum(1)
             for k in WIDTHS:
                 w, b = m.conv[k]
-                if len(ids) < k:
+                if len(words) < k:
                     hidden.append(np.zeros(FILTERS))
                     at.append(None)
                     continue
-                r = sum(e[p : len(ids) - k + 1 + p] @ w[:, p].T for p in range(k))
+                r = sum(e[p : len(words) - k + 1 + p] @ w[:, p].T for p in range(k))
                 j = r.argmax(0)
                 hidden.append(np.maximum(0, r[j, np.arange(FILTERS)] + b))
                 at.append(j)
@@ -199,7 +209,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
                 if at[q] is None:
                     continue
                 d = np.where(hidden[q] > 0, dh[q * FILTERS : (q + 1) * FILTERS], 0)
-                places = feats[ids[at[q][:, None] + np.arange(k)]]  # filter x place x feature
+                places = words[at[q][:, None] + np.arange(k)]  # filter x place x feature
                 w, b = m.conv[k]
                 ew = m.emb[places].sum(2)
                 np.subtract.at(m.emb, places, (step * d[:, None, None] * w)[:, :, None, :])
@@ -207,11 +217,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
                 b -= step * d
             m.emb[0] = 0
     check = np.flatnonzero(back) if back.any() else fit
-    words = m.words()
-    z, lang = np.zeros(len(check)), np.zeros(len(check), int)
-    for n, i in enumerate(check):
-        ids = words.ids(texts[i])
-        z[n], lang[n] = m.response(words, ids), words.language(ids)
+    z, lang = m.responses(which, ends, feats)[check], languages(which, ends, kinds)[check]
     common = _cut(z, y[check])
     for k in range(len(LANGUAGES)):
         own = lang == k
@@ -233,37 +239,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
-    """Train on at most `rows` labelled rows of each label, none of them held out; their texts come to the driver."""
+def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int = TRAIN_BYTES) -> Model | None:
+    """Train on at most `rows` labelled rows of each label and half of `most_bytes` of their texts for each, none of them held out; these texts come to the driver."""
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
     draw = lambda k: usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(rows)
     chosen = draw(0).union(draw(1))  # at most 2 * rows rows of two numbers
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    got = texts.select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(2 * rows).collect()  # repeated ids can't pass the bound
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    drawn = texts.select("doc_id", "toxic", "text", F.row_number().over(order).alias("n"), F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("bytes"))
+    got = drawn.filter((F.col("n") <= rows) & (F.col("bytes") <= most_bytes // 2)).collect()  # repeated ids can't pass the bounds
+    got.sort(key=lambda r: (r["n"], r["toxic"]))
     return train([r["text"] for r in got], np.array([r["toxic"] for r in got]))
 
 
-_words: dict[str, Words] = {}
-
-
-def _kept(name: str, model: Model) -> Words:
-    """The words of the model in use, kept by a worker from task to task."""
-    if name not in _words:
-        _words.clear()
-        _words[name] = model.words()
-    return _words[name]
-
-
 def _scorer(documents: DataFrame, model: Model | None):
-    """A function from texts to (score, language) for use on executors; the model is sent once to each."""
+    """A function from a column of texts to scores and numbers of languages for use on executors; the model is sent once to each."""
     ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
-    name = uuid.uuid4().hex
 
-    def score(texts) -> list[tuple[float, str]]:
+    def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if held.value is None:
-            return [(0.05, LANGUAGES[0]) for _ in texts]
-        return [held.value.score(_kept(name, held.value), t) for t in texts]
+            return np.full(len(texts), 0.05), np.zeros(len(texts), int)
+        return held.value.scores(texts)
 
     return score
 
@@ -274,8 +271,8 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = score(t.as_py() for t in b.column("text"))
-            yield pa.record_batch([b.column("doc_id"), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.string())], names=["doc_id", "score", "language"])
+            x, lang = score(b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), pa.array(x, pa.float64()), pa.array([LANGUAGES[i] for i in lang], pa.string())], names=["doc_id", "score", "language"])
 
     return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, language string")
 
@@ -286,7 +283,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT) ->
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([x for x, _ in score(text)], dtype="float64")
+        return pd.Series(np.concatenate([np.zeros(0), *(score(pa.array(text[i : i + BATCH_ROWS], pa.large_string(), from_pandas=True))[0] for i in range(0, len(text), BATCH_ROWS))]))
 
     return documents.filter(of(F.col("text")) < cut)
 

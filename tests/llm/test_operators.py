@@ -248,6 +248,52 @@ def test_banded_lcs_over_stretches():
         assert near.banded_lcs(a, b, full + 1) <= full
 
 
+def all_pairs(texts):
+    """Pairs of texts that reach the threshold, by the textbook's table wherever their common k-mers allow it."""
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    out = []
+    for i in range(len(texts)):
+        for j in range(i):
+            common, n = sum((bags[i] & bags[j]).values()), sum(bags[i].values()) + sum(bags[j].values())
+            if texts[i] != texts[j] and common / (n - common) >= 0.8 and plain_similarity(texts[i].lower(), texts[j].lower()) >= 0.8 - 1e-9:
+                out.append((i, j))
+    return out
+
+
+def test_recall_of_keys_against_all_pairs_of_real_texts(small):
+    """Texts of the tables and copies of them, as near the threshold as edits bring them."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(r["text"].split()[:1500]) for r in small.collect()]
+    short = [t.split()[: int(rng.integers(8, 34))] for t in texts if len(t.split()) > 40][:60]
+    texts += [" ".join(x) for w in short for x in (w, w[1:], w[:-2], ["first", *w])]
+    for t in texts[:120]:
+        w = t.split()
+        for k in rng.integers(0, len(w), int(len(w) * rng.choice([0.005, 0.01, 0.02, 0.03]))).tolist():
+            w[k] = f"new{rng.integers(99)}"
+        texts.append(" ".join(w))
+    texts = [t for t in dict.fromkeys(texts) if t]
+    of = [(len(k[0]), set(near.keys(*k).tolist())) for k in map(near.kmers, texts)]
+    want = all_pairs(texts)
+    for small_ones in (True, False):
+        pairs = [(i, j) for i, j in want if (min(of[i][0], of[j][0]) <= near.SMALL) == small_ones]
+        found = sum(bool(of[i][1] & of[j][1]) for i, j in pairs)
+        print("small" if small_ones else "others", len(pairs), found)
+        assert len(pairs) >= 10 and found >= 0.99 * len(pairs)
+
+
+@pytest.mark.parametrize("block", [2, 7, 1024])
+def test_pairs_across_labels_in_blocks(spark, monkeypatch, block):
+    """One key with a frequent label and others: each pair across labels comes once, whatever the blocks."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    plain, labelled = near.kmers(" ".join(f"w{i}" for i in range(80)))
+    key, look = near.keys(plain, labelled).tolist(), near.sketch(labelled).tobytes()
+    label = lambda i: bytes([0 if i < 12 else i // 3])
+    rows = [(key[0], bytes([i]), label(i), 76, key, look, bytes([0]), 12, 11) for i in range(23)]
+    got = near._across(spark.createDataFrame(rows, "key long, rid binary, label binary, n long, keys array<long>, sketch binary, major binary, most long, others long"), 0.8).collect()
+    pairs = [(r["a"][0], r["b"][0]) for r in got]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for j in range(23) for i in range(j) if label(i) != label(j)}
+
+
 def test_near_links_texts_of_repeated_lines(spark):
     lines = [" ".join(f"l{j}w{i}" for i in range(8)) for j in range(5)]
     a = [lines[j % 5] for j in range(40)]
@@ -398,6 +444,69 @@ def test_toxicity_learns_and_keeps_columns(spark):
     assert toxicity.scored(d.filter("false"), None).count() == 0
 
 
+def plain_score(m, text):
+    """The forward pass word by word, with loops alone."""
+    words = [w for w in (x.strip(toxicity.MARKS) for x in re.split(r"[\x20\x09-\x0d]+", (text or "").lower())) if w]
+    e = []
+    for w in words:
+        b = w.encode()
+        parts = [b, *(b[:k] if len(b) >= k else b"" for k in toxicity.PREFIXES), b[-toxicity.SUFFIX :] if len(b) > toxicity.SUFFIX else b""]
+        row = np.zeros(toxicity.DIMS)
+        for kind, x in enumerate(parts):
+            if x:
+                h = plain_hash_bytes(x)
+                h = (h + kind) % 2**64
+                h ^= h >> 32
+                h = h * 0xD6E8FEB86659FD93 % 2**64
+                h ^= h >> 32
+                row = row + m.emb[1 + h % (toxicity.BUCKETS - 1)]
+        e.append(row)
+    hidden = []
+    for k in toxicity.WIDTHS:
+        w, b = m.conv[k]
+        for f in range(toxicity.FILTERS):
+            r = [sum(float(e[i + p] @ w[f, p]) for p in range(k)) for i in range(len(e) - k + 1)]
+            hidden.append(max(0.0, max(r) + b[f]) if r else 0.0)
+    seen = Counter(k for w in words for k, own in list(enumerate(toxicity.FUNCTION_WORDS.values(), 1))[::-1] if w in own.split() and not any(w in o.split() for o in list(toxicity.FUNCTION_WORDS.values())[k:]))
+    lang = min((k for k in seen if seen[k] == max(seen.values())), default=0)
+    x = float(np.array(hidden) @ m.out) + m.bias - m.cuts[lang] + math.log(0.3 / 0.7)
+    return 1 / (1 + math.exp(-x)), lang
+
+
+def plain_hash_bytes(b):
+    h = sum((c + 1) * pow(common._BASE, i, 2**64) for i, c in enumerate(b)) % 2**64
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 32
+
+
+def test_scores_equal_a_plain_forward_pass(small, monkeypatch):
+    texts = [r["text"] for r in small.limit(60).collect()] + [None, "", "  ", "...", "one", "Größe, (ÉTÉ) der die das", "x" * 300 + " und \t!und!"]
+    rng = np.random.default_rng(7)
+    m = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.DIMS)), {k: (rng.normal(size=(toxicity.FILTERS, k, toxicity.DIMS)), rng.normal(size=toxicity.FILTERS)) for k in toxicity.WIDTHS}, rng.normal(size=toxicity.FILTERS * 3) / 9, 0.1, rng.normal(size=5))
+    m.emb[0] = 0
+    want = [plain_score(m, t) for t in texts]
+    for stretch, batch in ((1 << 15, len(texts)), (64, 7)):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        monkeypatch.setattr(common, "STRETCH", stretch * 8)
+        got = [x for i in range(0, len(texts), batch) for x in zip(*m.scores(pa.array(texts[i : i + batch], pa.string())), strict=True)]
+        assert [x for _, x in got] == [x for _, x in want]
+        assert [x for x, _ in got] == pytest.approx([x for x, _ in want], abs=1e-4)
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((texts, labels)))
+    d = docs(spark, [(i, "word " * (1000 if i % 10 == 3 else 20), "s") for i in range(400)])
+    lab = spark.createDataFrame([(i, int(i % 2)) for i in range(400)], "doc_id long, toxic int")
+    toxicity.fit(d, lab, 500, 40_000)
+    texts, labels = taken[0]
+    for k in (0, 1):
+        assert 0 < sum(len(t) for t, y in zip(texts, labels, strict=True) if y == k) <= 20_000
+    toxicity.fit(d, lab, 7)
+    assert Counter(taken[1][1].tolist()) == {0: 7, 1: 7}
+
+
 # warc
 
 
