@@ -17,8 +17,9 @@ all tables about 5 times in a million, with repeated k-mers or without.
 Equal texts are collapsed first, with their count. A key's texts are compared with the one among them that shares
 most keys with others, which stands in the middle of a group of copies; components of the links found so far give
 labels. Where a key still holds texts under different labels, the texts outside its most frequent label are compared
-with all others across labels if SKETCH minima of their k-mers put their similarity no more than ERRORS standard errors
-below the threshold (a pair at the threshold fails about once in a hundred million). Pairs within a label are not needed:
+with all others across labels if sketches of their k-mers, the least of each of SKETCH bins, put their similarity no more
+than ERRORS standard errors below the threshold (a pair at the threshold fails about once in a hundred million; texts
+of few k-mers have few to a bin and are estimated all the better). Pairs within a label are not needed:
 classes are the connected components of the verified links. So a large group of copies costs comparisons in proportion to
 it, with a few strange texts under its keys too. Large keys are joined by joins whose partitions Spark splits, and
 searched for pairs in blocks of BLOCK texts against BLOCK, each a task's group of its own: a text outside the most
@@ -47,7 +48,7 @@ THRESHOLD = 0.8
 TABLES = 40
 SAMPLE = 6
 SMALL = 30
-SKETCH = 256
+SKETCH = 1024
 ERRORS = 6
 BLOCK = 1024
 #: Ids of texts are broadcast up to this number (16 bytes each), and joined by merging beyond it.
@@ -105,19 +106,19 @@ def keys(plain: np.ndarray, labelled: np.ndarray, threshold: float = THRESHOLD)
     return out.view(np.int64)
 
 
-_SKETCH_SALTS = np.random.Generator(np.random.PCG64(6)).integers(0, 2**32, (2, SKETCH), dtype=np.uint32) | np.uint32(1)
+def sketch(labelled: np.ndarray) -> np.ndarray:
+    """8 bits, from 1 on, of the least k-mer in each of SKETCH bins that a hash deals them to; 0 for an empty bin."""
+    h = np.sort(mix64(labelled + np.uint64(6)))
+    at = (h // np.uint64(2**64 // SKETCH)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(h) else []
+    out = np.zeros(SKETCH, np.uint8)
+    out[at[first]] = 1 + mix64(h[first]) % np.uint64(255)
+    return out
 
 
-def sketch(labelled: np.ndarray) -> np.ndarray:
-    """Low 16 bits of the least k-mer under each of SKETCH hashes; two texts agree in a share of these that estimates their Jaccard similarity."""
-    out = np.full(SKETCH, 2**32 - 1, np.uint32)
-    h = (labelled >> np.uint64(32)).astype(np.uint32)
-    for lo in range(0, len(h), 1024):
-        x = h[None, lo : lo + 1024] * _SKETCH_SALTS[0][:, None] + _SKETCH_SALTS[1][:, None]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        out = np.minimum(out, x.min(1))
-    return (out & np.uint32(0xFFFF)).astype(np.uint16)
+def agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bins with equal minima over bins that either fills, of one sketch and each of others: an estimate of their k-mers' Jaccard similarity."""
+    return ((others == one) & (one > 0)).sum(1) / np.maximum(1, ((others | one) > 0).sum(1))
 
 
 def least_agreement(threshold: float) -> float:
@@ -281,7 +282,7 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
         key, same = g.column("key")[0].as_py(), g.column("same")[0].as_py()
         side, n, rid = g.column("side").to_numpy(), g.column("n").to_numpy(), g.column("rid").to_pylist()
         tables = np.array([k[:TABLES] for k in g.column("keys").to_pylist()], np.int64)
-        minima = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        minima = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         _, label = np.unique(np.array([x.hex() for x in g.column("label").to_pylist()]), return_inverse=True)
         here = tables == key
         at = int(here.any(0).argmax()) if here.any() else TABLES  # the table of this key; beyond them: a small text's
@@ -297,7 +298,7 @@ def _across(open_: DataFrame, threshold: float) -> DataFrame:
             if at < TABLES and len(y):
                 y = y[(tables[y] == tables[x]).argmax(1) == at]
             if len(y):
-                y = y[(minima[y] == minima[x]).mean(1) >= least]
+                y = y[agreement(minima[x], minima[y]) >= least]
             out += [(rid[x], rid[z]) for z in y.tolist()]
         return out
 
