@@ -49,7 +49,7 @@ BLOCK = 20_000
 AT_ONCE = 1 << 17
 BITMAP_BITS = 24
 _SEED = 10
-_COARSE = 8
+_COARSE, _LARGE, _MOST_CELLS = 8, 64, 1 << 26
 _TILE_WINDOWS, _TILE_ITEMS = 8192, 128
 
 
@@ -199,9 +199,11 @@ def latent_space(words: DataFrame, rank: int = RANK) -> np.ndarray:
             z = np.add.reduceat(sums, first // STEP, axis=0)  # A R, a row a passage
             z /= np.maximum(np.add.reduceat(idf[f] ** 2, first), 1e-6)[:, None]  # passages have unit length on either side
             order = np.argsort(f.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
-            fs = f[order]
-            at = np.flatnonzero(np.append(True, fs[1:] != fs[:-1]))
-            total[fs[at]] += np.add.reduceat(z[p[order]], at, axis=0) * idf[fs[at]][:, None]
+            for lo in range(0, len(order), 8192):  # terms in order, a few at a time
+                part = order[lo : lo + 8192]
+                fs = f[part]
+                at = np.flatnonzero(np.append(True, fs[1:] != fs[:-1]))
+                total[fs[at]] += np.add.reduceat(z[p[part]], at, axis=0) * idf[fs[at]][:, None]
         rows = np.flatnonzero(np.abs(total[:FEATURES]).sum(1))
         yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, j]) for j in range(r))], names=["f", *(f"x{j}" for j in range(r))])
 
@@ -256,30 +258,51 @@ def leak(item: np.ndarray, around: np.ndarray) -> float | None:
 
 
 class _Sought:
-    """Where in an array of word ids a stretch may hold PARA of an item's words."""
+    """Where in an array of word ids a stretch may hold PARA of an item's words: first by large blocks, which tell for all items' words at once where each occurs, then by small ones."""
 
-    def __init__(self, w: np.ndarray) -> None:
+    def __init__(self, w: np.ndarray, number: np.ndarray, words: int) -> None:
+        """number: of each of the items' words, -1 for other words."""
         self.columns = np.append(w, np.zeros(-len(w) % _COARSE, np.uint16)).reshape(-1, _COARSE).T.astype(np.intp, order="C")
         self.table = np.zeros(1 << 16, np.uint64)
-
-    def may_leak(self, item: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
-        """For stretches of `reach` words from each place on: whether they hold enough of the item's different words, by coarse blocks around them. Each block has a bit for each word; repeated words count as held."""
+        self.large = _LARGE
+        while words * (len(w) // self.large + 1) > _MOST_CELLS:
+            self.large *= 2
+        self.held = {1: np.zeros((words, len(w) // self.large + 1), np.uint8)}
+        at = np.flatnonzero(number[w] >= 0)
+        self.held[1][number[w[at]], at // self.large] = 1
+
+    def _together(self, n: int) -> np.ndarray:
+        """Which words occur in n large blocks from each on."""
+        if n not in self.held:
+            less = self._together(n - 1)
+            out = less.copy()
+            out[:, : -(n - 1)] |= self.held[1][:, n - 1 :]
+            self.held[n] = out
+        return self.held[n]
+
+    def may_leak(self, item: np.ndarray, numbers: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+        """The places from which on stretches of `reach` words may hold enough of the item; repeated words count as held. numbers: of its different words."""
+        least = PARA * len(item) - (len(item) - len(numbers))
+        held = self._together(min(-(-reach // self.large) + 1, self.held[1].shape[1]))[numbers].sum(axis=0, dtype=np.int32)
+        at = at[held[np.maximum(at, 0) // self.large] >= least]
+        return at[self._closer(item, reach, at) >= least] if len(at) else at
+
+    def _closer(self, item: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+        """How many of the item's different words occur in the small blocks around each stretch. A bit stands for a word."""
         words = np.unique(item)
         size = -(-reach // _COARSE) + 1
         power = size.bit_length() - 1
-        held = np.full(len(at), len(item) - len(words), np.int64)
+        held = np.zeros(len(at), np.int64)
         lo = np.maximum(at, 0) // _COARSE
         for i in range(0, len(words), 64):
             part = words[i : i + 64]
             self.table[part] = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
-            bits = np.zeros(self.columns.shape[1] + size, np.uint64)
-            for column in self.columns:
-                bits[:-size] |= self.table[column]
+            bits = np.append(np.bitwise_or.reduce(self.table[self.columns], axis=0), np.zeros(size, np.uint64))
             self.table[part] = 0
             for p in range(power):
                 bits[: len(bits) - (1 << p)] |= bits[1 << p :]
             held += np.bitwise_count(bits[lo] | bits[lo + size - (1 << power)])
-        return held >= PARA * len(item)
+        return held
 
 
 class _Items:
@@ -288,34 +311,36 @@ class _Items:
     def __init__(self, rows: list[tuple[int | None, np.ndarray]], space: np.ndarray) -> None:
         self.rows, self.space, self.by = rows, space, {}
         self.longest = max((len(w) for _, w in rows), default=0)
+        words = np.unique(np.concatenate([np.zeros(0, np.uint16), *(w for _, w in rows)]))
+        self.number = np.full(1 << 16, -1, np.int32)
+        self.number[words] = np.arange(len(words))
+        self.words = len(words)
+        self.numbers = [self.number[np.unique(w)] for _, w in rows]
         size = np.array([max([c for c in CLASSES if c <= len(w)], default=CLASSES[0]) for _, w in rows])
         for c in CLASSES:
             if len(at := np.flatnonzero(size == c)):
                 v = np.stack([space[_feature(rows[i][1])].sum(0) for i in at])
                 self.by[c] = ((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32), at)
 
-    def _near(self, blocks: np.ndarray, c: int, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each item of a class: its number there and the first blocks of the windows whose cosine reaches COSINE. A tile of windows and items is compared at a time."""
-        k = c // STEP
-        first = np.arange(0, len(blocks), max(1, k // 3))
+    def _near(self, before: np.ndarray, c: int, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """before: sums of all blocks before each. For each item of a class: its number there and the first blocks of the windows whose cosine reaches COSINE. A tile of windows and items is compared at a time."""
+        k, n = c // STEP, len(before) - 1
+        hop = max(1, k // 3)
         for lo in range(0, len(vectors), _TILE_ITEMS):
             some, wins, nums = vectors[lo : lo + _TILE_ITEMS], [], []
-            for at in range(0, len(first), _TILE_WINDOWS):
-                start = first[at : at + _TILE_WINDOWS]
-                sums = blocks[start].copy()
-                for i in range(1, k):
-                    inside = start + i < len(blocks)
-                    sums[inside] += blocks[start[inside] + i]
+            for at in range(0, n, hop * _TILE_WINDOWS):
+                ends = before[np.minimum(np.arange(at, min(n, at + hop * _TILE_WINDOWS), hop) + k, n)]
+                sums = ends - before[at : min(n, at + hop * _TILE_WINDOWS) : hop]
                 near = some @ sums.T >= COSINE * np.sqrt(np.einsum("ij,ij->i", sums, sums))
-                n, x = np.nonzero(near)
-                nums.append(n.astype(np.int32))
-                wins.append(start[x].astype(np.int32))
-            n, x = np.concatenate(nums), np.concatenate(wins)
-            order = np.argsort(n, kind="stable")
-            cut = np.searchsorted(n[order], np.arange(len(some) + 1))
-            for i in range(len(some)):
-                if cut[i] < cut[i + 1]:
-                    yield lo + i, x[order[cut[i] : cut[i + 1]]]
+                i, x = np.divmod(np.flatnonzero(near).astype(np.int32), len(sums))
+                nums.append(i)
+                wins.append(x * hop + at)
+            i, x = np.concatenate(nums), np.concatenate(wins)
+            order = np.argsort(i, kind="stable") if len(nums) > 1 else np.arange(len(i))
+            cut = np.searchsorted(i[order], np.arange(len(some) + 1))
+            for j in range(len(some)):
+                if cut[j] < cut[j + 1]:
+                    yield lo + j, x[order[cut[j] : cut[j + 1]]]
 
     def found(self, w: np.ndarray, starts: np.ndarray) -> dict[int, dict[int, float]]:
         """Of the rows in the array: row's place -> item -> share."""
@@ -323,15 +348,15 @@ class _Items:
         if not len(w):
             return out
         blocks = _block_sums(self.space, _feature(w))
-        sought, ends = _Sought(w), np.append(starts[1:], len(w))
-        for c, (vectors, at) in self.by.items():
-            for j, first in self._near(blocks, c, vectors):
-                i = int(at[j])
+        before = np.concatenate([np.zeros((1, blocks.shape[1]), np.float32), np.cumsum(blocks, axis=0)])
+        sought, ends = _Sought(w, self.number, self.words), np.append(starts[1:], len(w))
+        for c, (vectors, members) in self.by.items():
+            for j, first in self._near(before, c, vectors):
+                i = int(members[j])
                 item, m = self.rows[i][1], len(self.rows[i][1])
-                b = first * STEP
-                b = b[sought.may_leak(item, c + 2 * m, b - m)]
-                if len(b):
-                    self._check(i, item, c, b, w, starts, ends, out)
+                at = sought.may_leak(item, self.numbers[i], c + 2 * m, first * STEP - m)
+                if len(at):
+                    self._check(i, item, c, at + m, w, starts, ends, out)
         return out
 
     def _check(self, i: int, item: np.ndarray, c: int, b: np.ndarray, w: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: dict) -> None:

@@ -303,8 +303,17 @@ def test_near_links_texts_of_repeated_lines(spark):
 
 
 def test_sketch_bound_loses_less_than_the_tables():
-    least = math.ceil(256 * near.least_agreement(0.8))
-    assert sum(math.comb(256, k) * 0.8**k * 0.2 ** (256 - k) for k in range(least)) < 1e-7
+    least = near.least_agreement(0.8)
+    assert sum(math.comb(near.SKETCH, k) * 4**k for k in range(math.ceil(near.SKETCH * least))) / 5**near.SKETCH < 1e-7
+    rng = np.random.default_rng(10)
+    for n in (10, 100, 1000, 20_000):  # texts of n k-mers with 8 in 9 common: a Jaccard similarity of 0.8
+        got = []
+        for _ in range(200):
+            x = rng.integers(0, 2**63, n + n // 9, dtype=np.uint64)
+            got.append(near.agreement(near.sketch(x[:n]), near.sketch(x[n // 9 :])[None])[0])
+        want = (n - n // 9) / (n + n // 9)
+        assert abs(np.mean(got) - want) < 0.005 and np.std(got) < 1.15 * (0.16 / near.SKETCH) ** 0.5
+    assert near.agreement(near.sketch(x[:0]), near.sketch(x)[None])[0] == 0
 
 
 def test_near_awkward(spark):
