@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\u0001", "\u0002"
+CHUNK = 512  # even, so that each chunk starts outside a match
 
 
 def find_all(text: Column, pattern: str) -> Column:
@@ -23,4 +24,11 @@ def find_all(text: Column, pattern: str) -> Column:
         hit = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value"))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(plain.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
+    def part(acc: Column, i: Column) -> Column:
+        """The next CHUNK pieces: a list grows by copying, so it is kept short and joined to the others at the end."""
+        own = F.aggregate(F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.lit(False).alias("inside"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["lists"], F.array(own["out"])).alias("lists"))
+
+    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int")), F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("lists")), part, lambda acc: F.flatten(acc["lists"]))
+    few = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.when(plain.rlike(pattern), F.when(F.size(pieces) <= CHUNK, few).otherwise(many)).otherwise(none)

@@ -19,11 +19,11 @@ from maskwright.operators import walkers
 from maskwright.operators.resolve import accepted
 from maskwright.shipping import ship
 
-SPAN = ("start", "end", "ptype", "value", "source")
+SPAN = ("start", "end", "ptype", "value", "source", "whole")
 
 
 def span(start: Column, end: Column, ptype: str, value: Column, source: str) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(ptype).alias("ptype"), value.alias("value"), F.lit(source).alias("source"))
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(ptype).alias("ptype"), value.alias("value"), F.lit(source).alias("source"), F.lit(None).cast(walkers.WHOLE).alias("whole"))
 
 
 def spans(hits: Column, ptype: str, source: str = "regex") -> Column:
@@ -53,7 +53,8 @@ def emails(text: Column) -> Column:
 @Detector
 def urls(text: Column) -> Column:
     """Web addresses with a scheme or www, but for hosts of public registers."""
-    return F.filter(spans(find_all(text, v.URL), "URL"), lambda h: ~url_host(h["value"]).isin(*v.KEEP_URL_HOSTS))
+    found = F.filter(find_all(text, f"(?:{v.URL}|{v.NO_URL})"), lambda h: h["value"].rlike("^" + v.URL))
+    return F.filter(spans(found, "URL"), lambda h: ~url_host(h["value"]).isin(*v.KEEP_URL_HOSTS))
 
 
 @Detector
@@ -145,8 +146,9 @@ def all_caps_names(text: Column) -> Column:
     value = lambda h: F.regexp_replace(h["value"], r"(?:\s+(?:AND|OR|&))+$", "")
     hits = _behind(text, label, 400, r"[A-Z]+(?:[ \u00a0]+[A-Z]+){1,3}")
     cut = F.transform(hits, lambda h: span(h["start"], h["start"] + F.length(value(h)), "PERSON_NAME", value(h), "all-caps-list"))
-    short = lambda h: F.forall(F.split(h["value"], r"[ \u00a0]+"), lambda w: F.length(w) <= 14)
-    return only(text.contains(":"), F.filter(cut, lambda h: ~looks_like_organisation(h["value"]) & short(h)))
+    words = lambda h: F.split(h["value"], r"[ \u00a0]+")
+    plausible = lambda h: F.size(words(h)).between(2, 4) & F.forall(words(h), lambda w: (F.length(w) <= 14) & ~w.isin(*v.ALL_CAPS_DENY))
+    return only(text.contains(":"), F.filter(cut, lambda h: ~looks_like_organisation(h["value"]) & plausible(h)))
 
 
 @Detector
@@ -192,16 +194,21 @@ def scan(units: DataFrame, people: list[str] = (), organisations: list[str] = ()
     bounds, and candidates and addresses are resolved again.
 
     All of it happens in the row of the unit, in one pass that crosses to Python once, so nothing is shuffled; within, the column of the sequence the units stand
-    in, adds what looks at neighbours, at the price of one shuffle by it."""
+    in, adds what looks at neighbours (names over several units too, by the column cell where there is one), at the price
+    of one shuffle by it; listed people add the joins of learned pairs."""
     ship(units.sparkSession)
-    pairs = walkers.learned_pairs(units, people) if people else []
-    out = units.select("k", "text", *([within] if within is not None else []))
+    sequence = [within] if within is not None else []
+    out = units.select("k", "text", *sequence, *(["cell"] if within is not None and "cell" in units.columns else []))
+    if people:
+        out = walkers.with_pairs(out, people)
     found = _candidates(PATTERN_DETECTORS)
     if within is not None:
-        out = out.withColumn("_named", _designated(within))
-        found = F.concat(found, _ordered(F.col("_named"), 98))
+        if "cell" not in out.columns:
+            out = out.withColumn("cell", F.lit(-1))
+        out = walkers.split_lines(out, within, people, organisations).withColumn("_named", _designated(within))
+        found = F.concat(found, _ordered(F.col("_named"), 98), _ordered(F.col("_split"), 99))
     out = out.withColumn("_found", found)
-    out = out.withColumn("_own", walkers.walked(F.col("_found"), people, organisations, pairs))
+    out = out.withColumn("_own", walkers.walked(F.transform("_found", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["ptype"].alias("ptype"))), people, organisations, F.col("_pairs") if people else None))
     more = F.col("_own")
     if within is not None:
         out = walkers.linked_lines(out, F.col("_own"), within)

@@ -26,18 +26,6 @@ def metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]
     return {"precision": ratio(tp, tp + fp, 1.0), "recall": ratio(tp, tp + fn, 1.0), "f1": ratio(2 * tp, 2 * tp + fp + fn, 0.0), "accuracy": ratio(tp + tn, tp + tn + fp + fn, 1.0)}
 
 
-def score(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """gold, found: k, ptype, value, one of a type in a unit. A row for each type and one for ALL."""
-    both = gold.alias("g").join(found.alias("f"), (F.col("g.k") == F.col("f.k")) & (F.col("g.ptype") == F.col("f.ptype")), "full")
-    hit = F.coalesce(similarity(F.col("g.value"), F.col("f.value")) >= 0.5, F.lit(False))
-    rows = both.select(F.coalesce("g.ptype", "f.ptype").alias("type"), F.col("g.k").isNotNull().alias("is_gold"), F.col("f.k").isNotNull().alias("is_found"), hit.alias("hit"), F.coalesce(F.col("g.value") == F.col("f.value"), F.lit(False)).alias("same"))
-    n = lambda c: F.count(F.when(c, 1))
-    out = rows.rollup("type").agg(n(F.col("is_gold")).alias("gold"), n(F.col("is_found")).alias("found"), n(F.col("hit")).alias("tp"), n(F.col("same")).alias("exact"))
-    out = out.withColumn("type", F.coalesce("type", F.lit("ALL"))).withColumn("fp", F.col("found") - F.col("tp")).withColumn("fn", F.col("gold") - F.col("tp"))
-    m = metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0))
-    return out.select("type", "gold", "found", "tp", "fp", "fn", "exact", *[F.round(m[c], 6).alias(c) for c in ("precision", "recall", "f1")])
-
-
 def likeness(a: str, b: str) -> float:
     """similarity() of two strings."""
     if a == b:
@@ -72,3 +60,78 @@ def match(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
     groups = gold.select(*cols).groupBy("type", "part").cogroup(found.select(*cols).groupBy("type", "part"))
     part = gold.schema["part"].dataType.simpleString()
     return groups.applyInPandas(greedy, f"type string, part {part}, n long, found_n long, similarity double")
+
+
+def score(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """gold, found: type, part, n (unique in a type and part), text, k (the unit), start, end. A row for each type that gold has and one for ALL, from the one-to-one matches; exact ones agree in unit, place and text too."""
+    place = ("k", "start", "end", "text")
+    pairs = match(gold, found, least)
+    side = lambda df, n, x: df.select(F.col("type").alias(f"{x}t"), F.col("part").alias(f"{x}p"), F.col("n").alias(f"{x}n"), F.struct(*place).alias(x))
+    g, f = side(gold, "n", "g"), side(found, "n", "f")
+    both = pairs.join(g, (F.col("type") == F.col("gt")) & F.col("part").eqNullSafe(F.col("gp")) & (F.col("n") == F.col("gn")))
+    both = both.join(f, (F.col("type") == F.col("ft")) & F.col("part").eqNullSafe(F.col("fp")) & (F.col("found_n") == F.col("fn")), "left")
+    one = lambda c: c.cast("int")
+    rows = both.select("type", F.lit(1).alias("g"), F.lit(0).alias("f"), one(F.col("found_n").isNotNull()).alias("hit"), one(F.coalesce(F.col("g") == F.col("f"), F.lit(False))).alias("same"))
+    types = gold.select(F.col("type").alias("t")).distinct()
+    rows = rows.union(found.join(types, F.col("type") == F.col("t"), "left_semi").select("type", F.lit(0), F.lit(1), F.lit(0), F.lit(0)))
+    out = rows.rollup("type").agg(F.sum("g").alias("gold"), F.sum("f").alias("found"), F.sum("hit").alias("tp"), F.sum("same").alias("exact"))
+    out = out.withColumn("type", F.coalesce("type", F.lit("ALL"))).withColumn("fp", F.col("found") - F.col("tp")).withColumn("fn", F.col("gold") - F.col("tp"))
+    m = metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0))
+    return out.select("type", "gold", "found", "tp", "fp", "fn", "exact", *[F.round(m[c], 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def accuracy(scores: DataFrame, negatives: DataFrame) -> DataFrame:
+    """scores: of score(); negatives: of negative_controls(). tp, fp, fn, tn and accuracy over all types."""
+    tn = negatives.agg(F.count(F.when(~F.col("touched"), 1)).alias("tn"))
+    counts = scores.filter("type = 'ALL'").select("tp", "fp", "fn", F.lit(0).cast("long").alias("tn")).union(tn.select(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), "tn"))
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return total.withColumn("accuracy", F.round(metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))["accuracy"], 6))
+
+
+def coverage(gold: DataFrame, found: DataFrame, least: float = 0.9) -> DataFrame:
+    """type, gold, covered, recall, and a row for ALL: gold spans that some reported span of their type and part contains or reads like. A join by type and part, whose spans one document bounds."""
+    g = gold.select("type", "part", "n", F.col("text").alias("want"))
+    f = found.select(F.col("type").alias("t"), F.col("part").alias("p"), F.col("text").alias("hit")).distinct()
+    both = g.join(f, (F.col("type") == F.col("t")) & F.col("part").eqNullSafe(F.col("p")), "left")
+    ok = F.coalesce(F.col("hit").contains(F.col("want")) | (similarity(F.col("want"), F.col("hit")) >= least), F.lit(False))
+    each = both.groupBy("type", "part", "n").agg(F.max(ok).alias("ok"))
+    out = each.rollup("type").agg(F.count(F.lit(1)).alias("gold"), F.count(F.when(F.col("ok"), 1)).alias("covered"))
+    return out.select(F.coalesce("type", F.lit("ALL")).alias("type"), "gold", "covered", F.round(metrics(F.col("covered"), F.lit(0), F.col("gold") - F.col("covered"), F.lit(0))["recall"], 6).alias("recall"))
+
+
+def negative_controls(units: DataFrame, spans: DataFrame, values: list[str]) -> DataFrame:
+    """value, touched: of the control strings (a short list of the configuration) that occur in the units, whether a span overlaps one of their occurrences."""
+    ship(units.sparkSession)
+    controls = [v for v in dict.fromkeys(values) if v]
+
+    @F.pandas_udf("array<struct<value:string,touched:boolean>>")
+    def seen(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, places):
+            row = []
+            for value in controls:
+                at, touched, held = (text or "").find(value), False, False
+                while at >= 0:
+                    held = True
+                    touched |= own is not None and any(p["start"] < at + len(value) and at < p["end"] for p in own)
+                    at = text.find(value, at + 1)
+                if held:
+                    row.append({"value": value, "touched": bool(touched)})
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    places = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    rows = units.join(places, "k", "left").select(F.explode(seen(F.col("text"), F.col("places"))).alias("x"))
+    return rows.groupBy(F.col("x.value").alias("value")).agg(F.max("x.touched").alias("touched"))
+
+
+def disagreements(gold: DataFrame, found: DataFrame, show: int = 12) -> DataFrame:
+    """type, kind (missed or extra), part, n, text: gold spans without a match and reported ones that match none, the first `show`."""
+    pairs = match(gold, found)
+    key = lambda df, n: df.select(F.col("type").alias("t"), F.col("part").alias("p"), F.col(n).alias("m"))
+    same = (F.col("type") == F.col("t")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("n") == F.col("m"))
+    missed = gold.join(key(pairs.filter("found_n IS NULL"), "n"), same, "left_semi").select("type", F.lit("missed").alias("kind"), "part", "n", "text")
+    types = gold.select(F.col("type").alias("t")).distinct()
+    own = found.join(types, F.col("type") == F.col("t"), "left_semi")
+    extra = own.join(key(pairs.filter("found_n IS NOT NULL"), "found_n"), same, "left_anti").select("type", F.lit("extra").alias("kind"), "part", "n", "text")
+    return missed.union(extra).orderBy("type", F.desc("kind"), "part", "n").limit(show)

@@ -61,8 +61,17 @@ LABEL_TAIL = (
 )
 URL_TLD = "com|net|org|edu|gov|mil|int|info|biz|io|co|in|uk|us|eu|au|ca|de|fr|jp|cn|ch|nl|se|no|dk|fi|be|at|it|es|pt|gr|il|tr|za|br|mx|ru|kr|tw|hk|sg|ae|sa|ng|ke|gh|nz|pl|cz|hu|ro|ph|my|th|vn|ar|cl|co|pe"
 ORGANISATION_HINT = r"(?i)\b(?:TRUST|FAMILY|HUF|FOUNDATION|FUND|PARTNERS|VENTURES?|HOLDINGS?|CAPITAL|ASSET|MANAGEMENT|SECURITIES|BANK|LIMITED|PRIVATE|LLP|INC|CORPORATION|INDUSTRIES|INDUSTRIAL|ENGINEERING|ASSOCIATES|ENTERPRISES|SOLUTIONS|TECHNOLOGIES|INDIA)\b"
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
-URL = r"(?i)\b(?:https?://|www\.)[a-z0-9][a-z0-9\-]*(?:\.[ ]?[a-z0-9][a-z0-9\-]*)*\.[ ]?(?:" + URL_TLD + r")\b(?:\.[ ]?(?:" + URL_TLD + r"))?(?:/[^\s\"'<>,;]*)?"
+# Repeated groups are possessive: Java matches those in a loop, others by recursion, which long texts break.
+_LABEL = r"[A-Za-z0-9][A-Za-z0-9\-]*+(?<=[A-Za-z0-9])"
+_TOP = r"[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+(?<=[A-Za-z0-9])@" + _LABEL + r"(?:(?:\.(?!" + _TOP + ")" + _LABEL + r")*+\." + _TOP + ")++"
+_URL_LABEL = r"\.[ ]?[a-z0-9][a-z0-9\-]*+"
+_URL_TOP = r"\.[ ]?(?:" + URL_TLD + r")\b"
+_URL_NEXT_TOP = r"(?:(?!" + _URL_TOP + ")" + _URL_LABEL + r")*+" + _URL_TOP
+_URL_START = r"(?i)\b(?:https?://|www\.)[a-z0-9][a-z0-9\-]*+"
+URL = _URL_START + "(?:" + _URL_NEXT_TOP + r"(?:-[a-z0-9\-]*+(?=" + _URL_NEXT_TOP + r"))?+)++(?:\.[ ]?(?:" + URL_TLD + r"))?(?:/[^\s\"'<>,;]*)?"
+# What starts like a web address and isn't one, to its end: no start inside it can be one.
+NO_URL = _URL_START + "(?:" + _URL_LABEL + ")*+"
 PHONE_INTERNATIONAL = r"\+\s*91[\s\-.]*[\d \-().]*"
 PHONE_STD = r"(?<![\w\-])0\d{2,4}[\s\-]\d{8}(?![\d])"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
@@ -117,13 +126,32 @@ COMPANY_DENY = (
     "designated stock exchange", "stock exchange", "stock exchanges", "total income", "total inc", "gross national disposable income", "government inc",
     "production linked income",
 )
-COMPANY_STOP = (
+CONNECTORS = ("and", "of", "&")
+COMPANY_LEFT_STOP = (
     "collectively", "however", "therefore", "additionally", "together", "hereby", "therein", "aforesaid", "respectively", "thereafter",
-    "notwithstanding", "whereas", "henceforth", "provided", "also", "statutory", "auditors", "secretarial", "the", "a", "an", "our", "its", "their",
-    "such", "any", "each", "every", "all", "former", "both", "same", "other", "others", "said", "company",
+    "notwithstanding", "whereas", "henceforth", "provided", "also", "statutory", "auditors", "secretarial",
+)
+COMPANY_NAME_STOP = (
+    "the", "a", "an", "our", "its", "their", "such", "any", "each", "every", "all", "former", "both", "same", "other", "others", "said", "aforesaid",
+    "hereby", "company",
 )
 SUFFIX_WORDS = ("limited", "ltd", "llp", "inc", "incorporated", "private")
-LEGAL_WORDS = ("limited", "ltd", "ltd.", "llp", "inc", "inc.", "incorporated", "private", "corporation", "corp", "corp.", "co", "co.", "company", "pvt", "pvt.")
+LEGAL_ABBREVIATIONS = (
+    "limited", "ltd", "ltd.", "private", "llp", "inc", "inc.", "incorporated", "corporation", "corp", "corp.", "co", "co.", "pvt", "pvt.",
+)
+LEGAL_WORDS = ("limited", "ltd", "llp", "inc", "incorporated", "private", "corporation", "corp", "co", "company", "pvt")
+CONTINUES_COMPANY = r"(?i)[^,;.()]{0,140}?\b(?:private|limited|llp|inc\.?|incorporated|corporation|ltd\.?)\b"
+SPLIT_JOINERS = ("&", "and", "of", "the", "de", "&amp;")
+SPLIT_HEADINGS = (
+    "account", "address", "anchor", "banker", "bankers", "book", "books", "brlm", "brlms", "consortium", "contact", "corporate", "custodian",
+    "depositary", "director", "directors", "email", "lead", "leadbankers", "leadmanagers", "manager", "managers", "name", "promoter", "promoters",
+    "registered", "registrar", "registrars", "representative", "shareholders", "sponsor", "sponsors", "syndicate", "telephone", "trustee", "trustees",
+    "underwriter", "underwriters",
+)
+ALL_CAPS_DENY = (
+    "THE", "OUR", "AND", "FOR", "SHARES", "EQUITY", "FACE", "VALUE", "AGGREGATING", "MILLION", "LIMITED", "PRIVATE", "COMPANY", "OFFER", "OFFICE",
+    "SECRETARY", "DIRECTOR", "AGAINST", "STOCK", "EXCHANGES", "SHARE", "HOLDER", "HOLDERS", "PROCEEDS", "NET", "ISSUE", "FRESH",
+)
 NAME_TAIL = r"(?i)(?:Family|HUF|Holdings?|Trusts?)[ ]+Trust\b"
 ROLE = r"(?:book\s*running\s*lead\s*managers?|lead\s*managers?|arrangers?|bankers?|editors?|registrars?|(?:escrow\s*collection|public\s*offer\s*account|refund)\s*banks?|sponsor\s*banks?|collection\s*agents?|clearing\s*banks?|principal\s*accountants?|statutory\s*auditors?|central\s*advisors?|legal\s*advisors?)(?:\s+to\s+the\s+offer)?"
 QUALIFIER = r"(?i)\s*(?:HUF|Family\s+Trust|Family\s+HUF|Trust\b|Holdings?\b|Trustees\b|Foundation\b)"
@@ -175,3 +203,28 @@ ADDRESS_UNIT = r"(?i)\b(?:unit|village|premises|shed|works|godown)\s*(?:no\.?|nu
 ADDRESS_DESK = r"(?i)\b(?:department|division|directorate|office|centre|center|section|desk|team|cell)\b"
 BARE_REGION = r"^[A-Za-z][a-z]+(?: [A-Za-z][a-z]+)?,\s*India\.?$"
 ABBREVIATION = r"(?i)\b(?:no|nos|s|sr|ss|m/s|mr|mrs|ms|dr|shri|smt|st|rd|ln|floor|fl|opp|near|sec|block|bl|dist|pin|c/o|care|of|co|pvt|ltd|inc|llp|extn|approx|village|vill|taluka)\.$"
+
+# What the verifier holds a redacted document to.
+STRUCTURE_TAGS = (
+    "p", "r", "tbl", "tr", "tc", "hyperlink", "bookmarkStart", "bookmarkEnd", "drawing", "fldChar", "instrText", "t", "tab", "br", "sectPr", "footnote",
+)
+RESERVED_DOMAINS = ("example.com", "example.net", "example.org")
+PROSE_BEFORE = r"(?i)\b(?:in|at|near|from|to|within|across|of|into|towards)\s*$"
+
+# Patterns and lists of the gold rules, which are independent of the detectors.
+GOLD_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*(?:\.\s?)[A-Za-z]{2,}"
+GOLD_WEB = r"(?i)(?:https?://|www\.)[A-Za-z0-9./?=_%:-]*(?:\.\s?)?[A-Za-z0-9/]"
+GOLD_PHONE = r"(?:\+?91[\s.-]?|\(?0\d{2,4}\)?[\s.-]?)(?:\d[\s.-]?){8,12}\d"
+GOLD_LEGAL = r"\b(?:[A-Z][\w&'.-]*(?:\s+(?:and|&|of|for|the|de|du)?\s*[A-Z0-9][\w&'.-]*)*\s+(?:Private\s+Limited|Limited|Ltd\.?|LLP|Inc\.?|Incorporated|Corporation|Pvt\.?\s*Ltd\.?))\b"
+GOLD_DIN_LABEL = r"(?i)\bdin\b|director\s+identification"
+GOLD_KEEP_HOSTS = (
+    "sebi.gov.in", "sebiweb.gov.in", "bseindia.com", "bseindia.in", "nseindia.com", "cdslindia.com", "csdlindia.com", "nsdl.co.in", "mca.gov.in",
+    "roc.gov.in", "rbi.org.in", "indiaservices.gov.in", "infrastructure.in", "ncselib.com",
+)
+NEGATIVE_CONTROLS = (
+    "SEBI", "NSE", "BSE", "ROC", "Ministry of Corporate Affairs", "Registrar of Companies", "Securities and Exchange Board of India", "Stock Exchange",
+    "Listing", "Book Building", "Anchor Investor", "Promoter", "Promoters", "Book Running Lead Manager", "Lead Manager", "Debenture", "Equity Share",
+    "Broker", "Registrar", "Sponsor Bank", "Escrow", "ISIN", "Bid", "Offer Price", "Price Band", "Allotment", "Refund", "Underwriting", "Disclosure",
+    "Credit Rating", "Financial Year", "Fiscal", "Registered Office", "Corporate Office", "Compliance Officer", "Chairman", "Whole-time Director",
+    "Independent Director", "Stakeholders", "Employees", "October 18, 2025", "March 31, 2025", "\u20b9100", "33.33%", "BSE Limited", "ISO 9001",
+)
