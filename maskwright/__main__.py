@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     clash = collisions(units, maps).select("fake").limit(5).collect()
     if clash:
         raise SystemExit(f"substitutes that stand in the source already: {[r['fake'] for r in clash]}; choose another seed")
-    written = office.save(office.write_packages(files, edits_of(spans, maps, fakes)), a.output)
+    written = office.save(office.write_packages(files, edits_of(spans, maps, fakes)), a.output, a.input if os.path.isdir(a.input) else None)
     done = written.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed")).first()
     print(f"rewrote {done['changed']} text elements in {done['files']} documents")
     if a.emit_map:

@@ -75,7 +75,8 @@ def redact(units: DataFrame, spans: DataFrame, maps: DataFrame, fakes: Fakes | N
 def word_runs(text: Column, sizes: list[int]) -> Column:
     """array<struct<run,at,words>> of all runs of so many words: words are letters and digits in lower case, at counts them, and a run is joined by blanks."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[0-9a-z]+"), F.lit(0))
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i, n=n: F.struct(F.array_join(F.slice(words, i, n), " ").alias("run"), (i - 1).alias("at"), F.lit(n).alias("words"))) for n in sizes]
+    run = lambda n: lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(n)), " ").alias("run"), (i - 1).alias("at"), F.lit(n).alias("words"))
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), run(n)) for n in sizes]
     return F.filter(F.concat(*runs), lambda r: F.size(F.split(r["run"], " ")) == r["words"]) if runs else F.array().cast("array<struct<run:string,at:int,words:int>>")
 
 

@@ -43,7 +43,7 @@ def residual(after: DataFrame, maps: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in values.select(F.size(F.split("run", " "))).distinct().collect())  # word numbers, a few
     runs = after.select("k", F.explode(F.array_distinct(F.transform(word_runs(F.col("text"), sizes), lambda r: r["run"]))).alias("run"))
     met = runs.join(values, "run").join(after.select("k", F.col("text").alias("_text")), "k")
-    before = F.regexp_extract("_text", F.concat(F.lit("(?is)^(.*?)(?:"), _tolerant(F.col("original")), F.lit(")")), 1)
+    before = F.call_function("regexp_extract", F.col("_text"), F.concat(F.lit("(?is)^(.*?)(?:"), _tolerant(F.col("original")), F.lit(")")), F.lit(1))
     held = met.filter(F.regexp_like("_text", F.concat(F.lit("(?is)"), _tolerant(F.col("original")))))
     held = held.withColumn("_before", F.substring(before, -60, 60))
     number = F.col("_before").rlike(r"\d{3}\s?\d{3}\s*[-,]?\s*$") | F.col("_before").rlike(r"\d{1,4}\s*[-,]\s*$")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from maskwright import vocabulary as v
 from maskwright.functions.fakes import Fakes
+from maskwright.functions.regex import find_all
 from maskwright.functions.text import canonical, looks_like_name, looks_like_organisation, norm_key, url_host
 from maskwright.operators import detect as d
-from maskwright.operators import walkers
-from maskwright.operators.quality import match, metrics, score, similarity
+from maskwright.operators import gold, verify, walkers
+from maskwright.operators.quality import accuracy, coverage, disagreements, match, negative_controls, score, similarity
 from maskwright.operators.resolve import resolve
-from maskwright.operators.rewrite import collisions, mapping, redact, with_keys
-from maskwright.plans.corpora import units, units_sql
+from maskwright.operators.rewrite import collisions, mapping, redact, spread, with_keys
+from maskwright.plans.corpora import CORPORA, units, units_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +51,7 @@ def _pages(s: SparkSession, sf: str) -> DataFrame:
 
 EMAIL_RE2 = r"(?:^|[^A-Za-z0-9._%+\-])([A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?:$|[^A-Za-z0-9\-])"
 IPV4_RE2 = r"(?:^|[^0-9.])((?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3})(?:$|[^0-9.])"
-URL_RE2 = v.URL.replace("'", "''")
+URL_RE2 = (r"(?i)\b(?:https?://|www\.)[a-z0-9][a-z0-9\-]*(?:\.[ ]?[a-z0-9][a-z0-9\-]*)*\.[ ]?(?:" + v.URL_TLD + r")\b(?:\.[ ]?(?:" + v.URL_TLD + r"))?(?:/[^\s\"'<>,;]*)?").replace("'", "''")
 EMAILS_SQL = f"SELECT doc_id AS k, unnest(regexp_extract_all(text, '{EMAIL_RE2}', 1)) AS value FROM documents"
 IPS_SQL = f"SELECT k, value FROM (SELECT doc_id AS k, unnest(regexp_extract_all(text, '{IPV4_RE2}', 1)) AS value FROM documents) WHERE list_max(list_transform(string_split(value, '.'), lambda x: x::INT)) >= 10"
 CARDS_SQL = r"""SELECT k, value FROM (SELECT doc_id AS k, unnest(regexp_extract_all(text, '\b(?:[0-9][ -]?){12,18}[0-9]\b')) AS value FROM documents)
@@ -166,8 +168,27 @@ def _(s, sf):
 
 @query("learned_pairs", f"SELECT value AS pair, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:Asha|Ravi) [A-Z][a-z]+')) AS value FROM {units_sql('pair')}) GROUP BY 1 HAVING count(*) >= 2")
 def _(s, sf):
-    pairs = units(s, sf, "pair").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b(?:Asha|Ravi)[  ]+[A-Z][a-z]+"), F.lit(0))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return walkers.learned_pairs(units(s, sf, "pair"), ["Asha Menon", "Ravi Menon"])
+
+
+@query("learned_names", f"SELECT k, regexp_extract(text, '^(Asha|Ravi) [A-Z][a-z]+') AS value FROM {units_sql('pair')} WHERE regexp_matches(text, '^(Asha|Ravi) ')")
+def _(s, sf):
+    return walkers.listed_people(units(s, sf, "pair"), ["Asha Menon", "Ravi Menon"], learn=True).select("k", "value")
+
+
+@query("split_names", f"""
+WITH u AS (SELECT k, text, k // 4 AS cell, k % 4 AS line FROM {units_sql('split')})
+SELECT k, text AS value, cast(line AS INT) AS piece, CASE cell % 2 WHEN 0 THEN 'Alder Freight Private Limited' ELSE 'Birch Works Private Limited' END AS entity FROM u WHERE line < 3 AND k IN (SELECT a.k FROM u a JOIN u b ON a.cell = b.cell GROUP BY a.k, a.line HAVING count(*) FILTER (b.line < 3) = 3)
+""")
+def _(s, sf):
+    u = units(s, sf, "split").select("k", "text", F.floor(F.col("k") / 4).cast("int").alias("cell"), F.floor(F.col("k") / 400).alias("part"))
+    return walkers.split_lines(u, "part").select("k", F.inline("_split")).select("k", "value", F.col("whole.piece").alias("piece"), F.col("whole.entity").alias("entity"))
+
+
+@query("spread_substitute", "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Ker' WHEN 1 THEN 'marLowInd' ELSE 'ustries' END AS share FROM customer")
+def _(s, sf):
+    rows = _table(s, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).cast("int").alias("piece"))
+    return rows.select("k", spread(F.lit("KermarLowIndustries"), F.array(F.lit(3), F.lit(9), F.lit(7)), F.col("piece")).alias("share"))
 
 
 # Predicates and keys
@@ -181,9 +202,9 @@ def _(s, sf):
     return _table(s, sf, "customer").select(F.col("c_custkey").alias("k"), F.call_function("luhn_check", F.col("c_custkey").cast("string")).alias("ok"))
 
 
-@query("norm_key", r"SELECT doc_id AS k, md5(lower(trim(regexp_replace(text, '[\s ]+', ' ', 'g')))) AS key FROM documents WHERE regexp_matches(text, '^[\x20-\x7e\s]*$')")
+@query("norm_key", r"SELECT doc_id AS k, md5(lower(trim(regexp_replace(text, '[\x09-\x0d\x20\x{00a0}]+', ' ', 'g')))) AS key FROM documents")
 def _(s, sf):
-    return _documents(s, sf).filter(F.col("text").rlike(r"^[\x20-\x7e\s]*\z")).select("k", F.md5(norm_key(F.col("text"))).alias("key"))
+    return _documents(s, sf).select("k", F.md5(norm_key(F.col("text"))).alias("key"))
 
 
 @query("host_extract", f"SELECT page_id AS k, {HOST_SQL.replace('value', 'url')} AS host FROM pages")
@@ -320,11 +341,15 @@ def _(s, sf):
     return redact(u, spans, mapping(spans))
 
 
-@query("collision_guard", f"SELECT key, fake FROM (SELECT DISTINCT key, {FAKE_SQL['din']} AS fake FROM {CUSTOMER_KEY}) WHERE fake IN (SELECT lpad(c_custkey::VARCHAR, 8, '0') FROM customer)")
+#: Substitutes of several types; those of every third customer stand in a text.
+_PLANTED = "CASE c_custkey % 4 WHEN 0 THEN 'John Doe' WHEN 1 THEN '4111 1111 1111' WHEN 2 THEN 'https://www.example.com/team' ELSE '12, Anand Apartments' END || ' ' || cast(c_custkey AS string)"
+
+
+@query("collision_guard", f"SELECT c_custkey::VARCHAR AS key, {_PLANTED} AS fake FROM customer WHERE c_custkey % 3 = 0")
 def _(s, sf):
-    c = _table(s, sf, "customer")
-    maps = c.select(F.col("c_custkey").cast("string").alias("key"), Fakes().din(F.col("c_custkey").cast("string")).alias("fake"))
-    return collisions(c.select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("text")), maps)
+    c = _table(s, sf, "customer").selectExpr("c_custkey AS k", "cast(c_custkey AS string) AS key", f"{_PLANTED} AS fake")
+    text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("before, "), F.upper("fake"), F.lit("; behind"))).otherwise(F.concat(F.lit("x"), F.replace(F.col("fake"), F.lit(" "), F.lit("x"))))
+    return collisions(c.select("k", text.alias("text")), c.select("key", "fake"))
 
 
 # Overlaps
@@ -355,55 +380,101 @@ def _(s, sf):
     return rows.join(cells, "bucket").filter((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))).select("k", "cell")
 
 
-# Verification
+# Verification: a source, a result with planted faults by key, and a mapping
+
+_SSN = f"(SELECT c_custkey AS k, 'SSN ' || v AS text, v, '900-00-' || lpad(cast(c_custkey % 10000 AS string), 4, '0') AS fake FROM (SELECT c_custkey, {CORPORA['ssn'][2].removeprefix("'SSN ' || ")} AS v FROM customer))"
+_AFTER = f"(SELECT k, text AS old, v, fake, CASE k % 7 WHEN 0 THEN text WHEN 1 THEN 'SSN  ' || fake WHEN 2 THEN 'SSN ' || fake || ' and more' ELSE 'SSN ' || fake END AS new FROM {_SSN})"
+_REGION = "(SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'plants in Maharashtra, India run' WHEN 1 THEN 'Pune 411 001 - Maharashtra, India' WHEN 2 THEN 'at MAHARASHTRA India' WHEN 3 THEN 'Maharashtra,  India' ELSE 'Maharashtra and India' END AS text FROM supplier)"
+_PARTS = "(SELECT c_custkey // 10 AS path, 'word/p' || cast(c_custkey % 10 AS string) AS part, c_custkey AS k FROM customer)"
+_XML = "'<w:p><w:r><w:t a=\"b\">' || cast(k AS string) || '</w:t></w:r></w:p>' || CASE WHEN k % 5 = 0 THEN '<w:tab/>' ELSE '' END"
+_MAPS = "(SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'DIN' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'COMPANY' WHEN 3 THEN 'ADDRESS' ELSE 'PERSON_NAME' END AS ptype, CASE c_custkey % 5 WHEN 0 THEN lpad(cast(c_custkey AS string), 8, '0') WHEN 1 THEN 'ab' || cast(c_custkey AS string) || '@corp.in' WHEN 2 THEN 'Alder' || cast(c_custkey AS string) || ' Limited' WHEN 3 THEN cast(c_custkey AS string) || ' Maple Road, Pune' ELSE 'Asha Rao' || cast(c_custkey AS string) END AS original, CASE c_custkey % 5 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN '1234567' ELSE '12345678' END WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'much.longer.name@example.com' ELSE 'a@example.com' END WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'One Two Limited' ELSE 'Kite Limited' END WHEN 3 THEN CASE WHEN c_custkey % 3 = 0 THEN '999, Anand Apartments, Maple Road, Rajapur' ELSE 'Rajapur' END ELSE 'John Doe' END AS fake FROM customer)"
+
 
-TAGS = ("p", "a", "li", "div", "script", "title")
+def _sub(s: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
+    """The rows of a subquery over the tables, for which plain names stand."""
+    for t in tables or ("customer", "supplier"):
+        _table(s, sf, t).createOrReplaceTempView(f"maskwright_{t}")
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 maskwright_{t}", sql)
+    return s.sql(f"SELECT * FROM {sql.replace(' // ', ' div ')}")
 
 
-@query("tag_counts", "SELECT tag, sum(len(regexp_extract_all(html, '<' || tag || '[ >]')))::BIGINT AS n FROM pages, (SELECT unnest([" + ", ".join(f"'{t}'" for t in TAGS) + "]) AS tag) GROUP BY tag")
+@query("part_parity", f"SELECT path, part, 'missing' AS state FROM {_PARTS} WHERE k % 11 = 0 UNION ALL SELECT path, part || 'x', 'added' FROM {_PARTS} WHERE k % 13 = 0")
 def _(s, sf):
-    counts = F.array(*[F.struct(F.lit(t).alias("tag"), F.regexp_count("html", F.lit(f"<{t}[ >]")).alias("n")) for t in TAGS])
-    return _table(s, sf, "pages").select(F.inline(counts)).groupBy("tag").agg(F.sum("n").alias("n"))
+    before = _sub(s, sf, _PARTS)
+    return verify.part_parity(before, before.filter("k % 11 <> 0").union(before.filter("k % 13 = 0").withColumn("part", F.concat("part", F.lit("x")))))
 
 
-@query("part_parity", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' ELSE 'missing' END AS state FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("structure", f"SELECT path, part, 'tab' AS tag, 1 AS before, 0 AS after FROM {_PARTS} WHERE k % 35 = 0 UNION ALL SELECT path, part, 'r', 1, 2 FROM {_PARTS} WHERE k % 6 = 0")
 def _(s, sf):
-    a, b = _table(s, sf, "customer").select(F.col("c_custkey").alias("k")).distinct(), _table(s, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return a.exceptAll(b).withColumn("state", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("state", F.lit("added")))
+    before = _sub(s, sf, f"(SELECT path, part, k, {_XML} AS xml FROM {_PARTS})")
+    after = before.withColumn("xml", F.when(F.col("k") % 7 == 0, F.regexp_replace("xml", "<w:tab/>", "")).otherwise(F.col("xml")))
+    return verify.structure(before, after.withColumn("xml", F.when(F.col("k") % 6 == 0, F.concat("xml", F.lit("<w:r/><w:rPr/>"))).otherwise(F.col("xml"))))
 
 
-@query("double_spaces", "SELECT doc_id AS k, len(regexp_extract_all(text, '[  ]{2,}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[  ]{2,}')")
+@query("residual", f"SELECT k, 'SSN' AS ptype, v AS original, 'leak' AS state FROM {_AFTER} WHERE k % 7 = 0")
 def _(s, sf):
-    n = F.regexp_count("text", F.lit("[  ]{2,}"))
-    return _documents(s, sf).select("k", n.cast("long").alias("n")).filter("n > 0")
+    rows = _sub(s, sf, _AFTER)
+    return verify.residual(rows.select("k", F.col("new").alias("text")), rows.select(F.lit("SSN").alias("ptype"), F.col("v").alias("original"), "fake"))
 
 
-@query("line_growth", f"SELECT max(length({FAKE_SQL['ssn']}) - length(key))::BIGINT AS widest, count(*) FILTER (length({FAKE_SQL['ssn']}) > length(key)) AS grown FROM {_SSNS}")
+@query("residual_places", f"SELECT k, 'ADDRESS' AS ptype, 'Maharashtra, India' AS original, CASE WHEN k % 5 IN (0, 2) THEN 'prose' ELSE 'leak' END AS state FROM {_REGION} WHERE k % 5 <> 4")
 def _(s, sf):
-    u = units(s, sf, "ssn")
-    spans = d.ssns(u)
-    after = redact(u, spans, mapping(spans)).select("k", F.length("text").alias("n"))
-    growth = F.col("n") - F.length("text")
-    return u.join(after, "k").agg(F.max(growth).cast("long").alias("widest"), F.count(F.when(growth > 0, 1)).alias("grown"))
+    maps = s.range(1).select(F.lit("ADDRESS").alias("ptype"), F.lit("Maharashtra, India").alias("original"), F.lit("Karnataka, India").alias("fake"))
+    return verify.residual(_sub(s, sf, _REGION), maps)
 
 
-@query("consistency", f"SELECT fake, count(DISTINCT key) AS originals FROM (SELECT key, {FAKE_SQL['ip']} AS fake FROM {CUSTOMER_KEY}) GROUP BY fake HAVING count(DISTINCT key) > 1")
+@query("reserved_domains", "SELECT 'corp' || cast(c_custkey % 7 AS string) || '.example.in' AS domain, count(*) AS n FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1 ORDER BY n DESC, domain LIMIT 3")
 def _(s, sf):
-    c = _table(s, sf, "customer").select(F.col("c_custkey").cast("string").alias("key"))
-    return c.withColumn("fake", Fakes().ip(F.col("key"))).groupBy("fake").agg(F.countDistinct("key").alias("originals")).filter("originals > 1")
+    rows = _table(s, sf, "customer").selectExpr("CASE WHEN c_custkey % 5 = 0 THEN 'to a.b@Corp' || cast(c_custkey % 7 AS string) || '.example.in, then' ELSE 'x@example.com y@example.org' END AS text")
+    return verify.foreign_domains(rows)
 
 
-@query("residual", f"SELECT k FROM {_SSNS} t WHERE contains(replace(text, key, {FAKE_SQL['ssn']}), key)")
+@query("shape_violations", f"SELECT ptype, original, fake FROM {_MAPS} WHERE k % 3 = 0 AND k % 5 <> 4")
 def _(s, sf):
-    u = units(s, sf, "ssn")
-    spans = d.ssns(u)
-    return redact(u, spans, mapping(spans)).alias("r").join(spans.alias("s"), F.col("r.k") == F.col("s.k")).filter(F.col("text").contains(F.col("value"))).select("r.k")
+    return verify.shape(_sub(s, sf, _MAPS))
 
 
-@query("shape_violations", f"SELECT key FROM {_SSNS} WHERE length(regexp_replace(key, '[^0-9]', '', 'g')) <> length(regexp_replace({FAKE_SQL['ssn']}, '[^0-9]', '', 'g'))")
+@query("consistency", "SELECT 'Asha ' || cast(c_custkey % 100 AS string) AS original, count(DISTINCT c_custkey % 3) AS fakes FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey % 3) > 1")
 def _(s, sf):
-    n = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
-    return mapping(d.ssns(units(s, sf, "ssn"))).filter(n("original") != n("fake")).select("key")
+    return verify.two_fakes(_table(s, sf, "customer").selectExpr("'PERSON_NAME' AS ptype", "'Asha ' || cast(c_custkey % 100 AS string) AS original", "cast(c_custkey % 3 AS string) AS fake"))
+
+
+@query("shared_fakes", f"SELECT 'IP_ADDRESS' AS ptype, fake, count(DISTINCT key) AS originals FROM (SELECT key, {FAKE_SQL['ip']} AS fake FROM {CUSTOMER_KEY}) GROUP BY fake HAVING count(DISTINCT key) > 1")
+def _(s, sf):
+    key = F.col("c_custkey").cast("string")
+    return verify.shared_fakes(_table(s, sf, "customer").select(F.lit("IP_ADDRESS").alias("ptype"), key.alias("original"), Fakes().ip(key).alias("fake")))
+
+
+@query("double_spaces", f"SELECT k, 1 AS added FROM {_AFTER} WHERE k % 7 = 1")
+def _(s, sf):
+    return verify.doubled_blanks(_sub(s, sf, _AFTER)).select("k", "added")
+
+
+@query("line_growth", f"SELECT k, 9 AS growth FROM {_AFTER} WHERE k % 7 = 2")
+def _(s, sf):
+    return verify.grown(_sub(s, sf, _AFTER)).select("k", "growth")
+
+
+@query("paired_units", "SELECT c_custkey // 10 AS part, (c_custkey % 10)::INT AS idx, c_name AS old, upper(c_name) AS new FROM customer WHERE (c_custkey // 10) % 3 <> 0")
+def _(s, sf):
+    rows = _table(s, sf, "customer").select(F.floor(F.col("c_custkey") / 10).alias("part"), (F.col("c_custkey") % 10).cast("int").alias("idx"), F.col("c_name").alias("text"))
+    after = rows.withColumn("text", F.upper("text"))
+    extra = rows.filter("part % 3 = 0").groupBy("part").agg(F.lit(99).alias("idx"), F.lit("more").alias("text"))
+    return verify.paired(rows, after.union(extra))
+
+
+@query("determinism", f"SELECT k, sha256(old) AS sha256, 'first' AS side FROM {_AFTER} WHERE k % 7 IN (3, 4) UNION ALL SELECT k, sha256(old || '!'), 'second' FROM {_AFTER} WHERE k % 7 IN (3, 4)")
+def _(s, sf):
+    rows = _sub(s, sf, _AFTER).select("k", F.col("old").alias("text"))
+    return verify.differences(rows, rows.withColumn("text", F.when(F.col("k") % 7 > 4, F.col("text")).when(F.col("k") % 7 < 3, F.col("text")).otherwise(F.concat("text", F.lit("!")))))
+
+
+@query("verify_report", f"SELECT name, n = 0 AS ok, n::BIGINT AS offenders FROM (SELECT 'residual' AS name, count(*) FILTER (k % 7 = 0) AS n FROM {_SSN} UNION ALL SELECT 'blanks', count(*) FILTER (k % 7 = 1) FROM {_SSN} UNION ALL SELECT 'growth', count(*) FILTER (k % 7 = 2) FROM {_SSN} UNION ALL SELECT 'two fakes', 0)")
+def _(s, sf):
+    rows = _sub(s, sf, _AFTER)
+    maps = rows.select(F.lit("SSN").alias("ptype"), F.col("v").alias("original"), F.lit("900-00-0000").alias("fake"))
+    checks = {"residual": verify.residual(rows.select("k", F.col("new").alias("text")), maps), "blanks": verify.doubled_blanks(rows), "growth": verify.grown(rows), "two fakes": verify.two_fakes(maps)}
+    return verify.report(checks).select("name", "ok", "offenders")
 
 
 # Scoring
@@ -416,55 +487,61 @@ def _(s, sf):
     return _table(s, sf, "part").select(F.col("p_partkey").alias("k"), F.round(similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-_GOLD = {"PHONE": "phone", "ADDRESS": "addr"}
-_GOLD_SQL = " UNION ALL ".join(f"SELECT k, '{t}' AS ptype, text AS value FROM {units_sql(c)}" for t, c in _GOLD.items())
-_FOUND_SQL = f"SELECT k, ptype, CASE WHEN k % 5 = 0 THEN left(value, length(value)::INT - 4) ELSE value END AS value FROM ({_GOLD_SQL}) WHERE k % 7 <> 0"
+#: Two spans of a type in each unit, which share no character; the first is reported but by every 7th, the second cut by every 5th, and every 11th reports another.
+_GOLD_SQL = "(SELECT c_custkey AS part, c_custkey AS k, i AS n, 'PHONE' AS type, CASE i WHEN 1 THEN 'qwertyuiop' ELSE '0123456789' END AS text, (i * 20)::INT AS start, (i * 20 + 10)::INT AS \"end\" FROM customer, (SELECT unnest([1, 2]) AS i))"
+_FOUND_SQL = f"(SELECT part, k, n, type, CASE WHEN n = 2 AND k % 5 = 0 THEN left(text, 7) ELSE text END AS text, start, \"end\" FROM {_GOLD_SQL} WHERE n = 2 OR k % 7 <> 0 UNION ALL SELECT c_custkey, c_custkey, 3, 'PHONE', 'zzz', 90, 93 FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT c_custkey, c_custkey, 4, 'EMAIL', 'a@b.co', 95, 99 FROM customer WHERE c_custkey % 13 = 0)"
 
 
 def _gold(s: SparkSession, sf: str) -> DataFrame:
-    one = [units(s, sf, c).select("k", F.lit(t).alias("ptype"), F.col("text").alias("value")) for t, c in _GOLD.items()]
-    return one[0].unionByName(one[1])
+    two = F.array(*[F.struct(F.lit(i).alias("n"), F.lit("PHONE").alias("type"), F.lit(t).alias("text"), F.lit(20 * i).alias("start"), F.lit(20 * i + 10).alias("end")) for i, t in ((1, "qwertyuiop"), (2, "0123456789"))])
+    return _table(s, sf, "customer").select(F.col("c_custkey").alias("part"), F.col("c_custkey").alias("k"), F.inline(two))
 
 
 def _found(s: SparkSession, sf: str) -> DataFrame:
-    cut = F.substring("value", F.lit(1), F.length("value") - 4)
-    return _gold(s, sf).filter("k % 7 <> 0").select("k", "ptype", F.when(F.col("k") % 5 == 0, cut).otherwise(F.col("value")).alias("value"))
+    gold, c = _gold(s, sf), _table(s, sf, "customer").select(F.col("c_custkey").alias("part"), F.col("c_custkey").alias("k"))
+    cut = gold.filter("n = 2 OR k % 7 <> 0").withColumn("text", F.when((F.col("n") == 2) & (F.col("k") % 5 == 0), F.substring("text", 1, 7)).otherwise(F.col("text")))
+    more = lambda n, t, text, a, b: c.select("part", "k", F.lit(n), F.lit(t), F.lit(text), F.lit(a), F.lit(b))
+    return cut.union(more(3, "PHONE", "zzz", 90, 93).filter("k % 11 = 0")).union(more(4, "EMAIL", "a@b.co", 95, 99).filter("k % 13 = 0"))
 
 
-@query("detection_metrics", f"""
-WITH r AS (SELECT coalesce(g.ptype, f.ptype) AS type, g.k IS NOT NULL AS ig, f.k IS NOT NULL AS ff, g.value AS a, f.value AS b FROM ({_GOLD_SQL}) g FULL JOIN ({_FOUND_SQL}) f ON g.k = f.k AND g.ptype = f.ptype
-), c AS (SELECT coalesce(type, 'ALL') AS type, count(*) FILTER (ig) AS gold, count(*) FILTER (ff) AS found, count(*) FILTER (coalesce({SIMILAR_SQL}, 0) >= 0.5) AS tp, count(*) FILTER (a = b) AS exact FROM r GROUP BY ROLLUP (type))
-SELECT type, gold, found, tp, found - tp AS fp, gold - tp AS fn, exact, round(CASE WHEN found > 0 THEN tp / found ELSE 1.0 END, 6) AS precision, round(CASE WHEN gold > 0 THEN tp / gold ELSE 1.0 END, 6) AS recall, round(CASE WHEN found + gold > 0 THEN 2 * tp / (found + gold) ELSE 0.0 END, 6) AS f1 FROM c
-""")
+_COUNTS = "count(*) * 2 AS gold, count(*) + count(*) FILTER (k % 7 <> 0) + count(*) FILTER (k % 11 = 0) AS found, count(*) + count(*) FILTER (k % 7 <> 0) AS tp, count(*) FILTER (k % 11 = 0) AS fp, count(*) FILTER (k % 7 = 0) AS fn, count(*) FILTER (k % 7 <> 0) + count(*) FILTER (k % 5 <> 0) AS exact FROM (SELECT c_custkey AS k FROM customer)"
+
+
+@query("detection_metrics", f"SELECT type, gold, found, tp, fp, fn, exact, round(tp / found, 6) AS precision, round(tp / gold, 6) AS recall, round(2 * tp / (found + gold), 6) AS f1 FROM (SELECT {_COUNTS}), (SELECT unnest(['ALL', 'PHONE']) AS type)")
 def _(s, sf):
     return score(_gold(s, sf), _found(s, sf))
 
 
-@query("greedy_match")
+@query("greedy_match", f"SELECT 'PHONE' AS type, part, n, CASE WHEN n = 2 OR k % 7 <> 0 THEN n END AS found_n, CASE WHEN n = 2 AND k % 5 = 0 THEN 0.9::DOUBLE WHEN n = 2 OR k % 7 <> 0 THEN 1.0::DOUBLE END AS similarity FROM {_GOLD_SQL}")
+def _(s, sf):
+    return match(_gold(s, sf), _found(s, sf))
+
+
+@query("coverage", f"SELECT type, gold, covered, round(covered / gold, 6) AS recall FROM (SELECT count(*) AS gold, count(*) FILTER (n = 2 OR k % 7 <> 0) AS covered FROM {_GOLD_SQL}), (SELECT unnest(['ALL', 'PHONE']) AS type)")
 def _(s, sf):
-    gold = _gold(s, sf).select(F.col("ptype").alias("type"), F.floor(F.col("k") / 10).alias("part"), F.col("k").alias("n"), F.col("value").alias("text"))
-    found = _found(s, sf).select(F.col("ptype").alias("type"), F.floor(F.col("k") / 10).alias("part"), F.col("k").alias("n"), F.col("value").alias("text"))
-    return match(gold, found)
+    return coverage(_gold(s, sf), _found(s, sf))
 
 
-@query("coverage", f"SELECT ptype, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM ({_FOUND_SQL}) f WHERE f.k = g.k AND f.ptype = g.ptype AND contains(f.value, g.value))) AS covered FROM ({_GOLD_SQL}) g GROUP BY ptype")
+@query("disagreements", f"SELECT * FROM (SELECT type, 'missed' AS kind, part, n, text FROM {_GOLD_SQL} WHERE n = 1 AND k % 7 = 0 UNION ALL SELECT type, 'extra', part, n, text FROM {_FOUND_SQL} WHERE n = 3) ORDER BY type, kind DESC, part, n LIMIT 40")
 def _(s, sf):
-    g, f = _gold(s, sf), _found(s, sf).select("k", "ptype", F.col("value").alias("hit"))
-    hits = g.join(f, ["k", "ptype"], "left").withColumn("ok", F.coalesce(F.col("hit").contains(F.col("value")), F.lit(False)))
-    return hits.groupBy("ptype").agg(F.count(F.lit(1)).alias("gold"), F.count(F.when(F.col("ok"), 1)).alias("covered"))
+    return disagreements(_gold(s, sf), _found(s, sf), 40)
 
 
-@query("negatives", f"SELECT n.k FROM {units_sql('din')} n WHERE n.k NOT IN (SELECT k FROM {units_sql('din')} WHERE regexp_matches(text, '^(DIN )?[0-9]{{8}}$'))")
+_CONTROL_TEXT = "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'SEBI and the Registrar, 33.33% of 12345678' WHEN 1 THEN 'ISO 9001 by 12345678' ELSE 'Bid 87654321' END AS text FROM customer"
+_CONTROLS = ["SEBI", "Registrar", "33.33%", "ISO 9001", "Bid", "12345678", "Escrow"]
+
+
+@query("negatives", "SELECT * FROM (VALUES ('SEBI', false), ('Registrar', false), ('33.33%', false), ('ISO 9001', false), ('Bid', false), ('12345678', true)) AS t(value, touched)")
 def _(s, sf):
-    u = units(s, sf, "din")
-    return u.select("k").join(d.dins(u).select("k"), "k", "left_anti")
+    u = _sub(s, sf, f"({_CONTROL_TEXT})", "customer")
+    return negative_controls(u, u.select("k", F.inline(d.spans(find_all(F.col("text"), "[0-9]{8}"), "DIN"))), _CONTROLS)
 
 
-@query("accuracy", "SELECT l_returnflag AS flag, round(count(*) FILTER (l_discount > 0.05) / count(*)::DOUBLE, 6) AS precision FROM lineitem GROUP BY 1")
+@query("accuracy", f"SELECT tp, fp, fn, 5::BIGINT AS tn, round((tp + 5) / (tp + fp + fn + 5), 6) AS accuracy FROM (SELECT {_COUNTS})")
 def _(s, sf):
-    hit = F.count(F.when(F.col("l_discount") > 0.05, 1))
-    m = metrics(hit, F.count(F.lit(1)) - hit, F.lit(0), F.lit(0))
-    return _table(s, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(m["precision"], 6).alias("precision"))
+    u = _sub(s, sf, f"({_CONTROL_TEXT})", "customer")
+    touched = negative_controls(u, u.select("k", F.inline(d.spans(find_all(F.col("text"), "[0-9]{8}"), "DIN"))), _CONTROLS)
+    return accuracy(score(_gold(s, sf), _found(s, sf)), touched)
 
 
 # Gold
@@ -472,10 +549,36 @@ def _(s, sf):
 GOLD_WORDS = ("the and", "in the", "of the")
 
 
-@query("gold_literals", "SELECT p AS phrase, sum(len(regexp_extract_all(lower(text), '\\b' || replace(p, ' ', '\\s+') || '\\b')))::BIGINT AS n FROM documents, (SELECT unnest([" + ", ".join(f"'{w}'" for w in GOLD_WORDS) + "]) AS p) WHERE regexp_matches(text, '^[\\x20-\\x7e\\s]*$') GROUP BY p")
+@query("gold_literals", "SELECT p AS phrase, sum(len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9])' || replace(p, ' ', '\\s+') || '(?:$|[^a-z0-9])')))::BIGINT AS n FROM documents, (SELECT unnest([" + ", ".join(f"'{w}'" for w in GOLD_WORDS) + "]) AS p) GROUP BY p")
+def _(s, sf):
+    n = F.array(*[F.struct(F.lit(w).alias("phrase"), F.regexp_count(F.lower("text"), F.lit(gold.literal(w))).alias("n")) for w in GOLD_WORDS])
+    return _documents(s, sf).select(F.inline(n)).groupBy("phrase").agg(F.sum("n").alias("n"))
+
+
+_GOLD_TEXT = "SELECT c_custkey // 100 AS part, c_custkey AS k, c_custkey AS idx, CASE c_custkey % 6 WHEN 0 THEN 'asha  RAO of Alder Freight, ksh@alder.com' WHEN 1 THEN 'Director Identification' WHEN 2 THEN lpad(cast(c_custkey AS string), 8, '0') WHEN 3 THEN 'www.sebi.gov.in and www.alder.com/x' WHEN 4 THEN 'Cedar Works Private Limited at Pune - 411 001' ELSE 'call +91 20 6814 7000' END AS text FROM customer"
+
+
+@query("gold_spans", f"""
+WITH u AS ({_GOLD_TEXT}), e AS (
+  SELECT k, 'PERSON_NAME' AS type, 'asha  RAO' AS text FROM u WHERE k % 6 = 0 UNION ALL SELECT k, 'COMPANY', 'Alder Freight' FROM u WHERE k % 6 = 0
+  UNION ALL SELECT k, 'EMAIL', 'ksh@alder.com' FROM u WHERE k % 6 = 0 UNION ALL SELECT k, 'URL', 'www.alder.com/x' FROM u WHERE k % 6 = 3
+  UNION ALL SELECT k, 'COMPANY', 'Cedar Works Private Limited' FROM u WHERE k % 6 = 4 UNION ALL SELECT k, 'ADDRESS', 'Pune - 411 001' FROM u WHERE k % 6 = 4
+  UNION ALL SELECT k, 'PHONE', '+91 20 6814 7000' FROM u WHERE k % 6 = 5
+  UNION ALL SELECT k, 'DIN', text FROM (SELECT *, max(CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY idx ROWS BETWEEN 40 PRECEDING AND CURRENT ROW) AS headed FROM u) WHERE k % 6 = 2 AND headed = 1)
+SELECT e.k, e.type, e.text, (strpos(u.text, e.text) - 1)::INT AS start FROM e JOIN u ON e.k = u.k
+""")
+def _(s, sf):
+    u = _sub(s, sf, f"({_GOLD_TEXT})", "customer")
+    return gold.annotate(u, ["Asha Rao"], ["Alder Freight", "Alder"], ["Pune - 411 001"]).select("k", "type", "text", "start")
+
+
+_KEPT_SQL = " OR ".join(f"contains(lower(regexp_replace(url, '[ ]', '', 'g')), '{h}')" for h in v.GOLD_KEEP_HOSTS)
+
+
+@query("kept_hosts", f"SELECT page_id AS k, {_KEPT_SQL} AS kept FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'http://www. SEBI.gov.in/' || page_id ELSE url END AS url FROM pages WHERE url IS NOT NULL)")
 def _(s, sf):
-    n = F.array(*[F.struct(F.lit(w).alias("phrase"), F.regexp_count(F.lower("text"), F.lit(r"\b" + w.replace(" ", r"\s+") + r"\b")).alias("n")) for w in GOLD_WORDS])
-    return _documents(s, sf).filter(F.col("text").rlike(r"^[\x20-\x7e\s]*\z")).select(F.inline(n)).groupBy("phrase").agg(F.sum("n").alias("n"))
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://www. SEBI.gov.in/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return _table(s, sf, "pages").filter("url IS NOT NULL").select(F.col("page_id").alias("k"), gold.kept_host(url).alias("kept"))
 
 
 @query("longest_first", "SELECT p_name AS value, length(p_name)::INT AS n FROM (SELECT DISTINCT p_name FROM part) ORDER BY n DESC, value")

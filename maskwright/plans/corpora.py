@@ -22,6 +22,7 @@ CORPORA = {
     "role": ("customer", "c_custkey", "case c_custkey % 3 when 0 then 'being Asha Rao of the board' when 1 then 'Ravi Nair is our promoter since' else 'being our Finance Act' end"),
     "caps": ("supplier", "s_suppkey", "case s_suppkey % 3 when 0 then 'OUR PROMOTERS: ASHA RAO' when 1 then 'Directors: RAVI NAIR' else 'RISKS: ASHA RAO' end"),
     "contact": ("supplier", "s_suppkey", "case s_suppkey % 3 when 0 then 'Contact Person: Asha Rao, Company Secretary' when 1 then 'Contact persons: Ravi Nair; others' else 'Contact Person: Asha Rao E-mail' end"),
+    "split": ("customer", "c_custkey", "case c_custkey % 4 when 3 then 'prose of no name' when 2 then 'Limited' when 1 then case (c_custkey - c_custkey % 4) % 8 when 0 then 'Freight Private' else 'Works Private' end else case c_custkey % 8 when 0 then 'Alder' else 'Birch' end end"),
     "seq": ("customer", "c_custkey", "case c_custkey % 4 when 0 then 'Asha Rao' when 1 then 'Managing Director' when 2 then 'DIN' else lpad(cast(c_custkey as string), 8, '0') end"),
 }
 
