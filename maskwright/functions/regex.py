@@ -17,18 +17,21 @@ def find_all(text: Column, pattern: str) -> Column:
     plain = F.when(whole.contains(OPEN) | whole.contains(CLOSE), F.translate(whole, OPEN + CLOSE, "  ")).otherwise(whole)
     pieces = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
         hit = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value"))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
 
-    def part(acc: Column, i: Column) -> Column:
-        """The next CHUNK pieces: a list grows by copying, so it is kept short and joined to the others at the end."""
-        own = F.aggregate(F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.lit(False).alias("inside"), none.alias("out")), step)
-        return F.struct(own["at"].alias("at"), F.concat(acc["lists"], F.array(own["out"])).alias("lists"))
+    def listed(p: Column) -> Column:
+        """A list grows by copying, so the matches of CHUNK pieces at a time are listed, and the lists joined at the end."""
 
-    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int")), F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("lists")), part, lambda acc: F.flatten(acc["lists"]))
-    few = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(plain.rlike(pattern), F.when(F.size(pieces) <= CHUNK, few).otherwise(many)).otherwise(none)
+        def part(acc: Column, i: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+            return F.aggregate(F.slice(p, i * CHUNK + 1, F.lit(CHUNK)), start, step, lambda own: F.struct(own["at"].alias("at"), F.concat(acc["lists"], F.array(own["out"])).alias("lists")))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("lists"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), zero, part, lambda acc: F.flatten(acc["lists"]))
+
+    # bound to a variable, so that the text is taken apart once
+    return F.when(plain.rlike(pattern), F.get(F.transform(F.array(pieces), listed), F.lit(0))).otherwise(none)

