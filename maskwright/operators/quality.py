@@ -44,7 +44,9 @@ def match(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
     ship(gold.sparkSession)
 
     def greedy(key: tuple, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        free = {int(r.n): r.text for r in have.sort_values("n").itertuples() if r.text is not None}
+        if not len(want):
+            return pd.DataFrame(columns=["type", "part", "n", "found_n", "similarity"]).astype({"found_n": "Int64"})
+        free = {int(r.m): r.hit for r in have.sort_values("m").itertuples() if r.hit is not None} if len(have) else {}
         rows = []
         for r in want.sort_values("n").itertuples():
             close = [(likeness(r.text, t), -n) for n, t in free.items()] if r.text is not None else []
@@ -56,8 +58,10 @@ def match(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
         out = pd.DataFrame(rows, columns=["type", "part", "n", "found_n", "similarity"])
         return out.astype({"found_n": "Int64"})
 
-    cols = ("type", "part", "n", "text")
-    groups = gold.select(*cols).groupBy("type", "part").cogroup(found.select(*cols).groupBy("type", "part"))
+    want = gold.select("type", "part", "n", "text").groupBy("type", "part")
+    # names of its own, so that a frame can be matched with itself
+    have = found.select(F.col("type").alias("t"), F.col("part").alias("p"), F.col("n").alias("m"), F.col("text").alias("hit")).groupBy("t", "p")
+    groups = want.cogroup(have)
     part = gold.schema["part"].dataType.simpleString()
     return groups.applyInPandas(greedy, f"type string, part {part}, n long, found_n long, similarity double")
 
