@@ -34,12 +34,17 @@ def word_count(text: Column) -> Column:
 
 def text_quality(text: Column) -> Column:
     """A weight from 0.01 to 1: texts of under 50 words, of digits and marks, or of repeated words are drawn later."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    size = F.size(words)
     marks = F.regexp_count(text, F.lit(r"[!-@\[-`{-~]")) / F.length(text)
-    long = F.least(F.lit(1.0), (size + 1) / F.lit(50.0))
-    varied = F.least(F.lit(1.0), F.size(F.array_distinct(words)) * 4.0 / size)
-    return F.when(size > 0, F.greatest(F.lit(0.01), long * varied * (F.lit(1.0) - marks))).otherwise(F.lit(0.01))
+
+    def weight(words: Column) -> Column:
+        size = F.size(words)
+        long = F.least(F.lit(1.0), (size + 1) / F.lit(50.0))
+        varied = F.least(F.lit(1.0), F.size(F.array_distinct(words)) * 4.0 / size)
+        return F.when(size > 0, F.greatest(F.lit(0.01), long * varied * (F.lit(1.0) - marks))).otherwise(F.lit(0.01))
+
+    # bound to a variable, so that the words are taken out once
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.get(F.transform(F.array(words), weight), F.lit(0))
 
 
 def _ranges(rows: int) -> int:
