@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "\u0001", "\u0002"
+OPEN, CLOSE, OTHER = "\u0001", "\u0002", "\u0003"
 CHUNK = 512  # even, so that each chunk starts outside a match
 
 
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches (code points, end exclusive). The pattern must not match the empty string.
 
-    Matches are fenced by two control characters, which are blanked out of the text first, and the text is split at them: every second piece is a match."""
+    Matches are fenced by two control characters, for which another stands in the text and in the values, and the text is split at them: every second piece is a match."""
     whole = F.coalesce(text, F.lit(""))
-    plain = F.when(whole.contains(OPEN) | whole.contains(CLOSE), F.translate(whole, OPEN + CLOSE, "  ")).otherwise(whole)
+    plain = F.when(whole.contains(OPEN) | whole.contains(CLOSE), F.translate(whole, OPEN + CLOSE, OTHER + OTHER)).otherwise(whole)
     pieces = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 

@@ -62,16 +62,53 @@ def ssns(text: Column) -> Column:
     return spans(find_all(text, v.SSN), "SSN")
 
 
+def _luhn(hits: Column) -> Column:
+    return F.filter(spans(hits, "CREDIT_CARD"), lambda h: F.call_function("luhn_check", F.regexp_replace(h["value"], "[^0-9]", "")))
+
+
+def _large(hits: Column) -> Column:
+    return F.filter(spans(hits, "IP_ADDRESS"), lambda h: F.exists(F.split(h["value"], r"\."), lambda x: x.cast("int") >= 10))
+
+
 @Detector
 def cards(text: Column) -> Column:
     """13 to 19 digits that pass the Luhn check."""
-    return F.filter(spans(find_all(text, v.CARD), "CREDIT_CARD"), lambda h: F.call_function("luhn_check", F.regexp_replace(h["value"], "[^0-9]", "")))
+    return _luhn(find_all(text, v.CARD))
 
 
 @Detector
 def ip_addresses(text: Column) -> Column:
     """Four octets, not all of them under ten (section numbers)."""
-    return F.filter(spans(find_all(text, v.IPV4), "IP_ADDRESS"), lambda h: F.exists(F.split(h["value"], r"\."), lambda x: x.cast("int") >= 10))
+    return _large(find_all(text, v.IPV4))
+
+
+def _inside(hits: Column, ends: str) -> Column:
+    """Matches without the character that they take at either side, which is none of those that a value starts and ends with."""
+
+    def own(h: Column) -> Column:
+        lead = h["value"].rlike(f"^[^{ends}]").cast("int")
+        size = F.length(h["value"]) - lead - h["value"].rlike(f"[^{ends}]\\z").cast("int")
+        return F.struct((h["start"] + lead).alias("start"), (h["start"] + lead + size).alias("end"), F.substring(h["value"], lead + 1, size).alias("value"))
+
+    return F.transform(hits, own)
+
+
+@Detector
+def emails_taking(text: Column) -> Column:
+    """E-mails whose match takes its neighbours, as the queries' SQL has them; emails() finds the others too."""
+    return only(text.contains("@"), spans(_inside(find_all(text, v.EMAIL_TAKING), "A-Za-z0-9"), "EMAIL"))
+
+
+@Detector
+def ip_addresses_taking(text: Column) -> Column:
+    """Addresses whose match takes its neighbours, as the queries' SQL has them; ip_addresses() finds the others too."""
+    return _large(_inside(find_all(text, v.IPV4_TAKING), "0-9"))
+
+
+@Detector
+def cards_bounded(text: Column) -> Column:
+    """Cards between word boundaries, as the queries' SQL has them: behind a decimal point too, beside a letter not."""
+    return _luhn(find_all(text, v.CARD_BOUNDED))
 
 
 @Detector

@@ -72,3 +72,27 @@ def test_redaction_leaves_nothing_and_is_reproducible(spark):
 def test_pools_keep_order():
     assert len(v.GIVEN_NAMES) == 46
     assert v.GIVEN_NAMES.count("Ritu") == 2
+
+
+@pytest.mark.parametrize(
+    ("name", "text"),
+    [
+        ("card_spans", "5.4111111111111111 x4111111111111111 4111\x01111111111111 4111 1111 1111 1111"),
+        ("card_spans", "99.114.106.61 4080166431094600"),
+    ],
+)
+def test_query_equals_sql_where_matches_touch(spark, tmp_path, name, text):
+    import duckdb
+
+    from maskwright.plans import catalog
+
+    spark.createDataFrame([(7, text), (8, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        q = c.sql(catalog.SQL[name])
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).select(*q.columns).collect())) == sorted(q.fetchall())
+
+
+def test_redaction_still_finds_what_one_blank_parts(spark):
+    values = [r["value"] for r in d.detect(units(spark, "a@b.com c@d.com 10.2.3.4 10.2.3.5"), (d.emails, d.ip_addresses)).collect()]
+    assert values == ["a@b.com", "c@d.com", "10.2.3.4", "10.2.3.5"]
