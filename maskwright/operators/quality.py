@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +37,71 @@ def likeness(a: str, b: str) -> float:
     return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
 
 
+def _taken(want: list[tuple], have: list[tuple], least: float) -> tuple[list[tuple[int | None, float | None]], set[int]]:
+    """want, have: n and text, in the order of n. Of each wanted one, the place in have of the one it takes and their likeness (None: none), and the places taken."""
+    out, taken = [], set()
+    for _, text in want:
+        best, at = -1.0, None
+        for i, (_, hit) in enumerate(have):
+            if i in taken or text is None or hit is None:
+                continue
+            like = likeness(text, hit)
+            if like > best:
+                best, at = like, i
+            if like == 1.0:
+                break
+        if at is None or best < least:
+            out.append((None, None))
+        else:
+            taken.add(at)
+            out.append((at, best))
+    return out, taken
+
+
+def _by_group(gold: DataFrame, found: DataFrame, of, schema: str) -> DataFrame:
+    """of(type, part, want, have): the result's rows of a group, the spans of one type in one part, whose (n, text) come in
+    the order of n. Either side is shuffled once and sorted, and groups are read off the sorted rows, a batch of many
+    groups at a time; a group is held whole, and one document bounds it. schema: part is set to gold's type."""
+    ship(gold.sparkSession)
+    side = lambda df, i: df.select("type", "part", F.lit(i).alias("side"), F.col("n").cast("long").alias("n"), "text")
+    rows = side(gold, 0).union(side(found, 1)).repartition("type", "part").sortWithinPartitions("type", "part", "side", "n")
+    names = [x.split()[0] for x in schema.format(part="").split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, kinds = None, ([], []), None
+        for b in batches:
+            kinds = {"part": b.schema.field("part").type, "n": pa.int64(), "found_n": pa.int64(), "similarity": pa.float64()}
+            out: list[tuple] = []
+            for kind, part, i, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (kind, part):
+                    if key is not None:
+                        out += of(*key, *sides)
+                    key, sides = (kind, part), ([], [])
+                sides[i].append((n, text))
+            yield made(out, kinds)
+        if key is not None:
+            yield made(of(*key, *sides), kinds)
+
+    def made(out: list[tuple], kinds: dict) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in out], kinds.get(c, pa.string())) for i, c in enumerate(names)], names=names)
+
+    part = rows.schema["part"].dataType.simpleString()
+    out = rows.mapInArrow(run, schema.format(part=part))
+    return out.withColumn("part", F.col("part").cast(gold.schema["part"].dataType))
+
+
 def match(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
     """gold, found: type, part, n, text. One to one, in the order of n: each gold span takes the most similar span of its
     type and part that is still free, the first of equal ones. Columns type, part, n, found_n (null: none), similarity.
 
     A group is the spans of one type in one part of one document, so its size is bounded by a document. Null texts match
     nothing."""
-    ship(gold.sparkSession)
 
-    def greedy(key: tuple, want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if not len(want):
-            return pd.DataFrame(columns=["type", "part", "n", "found_n", "similarity"]).astype({"found_n": "Int64"})
-        free = {int(r.m): r.hit for r in have.sort_values("m").itertuples() if r.hit is not None} if len(have) else {}
-        rows = []
-        for r in want.sort_values("n").itertuples():
-            close = [(likeness(r.text, t), -n) for n, t in free.items()] if r.text is not None else []
-            best = max(close, default=(0.0, 0))
-            hit = best[0] >= least
-            if hit:
-                del free[-best[1]]
-            rows.append((*key, r.n, -best[1] if hit else None, best[0] if hit else None))
-        out = pd.DataFrame(rows, columns=["type", "part", "n", "found_n", "similarity"])
-        return out.astype({"found_n": "Int64"})
-
-    want = gold.select("type", "part", "n", "text").groupBy("type", "part")
-    # names of its own, so that a frame can be matched with itself
-    have = found.select(F.col("type").alias("t"), F.col("part").alias("p"), F.col("n").alias("m"), F.col("text").alias("hit")).groupBy("t", "p")
-    groups = want.cogroup(have)
-    part = gold.schema["part"].dataType.simpleString()
-    return groups.applyInPandas(greedy, f"type string, part {part}, n long, found_n long, similarity double")
+    def of(kind: str, part: object, want: list[tuple], have: list[tuple]) -> list[tuple]:
+        hits, _ = _taken(want, have, least)
+        return [(kind, part, n, None if at is None else have[at][0], like) for (n, _), (at, like) in zip(want, hits, strict=True)]
+
+    return _by_group(gold, found, of, "type string, part {part}, n long, found_n long, similarity double")
 
 
 def score(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
@@ -131,11 +169,13 @@ def negative_controls(units: DataFrame, spans: DataFrame, values: list[str]) ->
 
 def disagreements(gold: DataFrame, found: DataFrame, show: int = 12) -> DataFrame:
     """type, kind (missed or extra), part, n, text: gold spans without a match and reported ones that match none, the first `show`."""
-    pairs = match(gold, found)
-    key = lambda df, n: df.select(F.col("type").alias("t"), F.col("part").alias("p"), F.col(n).alias("m"))
-    same = (F.col("type") == F.col("t")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("n") == F.col("m"))
-    missed = gold.join(key(pairs.filter("found_n IS NULL"), "n"), same, "left_semi").select("type", F.lit("missed").alias("kind"), "part", "n", "text")
+
+    def of(kind: str | None, part: object, want: list[tuple], have: list[tuple]) -> list[tuple]:
+        hits, taken = _taken(want, have, 0.5)
+        missed = [(kind, "missed", part, *x) for x, (at, _) in zip(want, hits, strict=True) if at is None]
+        return missed + [(kind, "extra", part, *x) for i, x in enumerate(have) if i not in taken]
+
     types = gold.select(F.col("type").alias("t")).distinct()
     own = found.join(types, F.col("type") == F.col("t"), "left_semi")
-    extra = own.join(key(pairs.filter("found_n IS NOT NULL"), "found_n"), same, "left_anti").select("type", F.lit("extra").alias("kind"), "part", "n", "text")
-    return missed.union(extra).orderBy("type", F.desc("kind"), "part", "n").limit(show)
+    out = _by_group(gold.filter("type IS NOT NULL"), own, of, "type string, kind string, part {part}, n long, text string")
+    return out.orderBy("type", F.desc("kind"), "part", "n").limit(show)

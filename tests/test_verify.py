@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import pytest
@@ -168,3 +169,28 @@ def test_gold_reads_every_part(spark):
 
 def test_vocabulary_counts():
     assert (len(v.NEGATIVE_CONTROLS), len(v.STRUCTURE_TAGS), len(v.ALL_CAPS_DENY)) == (46, 16, 27)
+
+
+def test_disagreements_of_many_small_groups(spark):
+    """Groups are read off sorted rows; a call of Python for each took minutes for this number of them."""
+    gold = spark.range(0, 40000, numPartitions=4).selectExpr("'T' AS type", "id AS part", "inline(array(struct(1L AS n, 'qwertyuiop' AS text), struct(2L AS n, '0123456789' AS text)))")
+    found = gold.filter("n = 2 OR part % 7 <> 0").union(spark.range(0, 40000, 11).selectExpr("'T'", "id", "3L", "'zzz'"))
+    began = time.time()
+    got = q.disagreements(gold, found, 1 << 20).collect()
+    assert time.time() - began < 30
+    want = [("T", "missed", p, 1, "qwertyuiop") for p in range(0, 40000, 7)] + [("T", "extra", p, 3, "zzz") for p in range(0, 40000, 11)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_groups_go_on_over_batches_and_take_null_parts(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        gold = spark.createDataFrame([("A", p, i, t) for p in (1, None) for i, t in enumerate(["abcd", "abce", None, "xyz", "abcd"])] + [(None, 1, 9, "abcd")], "type string, part int, n long, text string")
+        found = spark.createDataFrame([("A", p, i, t) for p in (1, None) for i, t in enumerate(["abce", "abcd", None, "q"])] + [("B", 1, 0, "abcd"), (None, 1, 5, "abcd")], "type string, part int, n long, text string")
+        got = {(r["type"], r["part"], r["n"]): (r["found_n"], r["similarity"]) for r in q.match(gold, found).collect()}
+        one = {0: (1, 1.0), 1: (0, 1.0), 2: (None, None), 3: (None, None), 4: (None, None)}
+        assert got == {("A", p, i): x for p in (1, None) for i, x in one.items()} | {(None, 1, 9): (5, 1.0)}
+        rest = [(r["kind"], r["part"], r["n"], r["text"]) for r in q.disagreements(gold, found).collect()]
+        assert rest == [("missed", p, i, t) for p in (None, 1) for i, t in ((2, None), (3, "xyz"), (4, "abcd"))] + [("extra", p, i, t) for p in (None, 1) for i, t in ((2, None), (3, "q"))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
