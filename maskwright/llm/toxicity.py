@@ -22,7 +22,7 @@ Repeated rows and null ids give a row each; empty tables give empty results; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -64,24 +64,26 @@ def _buckets(h: np.ndarray, kind: int) -> np.ndarray:
 def column_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a column's words in order: which of the different words each is, where each text's words end, and of the different words the buckets (of the word, its prefixes and its suffix; 0 for one it is too short to have) and the number of the language whose function word it is, or 0."""
     data, offsets = column_bytes(texts)
-    hashes, feats, counts = [], [], np.zeros(len(texts), np.int64)
+    hashes, feats, order, counts, n = [np.zeros(0, np.uint64)], [np.zeros((0, FEATURES), np.uint16)], [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), 0
     for part in Spelt.stretches(data, offsets, _IS_WORD):
         s, e = part.trimmed(_IS_MARK)
-        h = part.hashes(s, e)
-        n = e - s
-        ends = [_buckets(h, 0)]
-        for k, size in enumerate(PREFIXES, 1):
-            ends.append(np.where(n >= size, _buckets(part.hashes(s, np.minimum(s + size, e)), k), 0).astype(np.uint16))
-        ends.append(np.where(n > SUFFIX, _buckets(part.hashes(np.maximum(s, e - SUFFIX), e), len(PREFIXES) + 1), 0).astype(np.uint16))
-        hashes.append(h)
-        feats.append(np.stack(ends, 1) if len(s) else np.zeros((0, FEATURES), np.uint16))
         counts += part.counts(s)
-    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    known = h[first]
+        h, first, which = np.unique(part.hashes(s, e), return_index=True, return_inverse=True)
+        s, e = s[first], e[first]  # of a word that a stretch repeats, the ends are hashed once
+        size = e - s
+        ends = [_buckets(h.copy(), 0)]
+        for k, least in enumerate(PREFIXES, 1):
+            ends.append(np.where(size >= least, _buckets(part.hashes(s, np.minimum(s + least, e)), k), 0).astype(np.uint16))
+        ends.append(np.where(size > SUFFIX, _buckets(part.hashes(np.maximum(s, e - SUFFIX), e), len(PREFIXES) + 1), 0).astype(np.uint16))
+        hashes.append(h)
+        feats.append(np.stack(ends, 1))
+        order.append((which + n).astype(np.int32))
+        n += len(h)
+    known, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     at = np.searchsorted(_FUNCTION[0], known).clip(0, len(_FUNCTION[0]) - 1)
     kinds = np.where(_FUNCTION[0][at] == known, _FUNCTION[1][at], 0)
-    return which, np.cumsum(counts), np.concatenate([np.zeros((0, FEATURES), np.uint16), *feats])[first], kinds
+    which = which.astype(np.int32)
+    return np.concatenate([which[x] for x in order]), np.cumsum(counts), np.concatenate(feats)[first], kinds
 
 
 def _function_words() -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +101,8 @@ _FUNCTION = _function_words()
 
 def languages(which: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """For each text the number in LANGUAGES of the language most of whose function words occur."""
-    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    n = np.bincount(text * len(LANGUAGES) + kinds[which], minlength=len(ends) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))[:, 1:]
+    at = np.flatnonzero((kinds > 0)[which])
+    n = np.bincount(np.searchsorted(ends, at, side="right") * len(LANGUAGES) + kinds[which[at]], minlength=len(ends) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))[:, 1:]
     return np.where(n.any(1), n.argmax(1) + 1, 0)
 
 
@@ -150,7 +152,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30))), lang
 
 
-def _start(docs: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
+def _start(docs: Iterable[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
     n = np.zeros((2, BUCKETS))
     for words, label in zip(docs, y, strict=True):
         n[int(label), np.unique(words)] += 1
@@ -175,16 +177,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
         return None
     rng = np.random.default_rng(seed)
     which, ends, feats, kinds = column_words(pa.array(texts, pa.large_string()))  # of the training rows, which are bounded
-    docs = [feats[x].astype(np.int32) for x in np.split(which, ends[:-1])]
-    back = np.arange(len(docs)) % 5 == 4 if min((y == 0).sum(), (y == 1).sum()) >= 10 else np.zeros(len(docs), bool)
+    starts = np.append(0, ends[:-1])
+    buckets = lambda i: feats[which[starts[i] : ends[i]]].astype(np.int32)  # noqa: E731  of one text at a time, for all are many times the texts
+    back = np.arange(len(y)) % 5 == 4 if min((y == 0).sum(), (y == 1).sum()) >= 10 else np.zeros(len(y), bool)
     fit = np.flatnonzero(~back)
-    m = _start([docs[i] for i in fit], y[fit], rng)
+    m = _start((buckets(i) for i in fit), y[fit], rng)
     share = np.clip(y[fit].mean(), 0.01, 0.99)
     weight = {1.0: 0.5 / share, 0.0: 0.5 / (1 - share)}
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(fit):
-            words = docs[i]
+            words = buckets(i)
             hidden, at = [], []
             e = m.emb[words].sum(1)
             for k in WIDTHS:
@@ -249,7 +252,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: i
     drawn = texts.select("doc_id", "toxic", "text", F.row_number().over(order).alias("n"), F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("bytes"))
     got = drawn.filter((F.col("n") <= rows) & (F.col("bytes") <= most_bytes // 2)).collect()  # repeated ids can't pass the bounds
     got.sort(key=lambda r: (r["n"], r["toxic"]))
-    return train([r["text"] for r in got], np.array([r["toxic"] for r in got]))
+    model = train([r["text"] for r in got], np.array([r["toxic"] for r in got]))
+    pa.default_memory_pool().release_unused()  # else the driver keeps what the texts' columns took
+    return model
 
 
 def _scorer(documents: DataFrame, model: Model | None):

@@ -709,3 +709,16 @@ def test_clean_rows_stay_beside_leaking_rows_of_their_id(spark):
     d = docs(spark, [(None, item + " and more", "s"), (None, clean, "s"), (1, "then " + item, "s"), (1, clean, "s"), (1, None, "s")])
     kept = decontaminate.without_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, clean), (1, ""), (1, clean)]
+
+
+def test_training_holds_little_beside_its_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 20_000)]) for _ in range(30)]
+    tracemalloc.start()
+    toxicity.train(texts, np.arange(30) % 2, epochs=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * sum(map(len, texts))
